@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .packing import pack, pack_sql
+from .pii_anchor import personal_data
+from .span_dedup import dedup_spans
 from .topk import exact_topk
 from .vec_dedup import embedding_near_dedup
 
@@ -13,6 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), budget=65536, buckets=8)
+
+
+def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(_table(spark, sf_dir, "documents"), least=3, least_words=15, longest=25)
+
+
+def op5_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -26,12 +41,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_length_bucket_packing": op1_length_bucket_packing,
+    "op2_sentence_span_dedup": op2_sentence_span_dedup,
+    "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_length_bucket_packing": pack_sql(budget=65536, buckets=8),
     "op6_minhash_near_dedup": r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
