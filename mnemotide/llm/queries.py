@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import knn_quality, langid
 from .minhash import near_duplicates
 from .packing import pack, pack_sql
 from .pii_anchor import personal_data
 from .span_dedup import dedup_spans
 from .topk import exact_topk
+from .url_equiv import Rule, judge
 from .vec_dedup import embedding_near_dedup
 
 
@@ -24,6 +27,21 @@ def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(_table(spark, sf_dir, "documents"), least=3, least_words=15, longest=25)
 
 
+def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = knn_quality.fit_on(docs, labels.where(~held_out), sample_rows=3000)
+    scored = knn_quality.quality_scores(docs, model, threshold=0.7)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+
+
+def op4_url_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +50,22 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no markup or address; their source stands for the host."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_on(docs, sample_rows=2000), host=F.col("source"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over raw pages: visible text, declared language, host suffix and host priors."""
+    pages = _table(spark, sf_dir, "pages")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&[a-z]+;", " ")
+    rows = pages.select("page_id", text.alias("text"), langid.host_of(F.col("url")).alias("host"), langid.declared_in(F.col("html")).alias("declared"))
+    model = langid.fit_on(_table(spark, sf_dir, "documents"), sample_rows=2000)
+    found = langid.identify(rows, model, id_col="page_id", host=F.col("host"), declared=F.col("declared"))
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, k=10, scale=1024.0)
 
@@ -43,14 +77,50 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_length_bucket_packing": op1_length_bucket_packing,
     "op2_sentence_span_dedup": op2_sentence_span_dedup,
+    "op3_knn_quality": op3_knn_quality,
+    "op4_url_redirect_equivalence": op4_url_redirect_equivalence,
     "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_language_evidence": op8_language_evidence,
+    "language_of_pages": language_of_pages,
     "op9_exact_topk": op9_exact_topk,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
     "op1_length_bucket_packing": pack_sql(budget=65536, buckets=8),
+    "op4_url_redirect_equivalence": r"""
+with recursive page as (
+  select page_id, url, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages
+), part as (
+  select page_id, url, html, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from page
+), rules(verdict, h, p) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+key as (select *, host || path || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1) as k from part),
+tags as (
+  select url, k, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) as tag from key where url is not null and lower(html) like '%canonical%'
+  union all select url, k, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) from key where url is not null and lower(html) like '%http-equiv%'
+), targets as (
+  select url, k, replace(case when regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    when regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end, '&amp;', '&') as t from tags
+), absolute as (
+  select k as u, case when contains(t, '://') then t when starts_with(t, '//') then regexp_extract(url, '^([^?#]*?:)//', 1) || t
+    when starts_with(t, '/') then regexp_extract(url, '^([^?#]*?://[^/?#]*)', 1) || t end as t from targets
+), one as (
+  select u, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1)
+    || regexp_extract(t, '(?s)^[^?#]*(\?[^#]*)?', 1) as v from absolute where t is not null
+), edges as (select u, v from one where u <> v union select v, u from one where u <> v),
+reach as (select distinct u as node, u as seen from edges union select r.node, e.v from reach r join edges e on e.u = r.seen),
+nodes as (select distinct seen as k, regexp_extract(seen, '^([^/?#]*)', 1) as host, regexp_extract(seen, '^[^/?#]*([^?#]*)', 1) as path from reach),
+ruled as (select k, verdict, row_number() over (partition by k order by length(h || p) desc) as r from nodes join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)),
+grouped as (select node as k, bool_or(verdict = 'allow') as allowed, bool_or(verdict = 'block') as blocked from reach join ruled on ruled.k = seen and r = 1 group by node),
+found as (
+  select page_id, host, path, k, h || p as rule, verdict, row_number() over (partition by page_id, url order by length(h || p) desc nulls last) as r
+  from key left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+)
+select page_id, host, path, rule, coalesce(verdict, case when allowed then 'allow' when blocked then 'block' end, 'allow') as verdict
+from found left join grouped using (k) where r = 1
+""",
     "op6_minhash_near_dedup": r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
