@@ -9,6 +9,7 @@ from . import knn_quality, langid
 from .minhash import near_duplicates
 from .packing import pack, pack_sql
 from .pii_anchor import personal_data
+from .sp_nbest import default_model, nbest_pieces
 from .span_dedup import dedup_spans
 from .topk import exact_topk
 from .url_equiv import Rule, judge
@@ -50,6 +51,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest_pieces(_table(spark, sf_dir, "documents"), default_model(spark), nbest=2)
+
+
 def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no markup or address; their source stands for the host."""
     docs = _table(spark, sf_dir, "documents")
@@ -81,6 +86,7 @@ QUERIES = {
     "op4_url_redirect_equivalence": op4_url_redirect_equivalence,
     "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_sentencepiece_nbest": op7_sentencepiece_nbest,
     "op8_language_evidence": op8_language_evidence,
     "language_of_pages": language_of_pages,
     "op9_exact_topk": op9_exact_topk,
