@@ -34,10 +34,11 @@ def review_queue(nodes: DataFrame, as_of: Column, kinds: tuple[str, ...], k: int
     return active(nodes).where(F.col("kind").isin(*kinds)).withColumn("due", pressure(as_of)).orderBy(F.desc("due"), "id").limit(k)
 
 
-def fading(nodes: DataFrame, ledger: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
+def fading(nodes: DataFrame, ledger: DataFrame, as_of: Column, least: int = 2, k: int = 5) -> DataFrame:
     """Shown at least twice and never cited: important and long neglected first."""
-    unseen = ledger.where(~F.col("cited")).groupBy(F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("unseen"), F.max("shown_at").alias("last_shown")).where(F.col("unseen") >= least)
-    return active(nodes).join(unseen, "id").orderBy(F.desc("importance"), "last_shown", F.desc("unseen"), "id").limit(k)
+    unseen = ledger.where(~F.col("cited")).groupBy(F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("unseen")).where(F.col("unseen") >= least)
+    rows = active(nodes).join(unseen, "id").withColumn("neglect", pressure(as_of) / F.col("importance"))
+    return rows.orderBy(F.desc("importance"), F.desc("neglect"), F.desc("unseen"), "id").limit(k)
 
 
 def mark_cited(ledger: DataFrame, cited_ids: DataFrame) -> DataFrame:
@@ -169,6 +170,22 @@ def synthesis(members: DataFrame, medoid: DataFrame, nodes: DataFrame) -> DataFr
     return rows.select(F.when(F.col("method") >= 0.5, "procedure").otherwise("insight").alias("kind"), F.substring(F.concat(head, F.coalesce("text", F.lit(""))), 1, 300).alias("query"), "parent", F.concat(F.array(F.lit("consolidated")), F.col("tags")).alias("tags"))
 
 
+def lesson_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_\-.]{4,}"), F.lit(0)))
+
+
+def hook_citations(ledger: DataFrame, nodes: DataFrame, corpus: DataFrame, stop: tuple[str, ...] = (), least: int = 2) -> DataFrame:
+    """(session, id): hook-shown, uncited nodes of which a session's text holds two gist words or more.
+
+    `corpus` has session and text. Receipts meet the text of their own session only.
+    """
+    shown = ledger.where((F.col("channel") == "hook") & ~F.col("cited")).select("session", F.col("node_id").alias("id")).distinct()
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce("query", F.lit(""))), F.lit("[a-z][a-z0-9]{4,}"), F.lit(0)), lambda w: ~w.isin(*(stop or ("",)))))
+    terms = nodes.select("id", words.alias("terms"))
+    rows = shown.join(terms, "id").join(corpus.select("session", F.lower("text").alias("text")), "session")
+    return rows.where(F.size(F.filter("terms", lambda w: F.contains(F.col("text"), w))) >= least).select("session", "id")
+
+
 def lessons(nodes: DataFrame, share: float = 0.34) -> DataFrame:
     """(struggle, resolution, score): the resolution later in the session that best matches a struggling tool call.
 
@@ -177,8 +194,9 @@ def lessons(nodes: DataFrame, share: float = 0.34) -> DataFrame:
     """
     live = active(nodes)
     hard = live.where((F.col("kind") == "tool_call") & (F.coalesce(F.col("result_count") == 0, F.lit(False)) | F.coalesce(F.col("latency_ms") > SLOW_MS, F.lit(False))))
-    hard = hard.select("session", F.col("id").alias("struggle"), F.col("ts").alias("t0"), duplicate_keywords(F.col("query")).alias("k0")).where(F.size("k0") > 0)
-    done = live.where(F.col("kind").isin("resolved", "decision")).select("session", F.col("id").alias("resolution"), F.col("ts").alias("t1"), duplicate_keywords(F.col("query")).alias("k1"))
+    hard = hard.select("session", F.col("id").alias("struggle"), F.col("ts").alias("t0"), lesson_words(F.col("query")).alias("k0")).where(F.size("k0") > 0)
+    text = F.concat_ws(" ", *[c for c in ("gist", "query") if c in nodes.columns])
+    done = live.where(F.col("kind").isin("resolved", "decision")).select("session", F.col("id").alias("resolution"), F.col("ts").alias("t1"), lesson_words(text).alias("k1"))
     score = F.size(F.array_intersect("k0", "k1")) / F.greatest(F.lit(3), F.size("k0"))
     pairs = hard.join(done, "session").where("t1 > t0").withColumn("score", score).where(F.col("score") >= share)
     one = pairs.withColumn("r", F.row_number().over(Window.partitionBy("struggle").orderBy(F.desc("score"), "t1", "resolution"))).where("r = 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters  # noqa: F401  modules register their queries
+from . import filters, memory, sequences  # noqa: F401  modules register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
