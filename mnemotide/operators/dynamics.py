@@ -209,22 +209,29 @@ def near_duplicates(incoming: DataFrame, existing: DataFrame, floor: float = 0.4
     Candidates share one of the rarest keywords (prefix filtering): sets with a similarity of `floor` share one of
     the first n - ceil(floor * n) + 1 by rarity. So rows meet on rare words, not on their kind alone.
     """
-    def sets(df, name):
-        k = duplicate_keywords(F.col("query"))
-        return df.where(F.col("kind").isin(*kinds)).select(F.col("id").alias(name), "kind", k.alias("k"), F.length("query").alias("len"))
-
-    new = sets(incoming, "id").where((F.coalesce("len", F.lit(0)) >= 20) & (F.size("k") >= 3)).drop("len")
-    old = sets(active(existing), "match").where(F.size("k") > 0).drop("len")
-    rarity = old.select(F.explode("k").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    def sets(df):
+        k = F.array_sort(duplicate_keywords(F.col("query")))
+        return df.where(F.col("kind").isin(*kinds)).select("id", "kind", k.alias("k"), F.length("query").alias("len"))
+
+    new = sets(incoming).where((F.coalesce("len", F.lit(0)) >= 20) & (F.size("k") >= 3)).drop("len")
+    # texts with the same keywords are one candidate; its two smallest ids are enough, as one may be the incoming node
+    first = F.row_number().over(Window.partitionBy("kind", "k").orderBy("id"))
+    old = sets(active(existing)).where(F.size("k") > 0).withColumn("r", first).where("r <= 2")
+    old = old.groupBy("kind", F.col("k").alias("b")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    asked = new.select("kind", F.col("k").alias("a")).distinct()
+    rarity = old.select(F.explode("b").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
 
     def prefixes(df, name):
-        words = df.select(name, "kind", F.size("k").alias("n"), F.explode("k").alias("w")).join(rarity, "w", "left")
-        at = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("c", F.lit(0)), "w"))
+        words = df.select(name, "kind", F.size(name).alias("n"), F.explode(name).alias("w")).join(rarity, "w", "left")
+        at = F.row_number().over(Window.partitionBy("kind", name).orderBy(F.coalesce("c", F.lit(0)), "w"))
         return words.withColumn("r", at).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * floor) + 1).select(name, "kind", "w")
 
-    met = prefixes(new, "id").join(prefixes(old, "match"), ["kind", "w"]).where("id <> match").select("id", "match").distinct()
-    rows = met.join(new.select("id", F.col("k").alias("a")), "id").join(old.select("match", F.col("k").alias("b")), "match")
-    rows = rows.withColumn("jaccard", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).where(F.col("jaccard") >= floor)
+    met = prefixes(asked, "a").join(prefixes(old, "b"), ["kind", "w"]).select("kind", "a", "b").distinct()
+    met = met.withColumn("jaccard", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).where(F.col("jaccard") >= floor).join(old, ["kind", "b"])
+    # for each keyword set the best candidates by score and id: two ids, again because one may be the node itself
+    best = met.select("kind", "a", "jaccard", F.explode("ids").alias("match"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("kind", "a").orderBy(F.desc("jaccard"), "match"))).where("r <= 2")
+    rows = new.withColumnRenamed("k", "a").join(best, ["kind", "a"]).where("id <> match")
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("jaccard"), "match"))).where("r = 1").select("id", "match", "jaccard")
 
 
