@@ -136,7 +136,7 @@ def chain(spark, nodes: DataFrame, start: str, depth: int = 64) -> DataFrame:
     return walked
 
 
-def collisions(nodes: DataFrame, idea_id: str, vector: list[float], tags: list[str], low: float = 0.35, high: float = 0.85, k: int = 4, ignored: tuple[str, ...] = ("backfill", "garden")) -> DataFrame:
+def collisions(nodes: DataFrame, idea_id: str, vector: list[float], tags: list[str], low: float = 0.35, high: float = 0.85, k: int = 4, ignored: tuple[str, ...] = ("backfill",)) -> DataFrame:
     """Thoughts at a middling distance from an idea; 0.15 more for those that share no tag with it."""
     own = [t for t in tags if t not in ignored]
     shared = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in own])) if own else F.lit(False)

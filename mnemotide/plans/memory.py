@@ -107,7 +107,7 @@ def r_fetch_pack(s: Store) -> DataFrame:
     return retrieval.pack(hits, 60, [F.desc("importance"), F.col("id")]).select("id", "place", "text", "used")
 
 
-@query(", idea as (select id, embedding, tags from vectors where kind = 'idea' and status = 'active' order by seq limit 1), c as (select v.id, list_cosine_similarity(v.embedding, i.embedding) as c, list_has_any(v.tags, list_filter(i.tags, lambda t: t not in ('backfill', 'garden'))) as shared from vectors v, idea i where v.id <> i.id and v.status = 'active' and v.kind in ('idea', 'insight', 'hypothesis', 'question')) select id, round(c + case when shared then 0 else 0.15 end, 6) as score from c where c between 0.05 and 0.85 order by c + case when shared then 0 else 0.15 end desc, id limit 4")
+@query(", idea as (select id, embedding, tags from vectors where kind = 'idea' and status = 'active' order by seq limit 1), c as (select v.id, list_cosine_similarity(v.embedding, i.embedding) as c, list_has_any(v.tags, list_filter(i.tags, lambda t: t <> 'backfill')) as shared from vectors v, idea i where v.id <> i.id and v.status = 'active' and v.kind in ('idea', 'insight', 'hypothesis', 'question')) select id, round(c + case when shared then 0 else 0.15 end, 6) as score from c where c between 0.05 and 0.85 order by c + case when shared then 0 else 0.15 end desc, id limit 4")
 def r_spark_collisions(s: Store) -> DataFrame:
     idea = active(s.vectors).where("kind = 'idea'").orderBy("seq").select("id", "embedding", "tags").first()
     if idea is None:

@@ -40,7 +40,7 @@ def _sql_redacted() -> str:
     n = len(t.SECRETS)
     p = t.ASSIGNMENT.replace("'", "''")
     steps.append(f"r{n + 1} as (select doc_id, regexp_replace(text, '{p}', '\\1[REDACTED:SECRET_ASSIGN]', 'g') as text, hits + len(regexp_extract_all(text, '{p}')) as hits from r{n})")
-    return SECRETS_SQL + ", " + ", ".join([out, *steps]) + f" select doc_id, md5(text) as digest, hits from r{n + 1}"
+    return SECRETS_SQL + ", " + ", ".join([out, *steps]) + f" select doc_id, md5(text) as digest, hits::int as hits from r{n + 1}"
 
 
 @query(_sql_redacted())
@@ -171,7 +171,7 @@ def w_iso(s: Store) -> DataFrame:
 @query(" select id, upper(account[1]) || account[2:] as account, case when starts_with(id, 'import-') then 'import-chat' when seq % 2 = 0 then 'cli' end as harness, 'Unknown' as maker, case i when 0 then 'Claude' when 1 then 'GPT' when 2 then 'Qwen' else 'Unknown' end as by_name from (select id, account, regexp_extract(id, '(\\d+)$', 1)::bigint as seq, regexp_extract(id, '(\\d+)$', 1)::bigint % 4 as i from sessions)")
 def w_attribution(s: Store) -> DataFrame:
     n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
-    name = F.when(n % 4 == 0, "anthropic/x").when(n % 4 == 1, "o3-mini").when(n % 4 == 2, "lab/qwen-2").otherwise("")
+    name = F.when(n % 4 == 0, "lab/claude-x").when(n % 4 == 1, "o3-mini").when(n % 4 == 2, "lab/qwen-2").otherwise("")
     return s.sessions.select("id", at.canonical_account(F.col("account")).alias("account"), at.harness_of(F.col("id"), default=F.when(n % 2 == 0, "cli")).alias("harness"), at.maker_for_session(F.col("id")).alias("maker"), at.maker_of(name).alias("by_name"))
 
 
@@ -207,7 +207,7 @@ def n_manifest(s: Store) -> DataFrame:
 SCHEDULE = """, r as (select n.*, case when status = 'core' then 0 when coalesce(middle_hits, 0) >= 2 and coalesce(compiled_hits, 0) = 0 and coalesce(total_loads, 0) >= 2 then 1 else 2 end as s0, row_number() over (order by ts, seq) as o from nodes n left join positions p on p.node_id = n.id where session = 'user-12'),
  s1 as (select *, row_number() over (partition by s0 order by ts desc, o) as nw from r), s2 as (select *, case when s0 = 2 and nw <= 3 then 3 else s0 end as section from s1), s3 as (select *, row_number() over (partition by section order by o) - 1 as i from s2),
  s4 as (select *, case section when 2 then i * 0.3819660112501051::double - floor(i * 0.3819660112501051::double) when 3 then nw else o end::double as k from s3), s5 as (select *, row_number() over (order by section, k, o) - 1 as place from s4), s6 as (select *, count(*) over () as n from s5 where place < 40)
- select id, section, place, place >= floor(n / 3) and place < floor(2 * n / 3) as in_middle from s6"""
+ select id, section, place::int as place, place >= floor(n / 3) and place < floor(2 * n / 3) as in_middle from s6"""
 
 
 @query(SCHEDULE)
@@ -229,7 +229,7 @@ def _stored(s: Store) -> DataFrame:
     return some.select("session", (F.col("n") + F.when(F.col("c") % 11 == 0, 9).otherwise(0)).alias("turns"), "last_id")
 
 
-@query(STORED + ", i as (select t.*, row_number() over (partition by session order by turn) as n, count(*) over (partition by session) as total, lag(id) over (partition by session order by turn) as before from turns t) select session, i.id, case when n = coalesce(turns, 0) + 1 then last_id else before end as parent, n from i left join stored using (session) where total > coalesce(turns, 0) and n > coalesce(turns, 0)")
+@query(STORED + ", i as (select t.*, row_number() over (partition by session order by turn) as n, count(*) over (partition by session) as total, lag(id) over (partition by session order by turn) as before from turns t) select session, i.id, case when n = coalesce(turns, 0) + 1 then last_id else before end as parent, n::int as n from i left join stored using (session) where total > coalesce(turns, 0) and n > coalesce(turns, 0)")
 def n_tail_dedup(s: Store) -> DataFrame:
     return w.new_tail(s.turns, _stored(s), ["turn"]).select("session", "id", "parent", "n")
 
@@ -239,7 +239,7 @@ def n_import_report(s: Store) -> DataFrame:
     return w.import_report(s.turns, _stored(s))
 
 
-@query(" select session, segment, count(*) as lines, string_agg(id, ',' order by turn) as ids from (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by session order by turn) as segment from turns) group by 1, 2")
+@query(" select session, segment::bigint as segment, count(*) as lines, string_agg(id, ',' order by turn) as ids from (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by session order by turn) as segment from turns) group by 1, 2")
 def n_turn_segments(s: Store) -> DataFrame:
     rows = w.segments(s.turns, F.col("role") == "user", "session", ["turn"])
     return rows.groupBy("session", "segment").agg(F.count(F.lit(1)).alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda x: x["id"]), ",").alias("ids"))
@@ -255,7 +255,7 @@ def n_longest_streak(s: Store) -> DataFrame:
     return w.longest_streak(s.base, F.col("memory_tier") == 1, "session", ["ts", "seq"])
 
 
-@query(" select id, session, sum(new) over (partition by session order by ts, seq) as visit from (select *, case when lag(ts) over (partition by session order by ts, seq) is null or epoch(ts) - epoch(lag(ts) over (partition by session order by ts, seq)) > 1800 then 1 else 0 end as new from nodes)")
+@query(" select id, session, (sum(new) over (partition by session order by ts, seq))::bigint as visit from (select *, case when lag(ts) over (partition by session order by ts, seq) is null or epoch(ts) - epoch(lag(ts) over (partition by session order by ts, seq)) > 1800 then 1 else 0 end as new from nodes)")
 def x_session_gap(s: Store) -> DataFrame:
     return w.visits(s.base, "session", order=("seq",)).select("id", "session", "visit")
 
@@ -278,12 +278,12 @@ DRIFT_WORDS = r"list_distinct(list_filter(list_transform(regexp_split_to_array(l
 @query(f""", k as (select session, id, row_number() over (partition by session order by ts, seq) as n, {DRIFT_WORDS} as k, ts, seq from nodes where kind = 'tool_call'),
  p as (select *, list_distinct(flatten(list(k) over (partition by session order by n rows between 10 preceding and 1 preceding))) as past from k),
  q as (select *, case when len(coalesce(past, [])) = 0 then 1.0 else len(list_intersect(k, past)) / len(list_distinct(list_concat(k, past)))::double end as similarity, list_filter(k, lambda w: not list_contains(coalesce(past, []), w)) as fresh from p where n % 5 = 0 and n > 5 and len(k) > 0)
- select session, id, n, similarity, list_sort(list_transform(case when len(fresh) > 0 then fresh else k end, lambda w: {{'l': -length(w), 'w': w}}))[1].w as keyword from q where similarity < 0.15""")
+ select session, id, n::int as n, similarity, list_sort(list_transform(case when len(fresh) > 0 then fresh else k end, lambda w: {{'l': -length(w), 'w': w}}))[1].w as keyword from q where similarity < 0.4""")
 def x_drift_windows(s: Store) -> DataFrame:
-    return w.drift(s.base.where("kind = 'tool_call'"), "session", ["ts", "seq"])
+    return w.drift(s.base.where("kind = 'tool_call'"), "session", ["ts", "seq"], floor=0.4)
 
 
-@query(" select id, n from (select id, row_number() over (partition by session order by ts, seq) as n from nodes) where n % 25 = 0")
+@query(" select id, n::int as n from (select id, row_number() over (partition by session order by ts, seq) as n from nodes) where n % 25 = 0")
 def x_heartbeat_counter(s: Store) -> DataFrame:
     return w.counter_triggers(s.base, "session", ["ts", "seq"]).select("id", "n")
 
