@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links of every node's larger neighbours to its smallest one, the table of minima they rest on)."""
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("low").alias("u"), F.col("b").alias("v"))
+    low = scratch.save(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
+    return both.where("b > a").join(low, "a").select(F.col("low").alias("u"), F.col("b").alias("v")), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("v").agg(F.min("u").alias("low"))
+def _small_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    low = scratch.save(edges.groupBy("v").agg(F.min("u").alias("low")))
     moved = edges.join(low, "v").where("u <> low").select(F.col("low").alias("u"), F.col("u").alias("v"))
-    return low.select(F.col("low").alias("u"), "v").unionAll(moved).distinct()
+    return low.select(F.col("low").alias("u"), "v").unionAll(moved).distinct(), low
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -28,8 +29,9 @@ def _digest(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected `edges` (u, v); component is the smallest node reachable.
 
-    A hub with a third of all edges is safe: the minimum is combined before the shuffle, and the join with the
-    minima has one row for each key on one side, so the other side can be split. Nulls and loops are dropped.
+    A hub with a third of all edges is safe: minima are combined before the shuffle and written, so that they join
+    as a table with one row for each key, and the hub's side of the join can be split among tasks. Nulls and loops
+    are dropped.
     """
     e = scratch.save(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     before = _digest(e)
@@ -38,9 +40,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-        nxt = scratch.save(_small_star(_large_star(e)))
+        large, low_1 = _large_star(e, scratch)
+        large = scratch.save(large)
+        small, low_2 = _small_star(large, scratch)
+        nxt = scratch.save(small)
         after = _digest(nxt)
-        scratch.drop(e)
+        for used in (e, low_1, low_2, large):
+            scratch.drop(used)
         e = nxt
         if after == before:
             break

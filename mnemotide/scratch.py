@@ -21,6 +21,18 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Arrow batches of so many megabytes at most, as rows of whole texts differ a thousandfold in size.
+
+    Batches are held several times over while they pass between an executor and its Python workers. A session that
+    already asks for smaller ones is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > megabytes << 20:
+        spark.conf.set(key, str(megabytes << 20))
+
+
 class Scratch:
     """Written tables of one job. `save` returns the reread table; `drop` deletes one that no later step reads."""
 
