@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..scratch import Scratch
+from ..scratch import Scratch, bounded_batches
 from .vec_dedup import local_roots
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -28,7 +28,7 @@ class _Words(dict):
     """64-bit hashes of words; starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -193,13 +193,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     that repeat an id are one document: texts of all of them count. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = scratch.save(texts.mapInArrow(_sketches(width, bands, rows), "id long, n long, f1 long, f2 long, keys array<long>"))
     able = sketched.where("f1 is not null and id is not null")
-    classes = able.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    # tables of groups are written before rows join them, so that a large group's side of the join can be split
+    classes = scratch.save(able.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
     banded = classes.select("rep", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("met")).where("met > 1").select("key", "hub")
+    hubs = scratch.save(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("met")).where("met > 1").select("key", "hub"))
     hits = scratch.save(banded.join(hubs, "key"))
     homes = scratch.save(hits.groupBy("rep").agg(F.min("hub").alias("home")))
     # only documents that met another one move their text again
@@ -216,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     label = homes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "home", F.coalesce("component", "rep").alias("comp"))
     label = label.join(able.select(F.col("id").alias("rep"), "n").distinct(), "rep")
     seen = hits.select("key", "rep").join(label, "rep")
-    apart = seen.groupBy("key").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("h0 <> h1 and c0 <> c1").select("key")
+    apart = scratch.save(seen.groupBy("key").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("h0 <> h1 and c0 <> c1").select("key"))
     seen = seen.join(apart, "key")
     one, two = seen.select([F.col(c).alias(f"{c}_1") for c in seen.columns]), seen.select([F.col(c).alias(f"{c}_2") for c in seen.columns])
     split = F.expr(f"key_1 = key_2 and rep_1 < rep_2 and home_1 <> home_2 and comp_1 <> comp_2 and home_1 <> rep_2 and home_2 <> rep_1 and 100 * least(n_1, n_2) >= {percent} * greatest(n_1, n_2)")
@@ -230,8 +232,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         more = tasks.groupBy("g", "a", "b", "salt").applyInArrow(_verify(width, percent), _EDGES)
         comps = connected_components(edges.unionAll(more), scratch)
 
-    reps = able.select("id", "f1", "f2").join(able.groupBy("f1", "f2").agg(F.min("id").alias("rep")), ["f1", "f2"])
-    placed = reps.select("id", "rep").distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    reps = able.select("id", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
+    placed = reps.select("id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     placed = placed.groupBy("id").agg(F.min("component").alias("component"))
     out = sketched.select("id", "n").join(placed, "id", "left")
     component = F.coalesce("component", "id")
