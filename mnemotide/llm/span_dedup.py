@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, bounded_batches
 
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -143,14 +143,16 @@ def dedup_spans(docs: DataFrame, least: int = 3, least_words: int = 15, longest:
     a null id. Rows that repeat an id and a text are one document; other texts under that id are others.
     An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "spans")
     mark = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     once = rows.mapInArrow(_hashed(least, least_words, longest, False), "h1 long")
-    again = once.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    # written, so that it joins as a table and a very common span's side of the join can be split among tasks
+    again = scratch.save(once.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"))
     places = rows.mapInArrow(_hashed(least, least_words, longest, True), "h1 long, h2 long, id long, mark long, a int, b int")
     found = scratch.save(places.join(again, "h1", "left_semi"))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = scratch.save(found.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first"))
     later = found.join(first, ["h1", "h2"]).where(F.struct("id", "mark", "a") > F.col("first"))
     spans = later.select("id", "mark", "a", "b").distinct().groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     given = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("id"), mark.alias("mark"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
