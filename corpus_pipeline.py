@@ -16,9 +16,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an accepted language go; `lang` becomes the language found."""
-    found = langid.identify(docs, langid.fit_on(docs, sample_rows=2000), host=F.col("source"), keep=("text", "source", "n_chars"))
-    return found.where("accepted").select("doc_id", "text", F.col("language").alias("lang"), "source", "n_chars")
+    """Documents without an accepted language go; `lang` becomes the language found where it differs.
+
+    The operator works on narrow rows; only rejected and relabelled documents, which are few, meet the texts again,
+    so texts need not be shuffled. Rows with a null id stay as they are.
+    """
+    found = langid.identify(docs, langid.fit_on(docs, sample_rows=2000), host=F.col("source"), keep=("lang",))
+    changed = found.where((~F.col("accepted")) | ~F.col("language").eqNullSafe(F.col("lang")))
+    changed = Scratch(spark, "language").save(changed.groupBy("doc_id").agg(F.bool_or("accepted").alias("accepted"), F.max_by("language", "probability").alias("language")))
+    joined = docs.select(*COLUMNS).join(changed, "doc_id", "left").where("coalesce(accepted, true)")
+    return joined.select("doc_id", "text", F.coalesce("language", "lang").alias("lang"), "source", "n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
