@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import MEANING_KINDS, active, days_between, not_void
+from ..scratch import Scratch
 from .filters import maturity
 
 
@@ -56,8 +57,10 @@ def graph_payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def galaxy_bodies(points: DataFrame, floor: float = 80.0) -> DataFrame:
     """(galaxy, x, y, body): centres, and the largest distance of a member from its centre."""
     centres = points.groupBy("galaxy").agg(F.avg("map_x").alias("x"), F.avg("map_y").alias("y"))
-    far = points.join(F.broadcast(centres.limit(10_000)), "galaxy").groupBy("galaxy", "x", "y").agg(F.max(F.hypot(F.col("map_x") - F.col("x"), F.col("map_y") - F.col("y"))).alias("d"))
-    return far.select("galaxy", "x", "y", F.greatest(F.lit(floor), "d").alias("body"))
+    # written, so that it joins as a table; grouping by the struct lets a large galaxy's side of the join be split among tasks
+    centres = Scratch(points.sparkSession, "galaxies").save(centres).select("galaxy", F.struct("galaxy", "x", "y").alias("c"))
+    far = points.join(centres, "galaxy").groupBy("c").agg(F.max(F.hypot(F.col("map_x") - F.col("c.x"), F.col("map_y") - F.col("c.y"))).alias("d"))
+    return far.select("c.galaxy", "c.x", "c.y", F.greatest(F.lit(floor), "d").alias("body"))
 
 
 def live_fill(fresh: DataFrame, centroids: DataFrame, step: float = 9.0) -> DataFrame:

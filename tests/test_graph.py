@@ -179,3 +179,11 @@ def test_layout_has_no_overlap_between_communities(spark):
     assert len(got) == 120 and got.id.is_unique and not got.isna().any(axis=None)
     again = graph.layout(spark.createDataFrame(rows[::-1], "galaxy string, id string, cid int, importance int")).toPandas()
     assert got.sort_values("id").reset_index(drop=True).equals(again.sort_values("id").reset_index(drop=True))
+
+
+def test_layout_places_nodes_of_more_galaxies_than_ten_thousand(spark):
+    n = 10_050
+    rows = spark.range(n).select(F.col("id").cast("string").alias("galaxy"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit(0).alias("cid"), F.lit(1).alias("importance"))
+    got = graph.layout(rows).collect()
+    assert {r.id for r in got} == {f"n{i}" for i in range(n)} and len(got) == n
+    assert len({(r.map_x, r.map_y) for r in got}) == n

@@ -44,3 +44,10 @@ def test_definitions_and_digest(spark):
     assert [tuple(r) for r in reports.definitions(nodes).collect()] == [("golden angle", "a")]
     lines = spark.range(30).select(F.lit("open").alias("section"), (F.col("id") + 1).alias("place"), F.lit("x").alias("line"))
     assert views.orient_digest(lines, {"open": 20}).count() == 20
+
+
+def test_galaxy_bodies_keeps_more_galaxies_than_ten_thousand(spark):
+    n = 12_000
+    points = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("galaxy"), (F.col("id") % n).cast("double").alias("map_x"), F.floor(F.col("id") / n).cast("double").alias("map_y"))
+    got = views.galaxy_bodies(points, floor=0.25).collect()
+    assert {(r.galaxy, r.x, r.y, r.body) for r in got} == {(str(i), float(i), 0.5, 0.5) for i in range(n)} and len(got) == n
