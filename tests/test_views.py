@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mnemotide.model import Store, as_of
 from mnemotide.operators import reports, views
+from mnemotide.plans import sleep
 from mnemotide.plans.sleep import sleep_cycle
 from mnemotide.sources.sinks import read_current
 
@@ -51,3 +52,14 @@ def test_galaxy_bodies_keeps_more_galaxies_than_ten_thousand(spark):
     points = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("galaxy"), (F.col("id") % n).cast("double").alias("map_x"), F.floor(F.col("id") / n).cast("double").alias("map_y"))
     got = views.galaxy_bodies(points, floor=0.25).collect()
     assert {(r.galaxy, r.x, r.y, r.body) for r in got} == {(str(i), float(i), 0.5, 0.5) for i in range(n)} and len(got) == n
+
+
+def test_sleep_cycle_names_more_communities_than_a_hundred_thousand(spark, tmp_path, monkeypatch):
+    n = 100_500
+    ids = spark.range(n).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.col("id").cast("int").alias("cid"))
+    monkeypatch.setattr(sleep.graph, "communities", lambda edges, scratch: ids)
+    monkeypatch.setattr(sleep.graph, "community_names", lambda members: ids.select("cid", F.lit("n").alias("name")))
+    s = Store(spark, SF)
+    out = sleep_cycle(spark, s.nodes, s.vectors, s.sessions, s.ledger, root=str(tmp_path), as_of=as_of(), current="user-12")
+    assert out["communities"] == "1", out
+    assert read_current(spark, str(tmp_path / "communities")).select("community").distinct().count() == n
