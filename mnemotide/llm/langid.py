@@ -99,7 +99,7 @@ def host_of(url: Column) -> Column:
 
 def declared_in(html: Column) -> Column:
     """The primary language that a page's html element declares, or null."""
-    found = F.lower(F.regexp_extract(html, r"(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1))
+    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1))
     return F.when(found != "", found)
 
 

@@ -21,10 +21,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WIDE_LEFT = re.compile(r"[\w.%+-]+\Z")
+_WIDE_LEFT = re.compile(r"[\w.%+-]")
 _WIDE_DOMAIN = re.compile(r"\w[\w-]*(?:\.\w[\w-]*)+")
 _BODY = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_ID = re.compile(r"s?[\x20\t]{0,2}(?:(?:no|nr|number|id)\.?[\x20\t]{0,2})?[:=#]?[\x20\t]{0,2}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_+/-]|[\x20](?=[0-9A-Z]{2,4}(?:[\x20]|\b))){4,62}[A-Za-z0-9])")
+#: Between the end of a cue and its identifier there are at most so many characters; the identifier has no upper bound.
+_LEAD = 16
+_ID = re.compile(r"s?[\x20\t]{0,2}(?:(?:no|nr|number|id)\.?[\x20\t]{0,2})?[:=#]?[\x20\t]{0,2}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_+/-]|[\x20](?=[0-9A-Z]{2,4}(?:[\x20]|\b))){4,}[A-Za-z0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -90,16 +92,19 @@ def expanded_spans(text: str, lowered: str, automaton, base: list[tuple[int, int
     """
     out = []
     done = {"address": 0, "account": 0, "email": 0}
+    dull = 0  # end of a run without four digits: identifiers that begin inside it end with it and have no more
     mails = sorted(s[:2] for s in base if s[2] == "email")
     for last, (kind, size) in automaton.iter(lowered):
         start, end = last + 1 - size, last + 1
         if kind == "@":
             if any(a <= start < b for a, b in mails) or start < done["email"]:
                 continue
-            left, right = _WIDE_LEFT.search(text, max(done["email"], start - 64), start), _WIDE_DOMAIN.match(text, end)
-            if left and right:
+            left, right = start, _WIDE_DOMAIN.match(text, end)
+            while right and left > done["email"] and _WIDE_LEFT.match(text, left - 1, start):
+                left -= 1
+            if left < start and right:
                 tail = right.group().rsplit(".", 1)[1]
-                a = left.start() + len(left.group()) - len(left.group().lstrip(".%+-"))
+                a = start - len(text[left:start].lstrip(".%+-"))
                 if a < start and len(tail) >= 2 and tail.isalpha():
                     out.append((a, right.end(), "email"))
                     done["email"] = right.end()
@@ -117,12 +122,14 @@ def expanded_spans(text: str, lowered: str, automaton, base: list[tuple[int, int
                 out.append((start, stop, "address"))
                 done["address"] = stop
         else:
-            if start < done["account"] or (start and text[start - 1].isalnum()):
+            if start < done["account"] or end + _LEAD < dull or (start and text[start - 1].isalnum()):
                 continue
             m = _ID.match(text, end)
             if m and sum(c.isdigit() for c in m.group(1)) >= 4:
                 out.append((*m.span(1), "account"))
                 done["account"] = m.end(1)
+            elif m:
+                dull = m.end(1)
     return out
 
 

@@ -68,3 +68,8 @@ def test_odd_rows(spark):
 def test_declared_and_host(spark):
     row = spark.createDataFrame([('<!DOCTYPE html><HTML class="x" LANG="fr-CA"><p>', "https://u:p@News.Example.FR:80/x?y://z")], "html string, url string")
     assert tuple(row.select(langid.declared_in(F.col("html")), langid.host_of(F.col("url"))).first()) == ("fr", "news.example.fr")
+
+
+def test_language_declared_behind_a_long_comment(spark):
+    pages = spark.createDataFrame([("<!-- " + "x" * 50_000 + " -->\n<HTML class='a' lang='de'>",), ("y" * 5000,)], "html string")
+    assert [r[0] for r in pages.select(langid.declared_in(F.col("html"))).collect()] == ["de", None]

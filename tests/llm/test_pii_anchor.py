@@ -68,3 +68,21 @@ def test_table(spark):
     assert empty.base_sha256 == hashlib.sha256(b"").hexdigest() and empty.clean_text is None
     assert got[got.doc_id == 4].iloc[0].n_card == 1 and got[got.doc_id.isna()].iloc[0].n_phone == 1
     assert personal_data(spark.createDataFrame([], docs.schema)).collect() == []
+
+
+def test_long_identifiers_and_local_parts_are_covered_to_their_end():
+    secret = "".join(f"aB{i % 10}" for i in range(40))
+    for token in (secret, "x" * 100 + "1234", "a1" * 3000, "-".join(["ab12"] * 50)):
+        text = f"the token: {token}, and more"
+        at = text.index(token)
+        every = all_spans(text, anchors())[1]
+        assert every == [(at, at + len(token), "account")]
+        assert redacted(text, every) == "the token: [ACCOUNT], and more"
+    local = "é" + "b" * 100
+    text = f"write to {local}@exämple.org now"
+    assert redacted(text, all_spans(text, anchors())[1]) == "write to [EMAIL] now"
+
+
+def test_runs_with_many_cues_take_one_pass():
+    text = "/tokenx" * 60_000 + ": token 123456 " + "/passwordx" * 100 + " pwd=abc12345"
+    assert [text[a:b] for a, b, _ in all_spans(text, anchors())[1]] == ["123456", "abc12345"]
