@@ -137,12 +137,12 @@ STAR = ", tagged as (select distinct id, session, ts, seq, trim(regexp_replace(l
 
 @query(STAR + " select * from entity_edges")
 def g_entity_star(s: Store) -> DataFrame:
-    return graph.entity_edges(s.base.where("seq % 7 = 0 and seq < 1400"), [F.col("ts"), F.col("seq")], share=0.5)
+    return graph.entity_edges(s.base, [F.col("ts"), F.col("seq")], share=0.5)
 
 
 @query(PAIRS + KNN + STAR + ", every as (select * from semantic union all select * from entity_edges union all select p.id, c.id, 'chain', null, 1.0 from nodes c join nodes p on c.parent = p.id where c.status = 'active' and p.status = 'active') select type, tier, count(*) as edges from every group by 1, 2")
 def g_edge_report(s: Store) -> DataFrame:
-    parts = [_semantic(s), graph.entity_edges(s.base.where("seq % 7 = 0 and seq < 1400"), [F.col("ts"), F.col("seq")], share=0.5), graph.chain_edges(s.nodes)]
+    parts = [_semantic(s), graph.entity_edges(s.base, [F.col("ts"), F.col("seq")], share=0.5), graph.chain_edges(s.nodes)]
     return graph.edge_report(graph.build_edges(parts))
 
 
