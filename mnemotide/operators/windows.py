@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def segments(lines: DataFrame, boundary: Column, by: str, order: list[str]) -> DataFrame:
     """`lines` with `segment`: how many boundaries came up to and including each line of its file."""
@@ -85,3 +87,12 @@ def longest_streak(rows: DataFrame, flag: Column, by: str, order: list[str]) ->
     rows = rows.withColumn("_f", flag).withColumn("_g", F.row_number().over(w) - F.sum(F.col("_f").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.where("_f").groupBy(by, "_g").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(by).distinct().join(runs.groupBy(by).agg(F.max("n").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("streak"))
+
+
+def placed(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
+    """`rows` with i: numbers from 0 in the order of `by`. Ranges are dealt out, written and numbered each by itself."""
+    parts = scratch.save(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    return parts.withColumn("i", inside).join(starts, "part").withColumn("i", F.col("start") + F.col("i")).drop("part", "start")

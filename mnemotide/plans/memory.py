@@ -174,7 +174,7 @@ def g_names(s: Store) -> DataFrame:
 
 
 def _name_rows(s: Store) -> DataFrame:
-    return s.base.where("seq < 600").select(F.substring_index("community", "|", 1).alias("cid"), "kind", F.col("query").alias("text"))
+    return s.base.select(F.substring_index("community", "|", 1).alias("cid"), "kind", F.col("query").alias("text"))
 
 
 STOP = ", ".join(f"'{w}'" for w in graph.NAME_STOP)
@@ -191,7 +191,7 @@ def g_names_of_topics(s: Store) -> DataFrame:
 
 @query()
 def g_layout(s: Store) -> DataFrame:
-    rows = s.base.where("seq < 2000").join(s.sessions.select(F.col("id").alias("session"), "account"), "session")
+    rows = s.base.join(s.sessions.select(F.col("id").alias("session"), "account"), "session")
     cid = F.when(F.col("seq") % 5 != 0, F.regexp_extract("community", r"^c(\d+)", 1).cast("int"))
     return graph.layout(rows.select(F.coalesce("account", F.lit("none")).alias("galaxy"), "id", cid.alias("cid"), "importance"))
 
@@ -302,7 +302,7 @@ def w_fold_changes(s: Store) -> DataFrame:
 def w_immutability(s: Store) -> DataFrame:
     """Every sixth row is gone, changed in content, made active again, voided, flagged or moved to another tier."""
     n = F.col("seq") % 6
-    before = s.nodes.where("seq < 1000").withColumns({"embedding": F.lit(None).cast("array<double>"), "gist": F.lit(None).cast("string"), "flagged": F.when(n == 4, False).otherwise(F.col("flagged"))})
+    before = s.nodes.withColumns({"embedding": F.lit(None).cast("array<double>"), "gist": F.lit(None).cast("string"), "flagged": F.when(n == 4, False).otherwise(F.col("flagged"))})
     after = before.where(n != 0).withColumns({
         "query": F.when(n == 1, F.concat("query", F.lit("!"))).otherwise(F.col("query")), "status": F.when(n == 2, "active").when(n == 3, "void").otherwise(F.col("status")),
         "flagged": F.when(n == 4, True).otherwise(F.col("flagged")), "memory_tier": F.when(n == 5, 1).otherwise(F.col("memory_tier")),

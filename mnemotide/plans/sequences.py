@@ -10,6 +10,7 @@ from ..functions import text as t
 from ..model import Store, importance_of
 from ..operators import dynamics
 from ..operators import windows as w
+from ..scratch import Scratch
 from .registry import query
 
 
@@ -193,10 +194,8 @@ def w_account_ladder(s: Store) -> DataFrame:
 
 @query(" select i, (i * 0.3819660112501051::double) - floor(i * 0.3819660112501051::double) as position from (select (row_number() over (order by seq) - 1)::int as i from nodes where seq < 1000)")
 def n_golden_positions(s: Store) -> DataFrame:
-    from pyspark.sql import Window
-
-    i = (F.row_number().over(Window.orderBy("seq")) - 1).alias("i")
-    return s.base.where("seq < 1000").select(i).select("i", dynamics.golden_position(F.col("i")).alias("position"))
+    rows = w.placed(s.base.select("seq"), "seq", Scratch(s.spark, "places"))
+    return rows.select(F.col("i").cast("int").alias("i")).select("i", dynamics.golden_position(F.col("i")).alias("position"))
 
 
 @query(", m as (select session, id, memory_tier, row_number() over (partition by session, memory_tier order by ts, seq) - 1 as i from nodes where status <> 'void' and memory_tier <= 1) select session, id, memory_tier, position, (position // 10000)::int as band from (select *, case when memory_tier = 0 then 0 else floor((i * 0.3819660112501051::double - floor(i * 0.3819660112501051::double)) * 200000) end::int as position from m)".replace("(position // 10000)::int", "floor(position / 10000)::int"))

@@ -2,15 +2,23 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from mnemotide.plans.catalogue import ORACLE_SQL, QUERIES
 
+from mnemotide.model import Store
+from mnemotide.operators import windows
+from mnemotide.scratch import Scratch
+
 from test_catalogue import TABLES, _plain
 
 DIR = "/root/testdata/"
 BOUNDS = {
     "g_entity_star": ("sf0.01", [" and seq % 7 = 0 and seq < 1400"]),
     "g_edge_report": ("sf0.01", [" and seq % 7 = 0 and seq < 1400"]),
+    "g_names_of_topics": ("sf0.01", [" where seq < 600"]),
+    "n_golden_positions": ("sf0.01", [" where seq < 1000"]),
+    "w_immutability": ("sf0.01", [" and seq < 1000"]),
 }
 
 
@@ -30,4 +38,19 @@ def test_query_reads_all_rows(spark, name):
     at = [names.index(x) for x in cols]
     want = sorted(tuple(_plain(r[i]) for i in at) for r in found.fetchall())
     assert sorted(tuple(_plain(r[x]) for x in cols) for r in df.collect()) == want
-    print(name, len(want))
+
+
+def test_layout_places_every_node(spark):
+    s = Store(spark, DIR + "sf0.01")
+    got = [r.id for r in QUERIES["g_layout"](spark, DIR + "sf0.01").select("id").collect()]
+    assert sorted(got) == sorted(r.id for r in s.base.select("id").collect())
+
+
+def test_places_follow_the_order_over_many_partitions(spark):
+    rows = spark.range(0, 30_000, 3, 7).select((F.col("id") * 7919 % 30_011).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(tuple(r) for r in windows.placed(rows, "k", Scratch(spark, "test")).select("i", "k").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == list(enumerate(sorted(r.k for r in rows.collect())))
