@@ -122,7 +122,7 @@ def j_left_atlas(s: Store) -> DataFrame:
 
 @query(" select s.id, s.account, count(n.id) as nodes from sessions s left join nodes n on n.session = s.id and n.kind = 'warning' and n.seq % 40 = 0 group by s.id, s.account")
 def j_sessions_left_count(s: Store) -> DataFrame:
-    warned = s.base.where("kind = 'warning' and seq % 40 = 0").groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    warned = s.base.where("kind = 'warning'").groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     return s.sessions.select("id", "account").join(warned.withColumnRenamed("session", "id"), "id", "left").select("id", "account", F.coalesce("n", F.lit(0)).alias("nodes"))
 
 

@@ -119,7 +119,7 @@ KEYWORDS = f"list_distinct(list_filter(list_transform(list_filter(regexp_split_t
 
 @query(f", k as (select id, kind, status, seq, query, {KEYWORDS} as k from nodes where kind in ('decision', 'open_item', 'warning')), m as (select a.id, b.id as match, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))::double as jaccard from k a join k b on a.kind = b.kind and a.id <> b.id where a.seq % 40 = 0 and length(a.query) >= 20 and len(a.k) >= 3 and b.status = 'active' and b.seq % 5 = 0 and len(b.k) > 0) select id, match, jaccard from (select *, row_number() over (partition by id order by jaccard desc, match) as r from m where jaccard >= 0.45) where r = 1")
 def w_near_duplicate(s: Store) -> DataFrame:
-    return dynamics.near_duplicates(s.base.where("seq % 40 = 0"), s.base.where("seq % 5 = 0"))
+    return dynamics.near_duplicates(s.base, s.base)
 
 
 NOISE_SQL = " or ".join(f"contains(lower(trim(x)), '{p}')" for p in t.IMPORT_NOISE)

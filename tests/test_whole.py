@@ -17,8 +17,10 @@ BOUNDS = {
     "g_entity_star": ("sf0.01", [" and seq % 7 = 0 and seq < 1400"]),
     "g_edge_report": ("sf0.01", [" and seq % 7 = 0 and seq < 1400"]),
     "g_names_of_topics": ("sf0.01", [" where seq < 600"]),
+    "j_sessions_left_count": ("sf0.01", [" and n.seq % 40 = 0"]),
     "n_golden_positions": ("sf0.01", [" where seq < 1000"]),
     "w_immutability": ("sf0.01", [" and seq < 1000"]),
+    "w_near_duplicate": ("sf0.001", ["a.seq % 40 = 0 and ", " and b.seq % 5 = 0"]),
 }
 
 
