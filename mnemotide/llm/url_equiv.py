@@ -55,17 +55,42 @@ def matching_rule(rows: DataFrame, rules: list[Rule], host: str, path: str, inli
     return rows.join(best, [host, path], "left")
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its `.` and `..` segments."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
+    )
+    out = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.concat(out, F.lit("/"))).otherwise(out)
+
+
+def resolved(ref: Column, base: Column) -> Column:
+    """The absolute URL that `ref` names on a page at the URL `base` (RFC 3986, 5.2); null without `://`, for other
+    schemes and for mere fragments."""
+    origin = F.regexp_extract(base, r"(?s)^([^?#]*?://[^/?#]*)", 1)
+    own = F.regexp_extract(base, r"(?s)^[^?#]*?://[^/?#]*([^?#]*)", 1)
+    path, rest = F.regexp_extract(ref, r"(?s)^([^?#]*)", 1), F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(F.contains(own, F.lit("/")), F.regexp_extract(own, r"(?s)^(.*/)", 1)).otherwise(F.lit("/"))
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (origin == "") | (ref == "") | F.startswith(ref, F.lit("#")), F.lit(None).cast("string"))
+        .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*?:)//", 1), ref))
+        .when(F.startswith(ref, F.lit("?")), F.concat(origin, own, ref))
+        .otherwise(F.concat(origin, F.when(F.contains(whole, F.lit("/.")), _without_dots(whole)).otherwise(whole), rest))
+    )
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): pairs of page URLs and the absolute URLs that their canonical links or refresh redirects name."""
+    """(u, v): pairs of page URLs and the URLs that their canonical links or refresh redirects name, made absolute."""
     attr = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     meta = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>;]+)"
     tags = pages.where(F.col(url_col).isNotNull() & (F.contains(F.lower(html_col), F.lit("canonical")) | F.contains(F.lower(html_col), F.lit("http-equiv"))))
     found = tags.select(F.col(url_col).alias("u"), F.explode(F.array_union(F.regexp_extract_all(html_col, F.lit(attr), F.lit(1)), F.regexp_extract_all(html_col, F.lit(meta), F.lit(1)))).alias("v"))
     found = found.select("u", F.regexp_replace("v", "&amp;", "&").alias("v"))
-    origin = F.regexp_extract("u", r"^([^?#]*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("u", r"^([^?#]*?:)//", 1)
-    absolute = F.when(F.contains("v", F.lit("://")), F.col("v")).when(F.startswith("v", F.lit("//")), F.concat(scheme, "v")).when(F.startswith("v", F.lit("/")) & (origin != ""), F.concat(origin, "v"))
-    return found.select("u", absolute.alias("v")).where("v is not null")
+    return found.select("u", resolved(F.col("v"), F.col("u")).alias("v")).where("v is not null")
 
 
 def page_key(url: Column) -> Column:

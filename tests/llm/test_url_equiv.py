@@ -1,6 +1,8 @@
 import itertools
 
-from mnemotide.llm.url_equiv import Rule, judge, page_key
+from urllib.parse import urljoin
+
+from mnemotide.llm.url_equiv import Rule, judge, page_key, resolved
 
 PAGES = "page_id long, url string, html string, host int, rule int, key int, component int"
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
@@ -59,3 +61,27 @@ def test_empty_and_unlinked(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in one.select(page_key(F.col("u"))).collect()][0] == "a.b/c?d"
+
+
+def test_relative_references_are_resolved(spark):
+    bases = ["http://h.org/a/b/c.html?x=1#f", "http://h.org/a/", "https://h.org/a"]
+    refs = ["home.html", "./8", "../8", "../../../8", "?id=8", "/x/../y", "a/./b/..", ".", "..", "//o.net/z", "http://o.net/q", "d/e?u=http://z.com/../k#s", "/go?u=http://z.com", "a.b", ".hidden", "..."]
+    table = spark.createDataFrame(list(itertools.product(refs, bases)), "r string, b string")
+    for row in table.select("r", "b", resolved(table.r, table.b).alias("v")).collect():
+        assert row.v == urljoin(row.b, row.r), row
+    odd = spark.createDataFrame([("mailto:a@b.c", bases[0]), ("#top", bases[0]), ("x", "no-scheme/y"), (None, bases[0])], "r string, b string")
+    assert [r[0] for r in odd.select(resolved(odd.r, odd.b)).collect()] == [None] * 4
+    bare = spark.createDataFrame([("x.html", "http://h.org"), ("../x.html", "http://h.org?q=/a/b")], "r string, b string")
+    assert {r[0] for r in bare.select(resolved(bare.r, bare.b)).collect()} == {"http://h.org/x.html"}
+
+
+def test_verdicts_reach_pages_over_relative_links(spark):
+    rows = [
+        (1, "http://bad.com/d/7.html", "<link rel=canonical href='8.html'>"), (2, "http://bad.com/d/8.html", ""),
+        (3, "http://bad.com/e/x", "<meta http-equiv=refresh content='0;url=../home.html'>"), (4, "http://bad.com/home.html", ""),
+        (5, "http://bad.com/f?id=1", "<link rel='canonical' href='?id=8'>"), (6, "http://bad.com/f?id=8", ""), (7, "http://bad.com/g", ""),
+    ]
+    rules = [Rule("block", "bad.com", "/d/7"), Rule("block", "bad.com", "/e/"), Rule("allow", "bad.com", "/none")]
+    got = {r.page_id: (r.verdict, r.group) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert {i: v for i, (v, _) in got.items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
+    assert got[5][1] == got[6][1] is not None and got[7][1] is None
