@@ -52,6 +52,93 @@ def record_shown(ids: DataFrame, session: str, channel: str, trigger: str, at: C
     return ids.select(F.posexplode("ids").alias("position", "node_id")).select("node_id", F.lit(session).alias("session"), F.lit(channel).alias("channel"), "position", F.lit(trigger).alias("trigger"), at.alias("shown_at"), F.lit(False).alias("cited"))
 
 
+def _change(rows: DataFrame, field: str, value: Column, at: Column) -> DataFrame:
+    return rows.select("id", F.lit(field).alias("field"), value.cast("string").alias("value"), at.alias("at"))
+
+
+def exposures(receipts: DataFrame) -> DataFrame:
+    """Changes that stamp every shown node with the time of its last showing, for `fold_changes`."""
+    last = receipts.groupBy(F.col("node_id").alias("id")).agg(F.max("shown_at").alias("at"))
+    return _change(last, "last_injected", F.col("at"), F.col("at"))
+
+
+# How stability grows when a memory proves its use, in days up to a year.
+GROWTH, YEAR = {"member": 1.3, "proxy": 1.3, "report": 1.6, "review": 1.2}, 365.0
+
+
+def grown(nodes: DataFrame, proven: DataFrame, at: Column) -> DataFrame:
+    """Changes to the stability of nodes that were recalled: `proven` has id and why, a key of `GROWTH`.
+
+    Several proofs of one kind count once; those of different kinds multiply. Void nodes do not grow.
+    """
+    factor = F.create_map(*[F.lit(x) for pair in GROWTH.items() for x in pair])
+    by = proven.select("id", "why").distinct().groupBy("id").agg(F.product(factor[F.col("why")]).alias("f"))
+    rows = not_void(nodes).join(by, "id")
+    return _change(rows, "stability_days", F.least(F.lit(YEAR), F.coalesce(F.nullif("stability_days", F.lit(0.0)), F.lit(1.0)) * F.col("f")), at)
+
+
+def cited_in(nodes: DataFrame, reports: DataFrame) -> DataFrame:
+    """(id, why): active nodes of a session, and hot ones of any, that the text of a session's report names by id.
+
+    `reports` has session and text. Names are taken from the texts, so a report meets the nodes it names and no others.
+    """
+    named = reports.select("session", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z_]+"), F.lit(0)))).alias("id")).distinct()
+    rows = active(nodes).select("id", F.col("session").alias("own"), "memory_tier").join(named, "id").where("own = session or memory_tier = 0")
+    return rows.select("id", F.lit("report").alias("why")).distinct()
+
+
+def absorbed_members(members: DataFrame, nodes: DataFrame, at: Column) -> DataFrame:
+    """Changes to the members (id) of new consolidated nodes: more stable, stamped as of now, and warm ones become cold."""
+    ids = members.select("id").distinct()
+    rows = not_void(nodes).join(ids, "id", "left_semi")
+    changes = grown(nodes, ids.withColumn("why", F.lit("member")), at).unionByName(_change(rows, "last_injected", at, at))
+    return changes.unionByName(_change(rows.where("memory_tier = 1"), "memory_tier", F.lit(2), at))
+
+
+def tier_steps(nodes: DataFrame, steps: DataFrame, at: Column) -> DataFrame:
+    """Changes of tiers by `steps` (id, step): -1 is one tier hotter, 1 one colder, within 0 and 2; none where none moves."""
+    rows = nodes.join(steps.groupBy("id").agg(F.sum("step").alias("step")), "id")
+    to = F.greatest(F.lit(0), F.least(F.lit(2), F.col("memory_tier") + F.col("step")))
+    return _change(rows.where(to != F.col("memory_tier")), "memory_tier", to, at)
+
+
+def warm_limit(context_tokens: int = 200_000) -> int:
+    """How many warm blocks a session may be sent: 40 for a window of 200,000 tokens, in proportion."""
+    return -(-40 * context_tokens // 200_000)
+
+
+def warm_sent(ledger: DataFrame, nodes: DataFrame, verbatim: int = 3) -> DataFrame:
+    """(session, sent): warm blocks that heartbeats sent to each session, gists as thirds. It comes from the receipts of
+    the session itself, so a new session begins with nothing spent."""
+    beats = ledger.where("channel = 'heartbeat'").join(nodes.where("memory_tier = 1").select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    return beats.groupBy("session").agg(F.sum(F.when(F.col("position") < verbatim, 1.0).otherwise(1 / 3.0)).alias("sent"))
+
+
+def heartbeat_packs(fired: DataFrame, nodes: DataFrame, ledger: DataFrame, as_of: Column, verbatim: int = 3, gists: int = 6, context_tokens: int = 200_000) -> DataFrame:
+    """(session, place, id, form): what a heartbeat shows each session in `fired`: the most due memories of other sessions,
+    the first `verbatim` in full and the next `gists` as gists. A session over its warm limit gets hot ones only.
+
+    Any session's pack lies within the first 2k (k = verbatim + gists) of the list that holds the k most due of each
+    session, as leaving out its own takes k of them at most. So all sessions meet one short list, made once for warm and
+    once for hot alone.
+    """
+    k = verbatim + gists
+    due = pressure(as_of) / (1 + F.coalesce("shows", F.lit(0)) / 25.0) * F.when(F.col("memory_tier") == 0, 2.0).otherwise(1.0)
+    rows = active(nodes).where(F.col("kind").isin(*HEARTBEAT_KINDS) & (F.col("memory_tier") <= 1)).join(shows(ledger), "id", "left").select("id", F.col("session").alias("own"), "memory_tier", due.alias("due"))
+    order = [F.desc("due"), F.col("id")]
+    lists = None
+    for gate, part in ((False, rows), (True, rows.where("memory_tier = 0"))):
+        near = part.withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(*order))).where(F.col("r") <= k)
+        one = near.orderBy(*order).limit(2 * k).withColumn("hot_only", F.lit(gate))
+        lists = one if lists is None else lists.unionByName(one)
+    over = F.coalesce("sent", F.lit(0.0)) >= warm_limit(context_tokens)
+    asked = fired.select("session").distinct().join(warm_sent(ledger, nodes, verbatim), "session", "left").select("session", over.alias("hot_only"))
+    met = asked.join(F.broadcast(lists), "hot_only").where("own <> session")
+    place = F.row_number().over(Window.partitionBy("session").orderBy(*order)) - 1
+    met = met.withColumn("place", place).where(F.col("place") < k)
+    return met.select("session", "place", "id", F.when(F.col("place") < verbatim, "verbatim").otherwise("gist").alias("form"))
+
+
 def hot_lease(nodes: DataFrame, ledger: DataFrame, as_of: Column, most_shows: int = 150, days: float = 14) -> DataFrame:
     """Hot, unflagged nodes that are old and were shown too often: they become warm."""
     worn = shows(ledger).where(F.col("shows") > most_shows)
@@ -67,14 +154,6 @@ def cold_demotion(nodes: DataFrame, sessions: DataFrame, current: str, reference
     return rows.select("id", "session", F.lit(2).alias("memory_tier"))
 
 
-def shifted_tier(tier: Column, step: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(2), tier + step))
-
-
-def grown_stability(stability: Column, factor: float, cap: float = 365.0) -> Column:
-    return F.least(F.lit(cap), stability * factor)
-
-
 def golden_position(index: Column) -> Column:
     """Places in [0, 1) that spread evenly at any count."""
     return F.pmod(index * F.lit(PHI_INV_SQ), F.lit(1.0))
@@ -263,15 +342,19 @@ def immutability_violations(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def fold_changes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Nodes with the latest value of every change: rows (id, field, value, at) for status, flagged, memory_tier and
-    stability_days. Facts stay append-only; a void is final."""
+    """Nodes with the latest value of every change: rows (id, field, value, at) for status, flagged, memory_tier,
+    stability_days and last_injected. Facts stay append-only; a void is final."""
+    stamped = "last_injected" in nodes.columns
     latest = changes.groupBy("id").agg(
+        F.max(F.when(F.col("field") == "last_injected", F.col("value").try_cast("timestamp"))).alias("_shown"),
         F.max(F.when((F.col("field") == "status") & (F.col("value") == "void"), "void")).alias("_void"), F.bool_or((F.col("field") == "flagged") & (F.col("value") == "true")).alias("_flag"),
         F.max_by(F.when(F.col("field") == "memory_tier", F.col("value")), F.when(F.col("field") == "memory_tier", F.col("at"))).alias("_tier"),
         F.max_by(F.when(F.col("field") == "stability_days", F.col("value")), F.when(F.col("field") == "stability_days", F.col("at"))).alias("_stability"),
     )
     rows = nodes.join(latest, "id", "left")
+    if stamped:
+        rows = rows.withColumn("last_injected", F.greatest("last_injected", "_shown"))
     return rows.withColumns({
         "status": F.coalesce("_void", "status"), "flagged": F.col("flagged") | F.coalesce("_flag", F.lit(False)),
         "memory_tier": F.coalesce(F.col("_tier").cast("int"), F.col("memory_tier")), "stability_days": F.greatest(F.lit(0.1), F.coalesce(F.col("_stability").cast("double"), F.col("stability_days"))),
-    }).drop("_void", "_flag", "_tier", "_stability")
+    }).drop("_shown", "_void", "_flag", "_tier", "_stability")

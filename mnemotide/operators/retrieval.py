@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PREVIEW_CHARS, QUESTION_STOP, TIME_CUES
-from ..functions.vectors import cosine_to
+from ..functions.vectors import cosine_to, of_dimension
 from ..model import active, days_between, not_void
+from ..scratch import Scratch
 
 # Weights of relevance, recency, keywords and importance, and the daily decay.
 WEIGHTS, TIME_WEIGHTS, DECAY = (0.50, 0.05, 0.25, 0.20), (0.45, 0.25, 0.15, 0.15), 0.07
@@ -36,10 +37,11 @@ def hybrid_search(nodes: DataFrame, question: str, query_vector: list[float], as
     """The k best non-void embedded nodes with `score`, ties by id.
 
     Score is cosine, exponential recency, keyword share and importance / 10, weighted; a question about time weighs
-    recency more. One pass without a shuffle but for the k rows of each partition.
+    recency more. Vectors of another dimension than the question's stay out. One pass without a shuffle but for the k
+    rows of each partition.
     """
     w = TIME_WEIGHTS if is_temporal(question) else WEIGHTS
-    rows = not_void(nodes).where(F.col("embedding").isNotNull())
+    rows = of_dimension(not_void(nodes), "embedding", len(query_vector))
     if session is not None:
         rows = rows.where(F.col("session") == session)
     age = F.greatest(F.lit(0.0), days_between(as_of, F.col("ts")))
@@ -123,17 +125,81 @@ def drift_walk(edges: DataFrame, topics: DataFrame, seeds: DataFrame, hops: int
     return best.orderBy(F.desc("score"), "id").limit(k)
 
 
-def chain(spark, nodes: DataFrame, start: str, depth: int = 64) -> DataFrame:
-    """(id, kind, step): the node and its ancestors; step 0 is the node. A cycle ends where it closes."""
-    nodes.select("id", "kind", "parent").createOrReplaceTempView("_chain_nodes")
-    walked = spark.sql(
-        f"with recursive up(id, kind, parent, step, path) max recursion level {depth + 1} as ("
-        f"select id, kind, parent, 0, array(id) from _chain_nodes where id = :start union all "
-        f"select n.id, n.kind, n.parent, u.step + 1, array_append(u.path, n.id) from _chain_nodes n join up u on n.id = u.parent "
-        f"where u.step < {depth} and not array_contains(u.path, n.id)) select id, kind, step from up",
-        args={"start": start},
-    )
-    return walked
+def chain(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id, kind, step): each id in `starts` and all of its ancestors up to the root; step 0 is the node itself.
+
+    A cycle ends where it closes; a parent that is not there ends the walk. Jumps double: after n rounds a table leads
+    from each node to its ancestor 2 ** n steps up, so a lineage of a million steps takes twenty rounds, each a join of
+    narrow rows. Nothing cuts the walk.
+    """
+    scratch = Scratch(nodes.sparkSession, "chain")
+    jump = scratch.save(nodes.where("parent is not null").select("id", F.col("parent").alias("up")).join(nodes.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))
+    found = scratch.save(starts.select(F.col("id").alias("start")).distinct().join(nodes.select(F.col("id").alias("start")), "start", "left_semi").select("start", F.col("start").alias("id"), F.lit(0).cast("long").alias("step")))
+    size, reach = found.count(), 1
+    while True:
+        further = found.join(jump, "id").select("start", F.col("up").alias("id"), (F.col("step") + reach).alias("step"))
+        grown = scratch.save(found.unionAll(further).groupBy("start", "id").agg(F.min("step").alias("step")))
+        now = grown.count()
+        scratch.drop(found)
+        found = grown
+        if now == size:
+            return found.join(nodes.select("id", "kind"), "id").select("start", "id", "kind", F.col("step").cast("int").alias("step"))
+        size, reach = now, reach * 2
+        doubled = scratch.save(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")))
+        scratch.drop(jump)
+        jump = doubled
+
+
+def session_scan(nodes: DataFrame, session: str, with_void: bool = False) -> DataFrame:
+    """The nodes of one session by time."""
+    rows = nodes if with_void else not_void(nodes)
+    return rows.where(F.col("session") == session).orderBy("ts", "id")
+
+
+def keyword_search(nodes: DataFrame, text: str, k: int = 12, cols: tuple[str, ...] = ("query", "episodic_text", "gist")) -> DataFrame:
+    """The reading surface's fallback: active nodes of which a text or the gist holds the words, by importance and time."""
+    like = F.lit(False)
+    for c in cols:
+        like = like | F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
+    return active(nodes).where(like).orderBy(F.desc("importance"), F.desc("ts"), "id").limit(k)
+
+
+def node_view(nodes: DataFrame, node: str, children: int = 20, holders: int = 5, near: int = 5, bridges: int = 8) -> DataFrame:
+    """(section, place, id, similarity, entity): everything around one node.
+
+    Sections: chain (root first), children by time, members that its tags name, nodes whose tags name it, its nearest
+    by cosine, and nodes that share one of its first six entities (six by importance for each, eight in all). The node
+    itself is one row that is read first; what follows are filters and top-k of one pass each.
+    """
+    own = nodes.where(F.col("id") == node).select("tags", "embedding").first()
+    none = F.lit(None)
+
+    def part(rows: DataFrame, section: str, order: list[Column], similarity: Column | None = None, entity: Column | None = None) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order))
+        return rows.select(F.lit(section).alias("section"), place.alias("place"), "id", (none.cast("double") if similarity is None else similarity).alias("similarity"), (none.cast("string") if entity is None else entity).alias("entity"))
+
+    tags = [t for t in (own["tags"] or [])] if own else []
+    start = nodes.where(F.col("id") == node).select("id")
+    out = part(chain(nodes, start), "chain", [F.desc("step")])
+    out = out.unionByName(part(not_void(nodes).where(F.col("parent") == node).orderBy("ts", "id").limit(children), "children", [F.col("ts"), F.col("id")]))
+    members = [t[7:] for t in tags if t.startswith("member:")]
+    order = F.create_map(*[F.lit(x) for i, m in reversed(list(enumerate(members))) for x in (m, i)]) if members else F.create_map().cast("map<string,int>")
+    out = out.unionByName(part(nodes.where(F.col("id").isin(*members)) if members else nodes.limit(0), "members", [order[F.col("id")], F.col("id")]))
+    held = active(nodes).where(F.exists("tags", lambda t: F.contains(t, F.lit(f"member:{node}")))).orderBy("id").limit(holders)
+    out = out.unionByName(part(held, "member_of", [F.col("id")]))
+    vector = [float(x) for x in own["embedding"]] if own and own["embedding"] is not None else []
+    if any(vector):
+        alike = of_dimension(active(nodes), "embedding", len(vector)).where(F.col("id") != node).select("id", cosine_to("embedding", vector).alias("c")).orderBy(F.desc("c"), "id").limit(near)
+        out = out.unionByName(part(alike, "neighbours", [F.desc("c"), F.col("id")], F.round("c", 3)))
+    entities = [t for t in tags if t.startswith("entity:")][:6]
+    if entities:
+        named = F.filter(F.array(*[F.struct(F.lit(i).alias("e"), F.lit(t).alias("t")) for i, t in enumerate(entities)]), lambda x: F.exists("tags", lambda t: F.contains(t, x["t"])))
+        hits = active(nodes).where(F.col("id") != node).select("id", "importance", F.explode(named).alias("x")).select("id", "importance", "x.e", "x.t")
+        hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy(F.desc("importance"), "id"))).where("r <= 6")
+        first = hits.groupBy("id").agg(F.min(F.struct("e", "r", "t")).alias("b"))
+        first = first.orderBy("b.e", "b.r").limit(bridges)
+        out = out.unionByName(part(first, "entities", [F.col("b.e"), F.col("b.r")], None, F.substring(F.col("b.t"), F.lit(8), F.length("b.t"))))
+    return out
 
 
 def collisions(nodes: DataFrame, idea_id: str, vector: list[float], tags: list[str], low: float = 0.35, high: float = 0.85, k: int = 4, ignored: tuple[str, ...] = ("backfill",)) -> DataFrame:
@@ -146,10 +212,12 @@ def collisions(nodes: DataFrame, idea_id: str, vector: list[float], tags: list[s
 
 
 def lookup(nodes: DataFrame, prefixes: list[str]) -> DataFrame:
-    """(prefix, matches, id, status) for at most eight id prefixes: none, hit, or ambiguous."""
-    asked = nodes.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(prefixes[:8])], "prefix string")
+    """(prefix, matches, id, status) for at most eight id prefixes: none, hit, or ambiguous. More are an error."""
+    if len(prefixes) > 8:
+        raise ValueError(f"{len(prefixes)} prefixes were asked for, and the tool takes eight")
+    asked = nodes.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(prefixes)], "prefix string")
     like = F.lit(False)
-    for p in prefixes[:8]:
+    for p in prefixes:
         like = like | F.startswith("id", F.lit(p))
     found = nodes.where(like).select("id").join(F.broadcast(asked), F.startswith("id", F.col("prefix")))
     counts = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("id"))
@@ -157,10 +225,46 @@ def lookup(nodes: DataFrame, prefixes: list[str]) -> DataFrame:
     return out.select("prefix", "matches", F.when(F.col("matches") == 1, F.col("id")).alias("id"), F.when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "hit").otherwise("ambiguous").alias("status"))
 
 
-def canonical_body(cols: tuple[str, ...] = ("query", "output_preview", "episodic_text")) -> Column:
+BODY = ("query", "output_preview", "episodic_text")
+
+
+def canonical_body(cols: tuple[str, ...] = BODY) -> Column:
     """The longest of the texts, the first at ties."""
     texts = [F.coalesce(F.col(c), F.lit("")) for c in cols]
     out = texts[-1]
     for i in range(len(texts) - 2, -1, -1):
         out = F.when(F.length(texts[i]) >= F.greatest(*[F.length(t) for t in texts[i:]]), texts[i]).otherwise(out)
     return out
+
+
+def extra_texts(body: Column, cols: tuple[str, ...] = BODY) -> Column:
+    """The other texts that the body does not hold, as an array of (field, text).
+
+    A text is held if it occurs in the body, whole or without a head of at most 40 characters before its first colon.
+    """
+    def bare(t: Column) -> Column:
+        at = F.instr(t, F.lit(": "))
+        return F.when((at > 0) & (at <= 41), F.substring(t, at + 2, F.length(t))).otherwise(t)
+
+    every = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in cols])
+    return F.filter(every, lambda x: (x["text"] != "") & ~F.contains(body, x["text"]) & ~F.contains(body, bare(x["text"])))
+
+
+def read_nodes(nodes: DataFrame, ids: list[str], each: int = 24_000, total: int = 60_000, extra: int = 500, cols: tuple[str, ...] = BODY) -> DataFrame:
+    """(place, id, body, extras, cut): at most eight nodes in the order asked for.
+
+    Bodies of at most `each` characters, together with the extras (`extra` characters of each) at most `total`, or `each`
+    if that is more; what comes after is null. `cut` tells that a body goes on.
+    """
+    if len(ids) > 8:
+        raise ValueError(f"{len(ids)} ids were asked for, and the tool takes eight")
+    each = max(200, each)
+    total = max(total, each)
+    order = F.create_map(*[F.lit(x) for n in dict.fromkeys(ids) for x in (n, ids.index(n))])
+    rows = nodes.where(F.col("id").isin(*ids)).select(order[F.col("id")].alias("place"), "id", *cols).withColumn("whole", canonical_body(cols))
+    rows = rows.withColumn("extras", F.transform(extra_texts(F.col("whole"), cols), lambda x: F.struct(x["field"], F.substring(x["text"], 1, extra).alias("text"))))
+    size = F.least(F.length("whole"), F.lit(each)) + F.aggregate("extras", F.lit(0), lambda n, x: n + F.length(x["text"]))
+    before = F.coalesce(F.sum(size).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("room", F.least(F.lit(each), F.lit(total) - before).cast("int"))
+    fits = F.col("room") > 0
+    return rows.select("place", "id", F.when(fits, F.substring(F.col("whole"), F.lit(1), F.col("room"))).alias("body"), F.when(fits, F.col("extras")).alias("extras"), (fits & (F.length("whole") > F.col("room"))).alias("cut"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..model import MEANING_KINDS, active, days_between, not_void
 from ..scratch import Scratch
 from .filters import maturity
+from .graph import fnv1a
+from .windows import placed
 
 
 def thread(nodes: DataFrame, most: int = 3) -> DataFrame:
@@ -63,12 +65,31 @@ def galaxy_bodies(points: DataFrame, floor: float = 80.0) -> DataFrame:
     return far.select("c.galaxy", "c.x", "c.y", F.greatest(F.lit(floor), "d").alias("body"))
 
 
-def live_fill(fresh: DataFrame, centroids: DataFrame, step: float = 9.0) -> DataFrame:
-    """(id, map_x, map_y) for new nodes (id, cid, ts) without places: on a spiral around their community's centre."""
-    i = F.row_number().over(Window.partitionBy("cid").orderBy("ts", "id")) - 1
-    turn, r = i * F.lit(math.pi * (3 - math.sqrt(5))), F.sqrt(i + 0.5) * step
-    rows = fresh.withColumns({"dx": r * F.cos(turn), "dy": r * F.sin(turn)}).join(centroids.select("cid", "x", "y"), "cid")
-    return rows.select("id", F.round(F.col("x") + F.col("dx"), 2).alias("map_x"), F.round(F.col("y") + F.col("dy"), 2).alias("map_y"))
+def live_fill(fresh: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, map_x, map_y) for new nodes (id, ts, cid, galaxy) without places, beside `points`, the placed ones.
+
+    The i-th new node, by time and id, lies 18 + 6i from its community's centre, a golden angle further than the last.
+    One whose community has no placed node lies in its galaxy's halo, between 1.05 and 1.7 times the body from the centre
+    as the hash of its id says; in a galaxy without placed nodes the body is 200 around the origin. No node is left out.
+    """
+    scratch = Scratch(points.sparkSession, "fill")
+    centres = scratch.save(points.where("cid is not null").groupBy("cid").agg(F.avg("map_x").alias("bx"), F.avg("map_y").alias("by")))
+    bodies = scratch.save(galaxy_bodies(points)).select("galaxy", F.col("x").alias("gx"), F.col("y").alias("gy"), "body")
+    rows = placed(fresh.select("ts", "id", "cid", "galaxy"), ["ts", "id"], scratch)
+    rows = rows.join(centres, "cid", "left").join(bodies, "galaxy", "left")
+    turn, off = (F.col("i") + 1) * F.lit(math.pi * (3 - math.sqrt(5))), 18.0 + 6.0 * F.col("i")
+    h = fnv1a(F.col("id"))
+    low, high = F.pmod(h, F.lit(1 << 20)) / 1048575.0, F.floor(h / (1 << 20)) / 4095.0
+    far, angle = F.coalesce("body", F.lit(200.0)) * F.sqrt(1.1 + 1.8 * low), high * 6.2831853
+    settled = F.col("bx").isNotNull()
+    x = F.when(settled, F.col("bx") + off * F.cos(turn)).otherwise(F.coalesce("gx", F.lit(0.0)) + far * F.cos(angle))
+    y = F.when(settled, F.col("by") + off * F.sin(turn)).otherwise(F.coalesce("gy", F.lit(0.0)) + far * F.sin(angle))
+    return rows.select("id", F.round(x, 2).alias("map_x"), F.round(y, 2).alias("map_y"))
+
+
+def shown_places(points: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(id, map_x, map_y, fresh): placed nodes and, beside them, new ones with provisional places."""
+    return points.select("id", "map_x", "map_y", F.lit(False).alias("fresh")).unionByName(live_fill(fresh, points).withColumn("fresh", F.lit(True)))
 
 
 def stable_places(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -76,7 +97,8 @@ def stable_places(members: DataFrame, known: DataFrame) -> DataFrame:
     seeds = members.groupBy("cid").agg(F.min("id").alias("seed"))
     top = known.agg(F.coalesce(F.max("born"), F.lit(-1)).alias("top"))
     rows = seeds.join(known, "seed", "left")
-    fresh = rows.where("born is null").withColumn("n", F.row_number().over(Window.orderBy("cid"))).join(F.broadcast(top)).select("cid", "seed", (F.col("top") + F.col("n")).cast("int").alias("born"))
+    fresh = placed(rows.where("born is null").select("cid", "seed"), ["cid"], Scratch(members.sparkSession, "places"))
+    fresh = fresh.join(F.broadcast(top)).select("cid", "seed", (F.col("top") + F.col("i") + 1).cast("int").alias("born"))
     return rows.where("born is not null").select("cid", "seed", F.col("born").cast("int").alias("born")).unionByName(fresh)
 
 
@@ -139,6 +161,19 @@ def workflow_state(events: DataFrame) -> DataFrame:
     return last.select("node_id", F.when(F.col("action") == "undo", "open").otherwise(F.col("action")).alias("state"))
 
 
+def digest_lines(report: DataFrame) -> DataFrame:
+    """(section, place, line): the sections of a session's report that carry over to the next session, cut to their caps."""
+    caps = {"decisions": 20, "open items": 15, "hard points": 10, "previous": 8, "insights": 8}
+    group = (
+        F.when(F.col("section") == "decisions", "decisions").when(F.col("section").isin("open questions", "blockers", "tasks", "resolved"), "open items").when(F.col("section") == "hard points", "hard points")
+        .when(F.startswith("section", F.lit("previous")), "previous").when(F.col("section") == "insights", "insights")
+    )
+    rows = report.withColumn("g", group).where("g is not null")
+    place = F.row_number().over(Window.partitionBy("g").orderBy("part", "place"))
+    bare = F.regexp_replace(F.regexp_replace("line", r"\s*`[0-9A-Za-z]{1,12}`\s*$", ""), r"^`[0-9A-Za-z]{1,12}`\s*", "")
+    return orient_digest(rows.select(F.col("g").alias("section"), place.alias("place"), F.substring(bare, 1, 160).alias("line")), caps)
+
+
 def orient_digest(sections: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Rows (section, place, line) of a report, cut to each section's cap."""
     cap = F.create_map(*[F.lit(x) for p in caps.items() for x in p])

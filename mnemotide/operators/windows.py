@@ -89,10 +89,15 @@ def longest_streak(rows: DataFrame, flag: Column, by: str, order: list[str]) ->
     return rows.select(by).distinct().join(runs.groupBy(by).agg(F.max("n").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("streak"))
 
 
-def placed(rows: DataFrame, by: str, scratch: Scratch) -> DataFrame:
-    """`rows` with i: numbers from 0 in the order of `by`. Ranges are dealt out, written and numbered each by itself."""
-    parts = scratch.save(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
-    before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
-    return parts.withColumn("i", inside).join(starts, "part").withColumn("i", F.col("start") + F.col("i")).drop("part", "start")
+def placed(rows: DataFrame, by: list[str], scratch: Scratch, within: list[str] | None = None) -> DataFrame:
+    """`rows` with i: numbers from 0 in the order of `by`, or within each group of `within`, whose columns begin `by`.
+
+    Ranges of the order are dealt out, written, and numbered each by itself; what comes before a range is summed over one
+    row for each range and group. So one order or group with most rows is no single task.
+    """
+    within = within or []
+    parts = scratch.save(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+    before = F.sum("c").over(Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.groupBy(*within, "part").agg(F.count(F.lit(1)).alias("c")).select(*within, "part", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*within, "part").orderBy(*by)) - 1
+    return parts.withColumn("i", inside).join(scratch.save(starts), [*within, "part"]).withColumn("i", F.col("start") + F.col("i")).drop("part", "start")

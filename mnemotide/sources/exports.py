@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
 
-import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import is_noise, slug, to_timestamp
 
@@ -22,11 +25,6 @@ LIST_EXPORT = (
 ACTIVITY_EXPORT = "title string, time string, subtitles array<struct<name: string>>"
 
 
-def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of the JSON arrays in the files under a path; bad files and elements become nulls, not failures."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-
-
 def stream_array(chunks: Iterator[str]) -> Iterator[str]:
     """The top-level elements of one JSON array, from pieces of its text, holding one element at a time."""
     depth, quoted, escaped, held = 0, False, False, []
@@ -62,33 +60,89 @@ def stream_array(chunks: Iterator[str]) -> Iterator[str]:
             held.append(chunk[start:])
 
 
-def _members(pattern: str):
-    wanted = re.compile(pattern)
+SHARDS, ASSETS = re.compile(r"conversations-\d+\.json$"), re.compile(r"conversation_asset_file_names\.json$")
+
+
+class Piece(InputPartition):
+    """A file, or a member of an archive."""
+
+    def __init__(self, path: str, member: str | None):
+        super().__init__(path)
+        self.path, self.member = path, member
+
+
+class _ElementReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    @staticmethod
+    def _open(path: str):
+        system, place = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
+        return system, place
+
+    def partitions(self) -> list[Piece]:
+        system, place = self._open(self.path)
+        info = system.get_file_info(place)
+        files = [info] if info.type == FileType.File else system.get_file_info(FileSelector(place, recursive=True))
+        prefix, out = self.path[: len(self.path) - len(place)] if self.path.endswith(place) else "", []
+        for f in sorted((f for f in files if f.type == FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+            if f.path.endswith(".zip"):
+                with system.open_input_file(f.path) as raw, zipfile.ZipFile(raw) as z:
+                    out += [Piece(prefix + f.path, m) for m in sorted(z.namelist()) if SHARDS.search(m) or ASSETS.search(m)]
+            else:
+                out.append(Piece(prefix + f.path, None))
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in sorted(z.namelist()):
-                        if not wanted.search(name):
-                            continue
-                        with z.open(name) as f:
-                            text = io.TextIOWrapper(f, encoding="utf-8", errors="replace")
-                            if name.endswith("asset_file_names.json"):
-                                yield pa.RecordBatch.from_pydict({"file": [path], "member": [name], "element": [text.read()]})
-                                continue
-                            for element in stream_array(iter(lambda: text.read(1 << 20), "")):
-                                yield pa.RecordBatch.from_pydict({"file": [path], "member": [name], "element": [element]})
+    def read(self, piece: Piece) -> Iterator[tuple]:
+        system, place = self._open(piece.path)
+        with contextlib.ExitStack() as stack:
+            if piece.member is None:
+                raw = stack.enter_context(system.open_input_stream(place))
+            else:
+                archive = stack.enter_context(zipfile.ZipFile(stack.enter_context(system.open_input_file(place))))
+                raw = stack.enter_context(archive.open(piece.member))
+            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
+            if piece.member and ASSETS.search(piece.member):
+                yield piece.path, piece.member, text.read()
+                return
+            for element in stream_array(iter(lambda: text.read(1 << 20), "")):
+                yield piece.path, piece.member, element
 
-    return run
+
+class ExportElements(DataSource):
+    """(file, member, element): the elements of the JSON arrays in files and zipped shards under a path, as JSON text.
+
+    A task reads one file, or one shard of an archive, a megabyte at a time and holds one element, so neither the size
+    of an array nor that of an archive is bounded. Any store that Arrow's file systems open will do.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "export_elements"
+
+    def schema(self) -> str:
+        return "file string, member string, element string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ElementReader(self.options["path"])
+
+
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(ExportElements)
+    return spark.read.format("export_elements").load(path)
+
+
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Elements of the JSON arrays in the files under a path; bad elements become nulls, not failures."""
+    return elements(spark, path).where("member is null").select(F.from_json("element", schema).alias("c")).select("c.*")
 
 
 def read_zip(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(conversations, asset names) of sharded export archives: one element at a time from each shard."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInArrow(_members(r"conversations-\d+\.json$|conversation_asset_file_names\.json$"), "file string, member string, element string")
-    talks = rows.where("member not like '%asset_file_names.json'").select(F.from_json("element", GRAPH_EXPORT).alias("c")).select("c.*")
-    names = rows.where("member like '%asset_file_names.json'").select(F.explode(F.from_json("element", "map<string, string>")).alias("dat", "name"))
+    """(conversations, asset names) of sharded export archives: a task for each shard."""
+    rows = elements(spark, path).where("member is not null")
+    assets = F.rlike("member", F.lit(ASSETS.pattern))
+    talks = rows.where(~assets).select(F.from_json("element", GRAPH_EXPORT).alias("c")).select("c.*")
+    names = rows.where(assets).select(F.explode(F.from_json("element", "map<string, string>")).alias("dat", "name"))
     return talks, names
 
 

@@ -86,8 +86,9 @@ def reminders(calls: DataFrame, nodes: DataFrame, shown: DataFrame, k: int = 3,
     asked = struggling(calls).select("seq", F.col("session").alias("own"), F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("query", r"[/\\]", " ")), r"\s+"), lambda w: (F.length(w) > 3) & ~F.startswith(w, F.lit("-")))).alias("k")).where(F.size("k") >= 2)
     text = F.lower(F.concat_ws(" ", "query", "output_preview"))
     live = active(nodes).where(F.col("kind").isin(*kinds)).select("id", F.col("session").alias("other"), "memory_tier", "importance", "ts", text.alias("text"), F.array_distinct(F.split(text, r"\s+")).alias("w"))
-    met = asked.withColumn("word", F.explode("k")).join(live.withColumn("word", F.explode("w")), "word").where("own <> other")
-    rows = met.drop("word").dropDuplicates(["seq", "id"]).where(F.size(F.filter("k", lambda w: F.contains(F.col("text"), w))) >= 2)
+    words, held = asked.select("seq", "own", F.explode("k").alias("word")), live.select("id", "other", F.explode("w").alias("word"))
+    met = words.join(held, "word").where("own <> other").select("seq", "id").distinct()
+    rows = met.join(asked, "seq").join(live, "id").where(F.size(F.filter("k", lambda w: F.contains(F.col("text"), w))) >= 2)
     pushed = shown.where("channel = 'hook'").select(F.col("node_id").alias("id"), F.col("session").alias("own")).distinct()
     rows = rows.join(pushed, ["id", "own"], "left_anti")
     place = F.row_number().over(Window.partitionBy("seq").orderBy("memory_tier", F.desc("importance"), F.desc("ts"), "id"))
@@ -161,3 +162,11 @@ def live_feed(nodes: DataFrame, push: Callable[[list[dict]], None], checkpoint:
 def append_once(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
     """Append a stream to a table; the file sink's log makes each micro-batch count once."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", root).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def live_buffers(events: DataFrame, now: Column, minutes: int = 15, sweep_hours: int = 24) -> DataFrame:
+    """(session, tools, last_ts, state): tool calls that wait for a turn: live for 15 minutes after the last one, then idle,
+    and stale, to be swept, after a day."""
+    rows = events.groupBy("session").agg(F.count(F.lit(1)).alias("tools"), F.max("ts").alias("last_ts"))
+    age = now.cast("double") - F.col("last_ts").cast("double")
+    return rows.withColumn("state", F.when(age > sweep_hours * 3600, "stale").when(age > minutes * 60, "idle").otherwise("live"))
