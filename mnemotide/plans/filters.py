@@ -120,7 +120,7 @@ def j_left_atlas(s: Store) -> DataFrame:
     return s.base.select("id", "session").join(ann, "session", "left").select("id", "account")
 
 
-@query(" select s.id, s.account, count(n.id) as nodes from sessions s left join nodes n on n.session = s.id and n.kind = 'warning' and n.seq % 40 = 0 group by s.id, s.account")
+@query(" select s.id, s.account, count(n.id) as nodes from sessions s left join nodes n on n.session = s.id and n.kind = 'warning' group by s.id, s.account")
 def j_sessions_left_count(s: Store) -> DataFrame:
     warned = s.base.where("kind = 'warning'").groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     return s.sessions.select("id", "account").join(warned.withColumnRenamed("session", "id"), "id", "left").select("id", "account", F.coalesce("n", F.lit(0)).alias("nodes"))
@@ -331,5 +331,3 @@ def a_session_upsert(s: Store) -> DataFrame:
     incoming = s.base.where("seq % 2 = 0").select("session", "ts", F.concat(F.lit("new-"), (F.col("seq") % 2).cast("string")).alias("account"), (F.col("seq") % 50 == 0).alias("account_locked"))
     met = incoming.select(F.col("session").alias("id")).distinct()
     return rollups.session_upsert(s.sessions.join(met, "id", "left_semi"), incoming)
-
-

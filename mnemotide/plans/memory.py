@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CONSOLIDATION_KINDS, HEARTBEAT_KINDS, MEANING_KINDS, Store, active, as_of, not_void
-from ..operators import dynamics, graph, reports, retrieval
+from ..operators import dynamics, graph, retrieval
 from ..operators.components import connected_components
+from ..operators.reports import audit
 from ..scratch import Scratch
 from .registry import query
 
@@ -53,12 +54,11 @@ def r_pairwise_edges(s: Store) -> DataFrame:
     return both.select("src", "dst", F.round("cosine", 3).alias("cosine"), (F.col("s1") != F.col("s2")).alias("cross_session"))
 
 
-@query(", start as (select max_by(id, seq) as id from nodes where session = (select min(session) from nodes where seq % 100 = 7)), up as (select n.id, n.kind, n.parent, 0 as step from nodes n join start using (id) union all select n.id, n.kind, n.parent, step + 1 from nodes n join up on n.id = up.parent where step < 64) select id, kind, step from up")
+@query(", up as (select id as start, id, kind, parent, 0 as step from nodes n where not exists (select 1 from nodes c where c.parent = n.id) union all select start, n.id, n.kind, n.parent, step + 1 from nodes n join up on n.id = up.parent) select start, id, kind, step from up")
 def r_chain_walk(s: Store) -> DataFrame:
-    session = s.base.where("seq % 100 = 7").agg(F.min("session")).first()[0]
-    own = s.nodes.where(F.col("session") == session)
-    last = own.agg(F.max_by("id", "seq")).first()[0]
-    return retrieval.chain(s.spark, own, last)
+    """The lineages of all sessions, each from its last node."""
+    parents = s.nodes.where("parent is not null").select(F.col("parent").alias("id"))
+    return retrieval.chain(s.nodes, s.nodes.select("id").join(parents, "id", "left_anti"))
 
 
 KNN = """, both_ as (select src as n, src, dst, cosine from pairs where cosine >= 0.30 union all select dst, src, dst, cosine from pairs where cosine >= 0.30),
@@ -132,7 +132,7 @@ def g_knn_edges(s: Store) -> DataFrame:
     return _semantic(s)
 
 
-STAR = ", tagged as (select distinct id, session, ts, seq, trim(regexp_replace(lower(substr(t, 8)), '\\s+', ' ', 'g')) as entity from (select id, session, ts, seq, unnest(tags) as t from nodes where status = 'active' and seq % 7 = 0 and seq < 1400) where starts_with(t, 'entity:')), stats as (select entity, arg_min(id, (ts, seq, id)) as hub from tagged group by entity having count(distinct id) >= 2 and count(distinct session) <= greatest(2, floor((select count(distinct session) from nodes where status = 'active' and seq % 7 = 0 and seq < 1400) * 0.5))), entity_edges as (select hub as src, id as dst, 'entity' as type, null::varchar as tier, 1.0::double as weight from tagged join stats using (entity) where id <> hub)"
+STAR = ", tagged as (select distinct id, session, ts, seq, trim(regexp_replace(lower(substr(t, 8)), '\\s+', ' ', 'g')) as entity from (select id, session, ts, seq, unnest(tags) as t from nodes where status = 'active') where starts_with(t, 'entity:')), stats as (select entity, arg_min(id, (ts, seq, id)) as hub from tagged group by entity having count(distinct id) >= 2 and count(distinct session) <= greatest(2, floor((select count(distinct session) from nodes where status = 'active') * 0.5))), entity_edges as (select hub as src, id as dst, 'entity' as type, null::varchar as tier, 1.0::double as weight from tagged join stats using (entity) where id <> hub)"
 
 
 @query(STAR + " select * from entity_edges")
@@ -162,12 +162,34 @@ def _communities(s: Store) -> DataFrame:
     return graph.communities(_semantic(s), Scratch(s.spark, "communities"))
 
 
-@query()
+VOTES = """, us as (select src, dst, coalesce(nullif(weight, 0), 1) as w from semantic where tier in ('strong', 'medium')), bd as (select src, dst, w from us union all select dst, src, w from us), dg as (select src, count(*) as d from bd group by 1),
+ hb as (select src from dg where (select count(*) from dg) >= 400 and d >= greatest(250, 0.025 * (select count(*) from dg), 8 * (select list(d order by d)[count(*) // 2 + 1] from dg))),
+ vt as (select src, dst, sum(round(w * 1000000))::bigint as v from bd where src not in (select src from hb) and dst not in (select src from hb) group by 1, 2),
+ lp as (select 0 as k, 0 as pass, src as id, src as old, src as new from (select distinct src from vt) union all
+  select k + 1, case when moved then pass else pass + 1 end, id, case when moved then old else new end, case when moved then best else new end from (
+   select *, bool_or(best <> new) over () as moved, bool_or(old <> new) over () as changed from lp join (
+    select src, arg_min(label, (-v, label)) as best from (select vt.src, case when vt.dst < vt.src then x.new else x.old end as label, sum(v) as v from vt join lp x on x.id = vt.dst group by 1, 2) group by src) on src = id) where moved or (changed and pass < 11)),
+ lb as (select id, new as label from lp where k = (select max(k) from lp)), cm as (select id, cid::int as cid from lb join (select label, row_number() over (order by count(*) desc, label) - 1 as cid from lb group by label having count(*) >= 4) using (label))"""
+
+
+@query(PAIRS + KNN + VOTES + " select * from cm")
 def g_communities(s: Store) -> DataFrame:
     return _communities(s)
 
 
-@query()
+STOP = ", ".join(f"'{w}'" for w in graph.NAME_STOP)
+NAMING = rf""" terms as (select cid, weight, unnest(w) as term, 1 as size from m union all select cid, weight, w[i] || ' ' || w[i + 1], 2 from (select cid, weight, w, unnest(range(1, len(w))) as i from m)), tf as (select cid, size, term, sum(weight)::bigint as tf, count(*) as raw from terms group by 1, 2, 3 having size = 2 or length(term) > 4 or count(*) >= 3),
+ n as (select count(distinct cid) as docs from m), scored as (select cid, size, term, tf * ln(1 + docs / (1 + df)::double) as score from tf join (select size, term, count(*) as df from tf group by 1, 2) using (size, term), n where df <= greatest(3, floor(docs * 0.35))),
+ ranked as (select *, row_number() over (partition by cid, size order by score desc, term desc) as r from scored), top as (select cid, list(term order by r) filter (where size = 1 and r <= 3) as one, coalesce(max(score) filter (where size = 1 and r = 1), 0) as s1, max(term) filter (where size = 2 and r = 1) as two, coalesce(max(score) filter (where size = 2 and r = 1), 0) as s2 from ranked group by cid)
+ select cid, coalesce(nullif(case when s2 > s1 then concat_ws(' ', two, list_filter(one, lambda t: not list_contains(string_split(two, ' '), t))[1]) else array_to_string(one, ' ') end, ''), 'untitled') as name from (select distinct cid from m) left join top using (cid)"""
+
+
+def _named(source: str) -> str:
+    """The SQL of names for rows (cid, kind, query) of `source`."""
+    return rf", m as (select row_number() over () as k, cid, case when kind in ({MEANING}) then 3 else 1 end as weight, list_filter(regexp_extract_all(lower(left(query, 300)), '[a-z][a-z0-9''\-]{{2,}}'), lambda w: w not in ({STOP})) as w from ({source}))," + NAMING
+
+
+@query(PAIRS + KNN + VOTES + _named("select cid, kind, query from cm join base using (id)"))
 def g_names(s: Store) -> DataFrame:
     members = _communities(s).join(s.base.select("id", "kind", F.col("query").alias("text")), "id")
     return graph.community_names(members.select("cid", "kind", "text"))
@@ -177,25 +199,11 @@ def _name_rows(s: Store) -> DataFrame:
     return s.base.select(F.substring_index("community", "|", 1).alias("cid"), "kind", F.col("query").alias("text"))
 
 
-STOP = ", ".join(f"'{w}'" for w in graph.NAME_STOP)
-
-
-@query(rf""", m as (select row_number() over () as k, split_part(community, '|', 1) as cid, case when kind in ({MEANING}) then 3 else 1 end as weight, list_filter(regexp_extract_all(lower(left(query, 300)), '[a-z][a-z0-9''\-]{{2,}}'), lambda w: w not in ({STOP})) as w from base where seq < 600),
- terms as (select cid, weight, unnest(w) as term, 1 as size from m union all select cid, weight, w[i] || ' ' || w[i + 1], 2 from (select cid, weight, w, unnest(range(1, len(w))) as i from m)), tf as (select cid, size, term, sum(weight)::bigint as tf, count(*) as raw from terms group by 1, 2, 3 having size = 2 or length(term) > 4 or count(*) >= 3),
- n as (select count(distinct cid) as docs from m), scored as (select cid, size, term, tf * ln(1 + docs / (1 + df)::double) as score from tf join (select size, term, count(*) as df from tf group by 1, 2) using (size, term), n where df <= greatest(3, floor(docs * 0.35))),
- ranked as (select *, row_number() over (partition by cid, size order by score desc, term desc) as r from scored), top as (select cid, list(term order by r) filter (where size = 1 and r <= 3) as one, coalesce(max(score) filter (where size = 1 and r = 1), 0) as s1, max(term) filter (where size = 2 and r = 1) as two, coalesce(max(score) filter (where size = 2 and r = 1), 0) as s2 from ranked group by cid)
- select cid, coalesce(nullif(case when s2 > s1 then concat_ws(' ', two, list_filter(one, lambda t: not list_contains(string_split(two, ' '), t))[1]) else array_to_string(one, ' ') end, ''), 'untitled') as name from (select distinct cid from m) left join top using (cid)""")
+@query(_named("select split_part(community, '|', 1) as cid, kind, query from base"))
 def g_names_of_topics(s: Store) -> DataFrame:
     return graph.community_names(_name_rows(s))
 
 
-@query()
-def g_layout(s: Store) -> DataFrame:
-    rows = s.base.join(s.sessions.select(F.col("id").alias("session"), "account"), "session")
-    cid = F.when(F.col("seq") % 5 != 0, F.regexp_extract("community", r"^c(\d+)", 1).cast("int"))
-    return graph.layout(rows.select(F.coalesce("account", F.lit("none")).alias("galaxy"), "id", cid.alias("cid"), "importance"))
-
-
 DUE = f"{DAYS.format('coalesce(last_injected, timestamp ' + chr(39) + '2020-01-01' + chr(39) + ')')} / greatest(stability_days, 0.1) * importance"
 HEART = ", ".join(f"'{k}'" for k in HEARTBEAT_KINDS)
 
@@ -271,7 +279,7 @@ AUDIT = f""", stale as (select id, ts from nodes where status = 'active' and kin
 
 @query(AUDIT)
 def e_audit_findings(s: Store) -> DataFrame:
-    return reports.audit(s.base, s.ledger, s.vectors, as_of(), {"proj-0": [], "ghost": ["gone"]})
+    return audit(s.base, s.ledger, s.vectors, as_of(), {"proj-0": [], "ghost": ["gone"]})
 
 
 @query(r", corpus as (select session, lower(string_agg(query, ' ' order by seq)) as text from nodes where kind = 'decision' group by session), shown as (select distinct session, node_id as id from ledger where channel = 'hook' and not cited), terms as (select id, list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9]{4,}')) as t from nodes) select session, id from shown join terms using (id) join corpus using (session) where len(list_filter(t, lambda w: contains(text, w))) >= 2")
@@ -298,7 +306,7 @@ def w_fold_changes(s: Store) -> DataFrame:
     return dynamics.fold_changes(s.base, out).select("id", "status", "flagged", "memory_tier", "stability_days")
 
 
-@query(" select id, case seq % 6 when 0 then 'deleted' when 1 then 'content changed' when 2 then 'transition not permitted' end as reason from nodes where seq % 6 < 3 and seq < 1000 and (seq % 6 <> 2 or status <> 'active')")
+@query(" select id, case seq % 6 when 0 then 'deleted' when 1 then 'content changed' when 2 then 'transition not permitted' end as reason from nodes where seq % 6 < 3 and (seq % 6 <> 2 or status <> 'active')")
 def w_immutability(s: Store) -> DataFrame:
     """Every sixth row is gone, changed in content, made active again, voided, flagged or moved to another tier."""
     n = F.col("seq") % 6
@@ -308,72 +316,3 @@ def w_immutability(s: Store) -> DataFrame:
         "flagged": F.when(n == 4, True).otherwise(F.col("flagged")), "memory_tier": F.when(n == 5, 1).otherwise(F.col("memory_tier")),
     })
     return dynamics.immutability_violations(before, after)
-
-
-@query(", a as (select * from nodes where status = 'active') select * from (select 'open' as section, row_number() over (order by importance desc, ts desc, id)::int as place, id from a where kind = 'open_item') where place <= 8 union all select * from (select 'ideas', row_number() over (order by ts desc, id)::int as place, id from a where kind = 'idea') where place <= 6 union all select * from (select 'captured', row_number() over (order by ts desc, id)::int as place, id from a where kind <> 'tool_call' and not starts_with(session, 'import-') and not list_contains(tags, 'prov:distilled')) where place <= 10")
-def f_hub(s: Store) -> DataFrame:
-    return reports.hub(s.base, as_of())
-
-
-@query(" select id, d as due, case when d < date '2024-02-14' then 'overdue' when d = date '2024-02-14' then 'today' else 'upcoming' end as state from (select id, strptime(list_filter(tags, lambda t: starts_with(t, 'due:'))[1][5:], '%Y-%m-%d')::date as d from nodes where status = 'active' and len(list_filter(tags, lambda t: starts_with(t, 'due:'))) > 0)")
-def f_due_split(s: Store) -> DataFrame:
-    return reports.due_split(s.base, F.lit("2024-02-14").cast("date"))
-
-
-LIVE = "status = 'active' and not starts_with(session, 'import-') and not list_contains(tags, 'prov:distilled')"
-
-
-@query(f", loops as (select id from nodes where {LIVE} and kind in ('open_item', 'blocker', 'question') order by importance desc, ts, id limit 60), watch as (select id from nodes where {LIVE} and (kind = 'warning' or flagged) order by ts desc, id limit 30) select id, case when id in (select id from loops) then 'open' else 'watch' end as lane from (select id from loops union select id from watch) where id not in (select id from nodes where seq % 19 = 0) and id not in (select id from nodes where seq % 8 = 1)")
-def f_desk(s: Store) -> DataFrame:
-    return reports.desk(s.base, s.base.where("seq % 19 = 0"), s.base.where("seq % 8 = 1"))
-
-
-@query(f", live as (select *, {DUE} as due from nodes where {LIVE}), r as (select id, importance, 1 as o, 'fading' as reason from live where id in (select node_id from ledger where not cited group by node_id having count(*) >= 2) union all select id, importance, 2, 'stale' from live where kind = 'open_item' and {DAYS.format('ts')} > 21 union all select id, importance, 3, 'review' from live where due >= 6 * importance union all select id, importance, 4, 'flagged' from live where flagged) select id, string_agg(reason, ',' order by o) as reasons from r group by id order by count(*) desc, max(importance) desc, id limit 12")
-def f_tend(s: Store) -> DataFrame:
-    return reports.tend(s.base, s.ledger, as_of())
-
-
-@query(f" select n.id, case when {DAYS.format('ts')} <= 14 then 'fresh' else 'bank' end as state, coalesce(f, 0) as findings, stability_days >= 2 and coalesce(f, 0) >= 1 as ripe from nodes n left join (select parent, count(*) as f from nodes where status = 'active' group by parent) c on c.parent = n.id where status = 'active' and kind = 'idea'")
-def f_ideas(s: Store) -> DataFrame:
-    return reports.ideas(s.nodes, as_of())
-
-
-@query(" select 'p' || (seq % 5) as slug, arg_max(['active', 'parked', 'done'][seq % 3 + 1], (ts, id)) as status, arg_max((seq % 50)::int, (ts, id)) as evidence from nodes where status = 'active' and seq % 3 <> 5 group by 1")
-def f_registry_fold(s: Store) -> DataFrame:
-    blob = F.to_json(F.struct(F.concat(F.lit("p"), (F.col("seq") % 5).cast("string")).alias("slug"), F.expr("element_at(array('active', 'parked', 'done'), cast(seq % 3 + 1 as int))").alias("status"), (F.col("seq") % 50).cast("int").alias("evidence")))
-    rows = s.base.withColumns({"query": F.concat(F.lit("row "), blob, F.lit(" end")), "tags": F.array(F.lit("registry-row"))})
-    return reports.finish_lines(reports.registry_fold(rows)).select("slug", "status", "evidence")
-
-
-@query(f" select tag, max(ts) as last_ts from (select ts, unnest(tags) as tag from nodes where status = 'active') where tag in ('proj-0', 'proj-2', 'backfill') group by tag having {DAYS.format('max(ts)')} >= 1")
-def f_dormant(s: Store) -> DataFrame:
-    return reports.dormant_projects(s.base, ["proj-0", "proj-2", "backfill"], as_of(), days=1)
-
-
-PROOF = ", proof as (select id, case when n % 2 = 0 then lower(account) else 'other' end as slug from (select *, regexp_extract(id, '(\\d+)$', 1)::bigint as n from sessions) where n % 5 <> 1)"
-
-
-def _proof(s: Store) -> DataFrame:
-    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
-    return s.sessions.where(n % 5 != 1).select("id", F.when(n % 2 == 0, F.lower("account")).otherwise("other").alias("slug"))
-
-
-@query(PROOF + " select case when slug is null then 'uncovered' when lower(slug) = lower(account) then 'agree' when account_locked then 'locked' else 'mismatch' end as class, count(*) as sessions from sessions left join proof using (id) where account is not null group by 1")
-def f_account_doctor(s: Store) -> DataFrame:
-    return reports.account_doctor(s.sessions, _proof(s))
-
-
-@query(PROOF + " select case when starts_with(id, 'import-') then 'imports' when id = 'user-12' then 'canary' when slug is null then 'leave' when coalesce(lower(slug) = lower(account), false) then 'agree' else 'repair' end as class, count(*) as sessions from sessions left join proof using (id) group by 1")
-def f_account_backfill(s: Store) -> DataFrame:
-    return reports.account_backfill(s.sessions, _proof(s), ["user-12"])
-
-
-@query(" select seq, case when seq % 3 = 0 then '[consolidated x7] ' || query when seq % 3 = 1 then '[consolidated x4] ' || query else query end as shown from nodes")
-def f_consolidated_label(s: Store) -> DataFrame:
-    head = F.expr("case when seq % 3 = 0 then '[consolidated x3 across 2 sessions] [consolidated x7] ' when seq % 3 = 1 then '[consolidated x4 across 1 sessions] ' else '' end")
-    return s.base.select("seq", reports.consolidated_label(F.concat(head, "query")).alias("shown"))
-
-
-@query(", o as (select *, case kind when 'decision' then 'decisions' when 'warning' then 'warnings' when 'open_item' then 'open' when 'resolved' then 'resolved' end as section from nodes where session = 'user-12' and status = 'active'), every as (select section, id, query, ts from o where section is not null union all select 'struggles', id, query, ts from o where kind = 'tool_call' and (coalesce(latency_ms > 800, false) or coalesce(result_count <= 1, false))) select section, row_number() over (partition by section order by ts, id)::int as place, id, left(query, 200) as line from every")
-def f_session_report(s: Store) -> DataFrame:
-    return reports.session_report(s.base, "user-12")

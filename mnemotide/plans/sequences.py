@@ -117,7 +117,7 @@ STOP_SQL = ", ".join(f"'{x}'" for x in t.DUPLICATE_STOP)
 KEYWORDS = f"list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: length(w) >= 4 and not starts_with(w, '-')), lambda w: trim(lower(w), '.,;:!?()[]')), lambda w: w not in ({STOP_SQL})))"
 
 
-@query(f", k as (select id, kind, status, seq, query, {KEYWORDS} as k from nodes where kind in ('decision', 'open_item', 'warning')), m as (select a.id, b.id as match, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))::double as jaccard from k a join k b on a.kind = b.kind and a.id <> b.id where a.seq % 40 = 0 and length(a.query) >= 20 and len(a.k) >= 3 and b.status = 'active' and b.seq % 5 = 0 and len(b.k) > 0) select id, match, jaccard from (select *, row_number() over (partition by id order by jaccard desc, match) as r from m where jaccard >= 0.45) where r = 1")
+@query(f", k as (select id, kind, status, seq, query, {KEYWORDS} as k from nodes where kind in ('decision', 'open_item', 'warning')), m as (select a.id, b.id as match, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))::double as jaccard from k a join k b on a.kind = b.kind and a.id <> b.id where length(a.query) >= 20 and len(a.k) >= 3 and b.status = 'active' and len(b.k) > 0) select id, match, jaccard from (select *, row_number() over (partition by id order by jaccard desc, match) as r from m where jaccard >= 0.45) where r = 1")
 def w_near_duplicate(s: Store) -> DataFrame:
     return dynamics.near_duplicates(s.base, s.base)
 
@@ -146,13 +146,6 @@ def w_slug(s: Store) -> DataFrame:
     return s.table("documents").select("doc_id", t.slug(F.when(F.col("doc_id") % 9 == 0, "!?").otherwise(F.col("text"))).alias("slug"))
 
 
-@query()
-def w_chunk(s: Store) -> DataFrame:
-    docs = s.table("documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
-    parts = docs.select("doc_id", F.posexplode(t.chunks_of("text", "path")).alias("place", "chunk"))
-    return parts.select("doc_id", "place", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
-
-
 @query(" select id, regexp_extract(d, 'due:(.*)', 1) as due, trim(query) as shown from (select id, query, list_filter(tags, lambda t: starts_with(t, 'due:'))[1] as d from nodes) where d is not null")
 def w_due_tag(s: Store) -> DataFrame:
     rows = s.base.select("id", t.due_date(F.col("tags")).alias("due"), F.concat("query", F.lit(" due:soon")).alias("query")).where("due is not null")
@@ -192,9 +185,9 @@ def w_account_ladder(s: Store) -> DataFrame:
     return s.sessions.select("id", F.trim(explicit).alias("explicit"), account.alias("account"), F.coalesce(locked, F.lit(False)).alias("locked"))
 
 
-@query(" select i, (i * 0.3819660112501051::double) - floor(i * 0.3819660112501051::double) as position from (select (row_number() over (order by seq) - 1)::int as i from nodes where seq < 1000)")
+@query(" select i, (i * 0.3819660112501051::double) - floor(i * 0.3819660112501051::double) as position from (select (row_number() over (order by seq) - 1)::int as i from nodes)")
 def n_golden_positions(s: Store) -> DataFrame:
-    rows = w.placed(s.base.select("seq"), "seq", Scratch(s.spark, "places"))
+    rows = w.placed(s.base.select("seq"), ["seq"], Scratch(s.spark, "places"))
     return rows.select(F.col("i").cast("int").alias("i")).select("i", dynamics.golden_position(F.col("i")).alias("position"))
 
 
@@ -291,5 +284,3 @@ def x_heartbeat_counter(s: Store) -> DataFrame:
 def x_once_per_file(s: Store) -> DataFrame:
     calls = s.base.where("kind = 'tool_call'").withColumn("file", F.concat(F.lit("f"), (F.col("seq") % 6).cast("string")))
     return w.once_per(calls, ["session", "file"], ["ts", "seq"]).select("id", "session", "file")
-
-

@@ -60,12 +60,6 @@ def a_galaxy_bodies(s: Store) -> DataFrame:
     return views.galaxy_bodies(_points(s), floor=20.0).select("galaxy", *[F.round(c, 6).alias(c) for c in ("x", "y", "body")])
 
 
-@query()
-def g_live_fill(s: Store) -> DataFrame:
-    points = _points(s)
-    return views.live_fill(points.where(F.col("ts") >= F.lit("2024-01-28").cast("timestamp")), rollups.centroids(points))
-
-
 @query(", m as (select split_part(community, '|', 1) as cid, min(id) as seed from nodes group by 1) select cid, seed, case when right(cid, 1) in ('1', '3') then length(cid) + right(cid, 1)::int else (select max(length(cid) + right(cid, 1)::int) from m where right(cid, 1) in ('1', '3')) + row_number() over (partition by right(cid, 1) in ('1', '3') order by cid) end::int as born from m")
 def g_stable_places(s: Store) -> DataFrame:
     members = s.base.select("id", F.substring_index("community", "|", 1).alias("cid"))
@@ -135,12 +129,3 @@ def w_supersede(s: Store) -> DataFrame:
     tags = F.when(n % 3 == 0, F.array(F.concat(F.lit("file:"), (n % 7).cast("string")))).when(n % 100 == 0, F.array(F.concat(F.lit("supersedes:e"), (n + 1).cast("string")))).otherwise(F.array().cast("array<string>"))
     rows = s.base.withColumns({"tags": tags, "kind": F.when(n % 3 == 0, "artifact").otherwise(F.col("kind"))})
     return views.superseded(rows, as_of()).select("id", "value")
-
-
-@query()
-def w_embed_pending(s: Store) -> DataFrame:
-    from ..functions.vectors import hash_embedding
-
-    have = s.vectors.select("id", "embedding")
-    rows = s.base.join(have, "id", "left")
-    return views.embed_pending(rows, lambda c: hash_embedding(c, 16), F.col("query")).select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))

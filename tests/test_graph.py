@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemotide.functions.vectors import cosine_to, similar_pairs
+from mnemotide.functions.vectors import checked_dimension, cosine_to, dimension_report, similar_pairs
 from mnemotide.operators import dynamics, graph, retrieval
 from mnemotide.operators.components import connected_components
 from mnemotide.scratch import Scratch
@@ -58,11 +58,20 @@ def test_similar_pairs_equal_all_pairs(spark, block_rows):
         assert all((f"v{min(i, j):02d}", f"v{max(i, j):02d}") in top for j in best)
 
 
-def test_cosine_paths_agree(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 2.0],), ([0.0, 0.0, 0.0],)], "v array<double>")
-    for n in (3, 1):
-        got = [r[0] for r in df.select(cosine_to("v", [2.0, 0.0, 0.0], unrolled=n)).collect()]
-        assert got == pytest.approx([1 / 3, 0.0])
+def test_cosine_leaves_out_vectors_of_another_dimension(spark):
+    for dim in (3, 20):
+        q = [2.0] + [0.0] * (dim - 1)
+        rows = [("a", [1.0, 2.0, 2.0] + [0.0] * (dim - 3)), ("zero", [0.0] * dim), ("short", [1.0]), ("null", None)]
+        df = spark.createDataFrame(rows, "id string, v array<double>")
+        got = {r.id: r.c for r in df.select("id", cosine_to("v", q).alias("c")).collect()}
+        assert got["a"] == pytest.approx(1 / 3) and got["zero"] == 0.0 and got["short"] is None and got["null"] is None
+    nodes = spark.createDataFrame([("x", "s", "active", "q", 5, [1.0] * 20), ("y", "s", "active", "q", 5, [1.0] * 19)], "id string, session string, status string, query string, importance int, embedding array<double>")
+    nodes = nodes.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    found = retrieval.hybrid_search(nodes, "anything", [1.0] * 20, F.lit("2024-01-02").cast("timestamp"))
+    assert [r.id for r in found.collect()] == ["x"]
+    with pytest.raises(Exception, match="that of y has 19"):
+        checked_dimension(nodes, "embedding", 20).collect()
+    assert {(r.fits, r.nodes) for r in dimension_report(nodes, "embedding", 20).collect()} == {(True, 1), (False, 1)}
 
 
 def _sequential(edges, passes=12):
@@ -86,7 +95,8 @@ def _sequential(edges, passes=12):
     return label
 
 
-def test_communities_equal_one_global_pass(spark):
+@pytest.mark.parametrize("local_links", [0, 10**6])
+def test_communities_equal_one_global_pass(spark, local_links):
     rng = random.Random(11)
     edges = list({(min(a, b), max(a, b)): (f"n{min(a, b):02d}", f"n{max(a, b):02d}", rng.choice([0.25, 0.5, 1.0])) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(70)) if a != b}.values())
     df = spark.createDataFrame([(a, b, "semantic", "strong", w) for a, b, w in edges], "src string, dst string, type string, tier string, weight double")
@@ -96,7 +106,7 @@ def test_communities_equal_one_global_pass(spark):
         groups.setdefault(v, set()).add(n)
     want = sorted((sorted(g) for g in groups.values() if len(g) >= 4))
     got = {}
-    for r in graph.communities(df, Scratch(spark, "t")).collect():
+    for r in graph.communities(df, Scratch(spark, "t"), local_links=local_links).collect():
         got.setdefault(r.cid, set()).add(r.id)
     assert sorted(sorted(g) for g in got.values()) == want
     assert [len(got[c]) for c in sorted(got)] == sorted((len(g) for g in got.values()), reverse=True)
@@ -151,9 +161,28 @@ def test_walk_goes_through_better_paths(spark):
     assert all(got[q] == (pytest.approx(best[q][0]), best[q][1]) for q in best)
 
 
-def test_chain_survives_a_cycle(spark):
-    nodes = spark.createDataFrame([("a", "k", "c"), ("b", "k", "a"), ("c", "k", "b")], "id string, kind string, parent string")
-    assert [(r.id, r.step) for r in retrieval.chain(spark, nodes, "c").orderBy("step").collect()] == [("c", 0), ("b", 1), ("a", 2)]
+def test_chain_survives_a_cycle_and_never_ends_early(spark):
+    nodes = spark.createDataFrame([("a", "k", "c"), ("b", "k", "a"), ("c", "k", "b"), ("d", "k", "gone")], "id string, kind string, parent string")
+    starts = spark.createDataFrame([("c",), ("d",), ("none",)], "id string")
+    assert [tuple(r) for r in retrieval.chain(nodes, starts).orderBy("start", "step").collect()] == [("c", "c", "k", 0), ("c", "b", "k", 1), ("c", "a", "k", 2), ("d", "d", "k", 0)]
+    n = 300
+    long = spark.range(n).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit("k").alias("kind"), F.when(F.col("id") > 0, F.concat(F.lit("n"), (F.col("id") - 1).cast("string"))).alias("parent"))
+    rows = retrieval.chain(long, spark.createDataFrame([(f"n{n - 1}",)], "id string")).orderBy("step").collect()
+    assert [r.id for r in rows] == [f"n{n - 1 - i}" for i in range(n)] and [r.step for r in rows] == list(range(n))
+
+
+def test_more_prefixes_or_ids_than_the_tool_takes_are_an_error(spark):
+    nodes = spark.createDataFrame([("a", "q", "p", "e")], "id string, query string, output_preview string, episodic_text string")
+    for ask in (retrieval.lookup, retrieval.read_nodes):
+        with pytest.raises(ValueError, match="eight"):
+            ask(nodes, [str(i) for i in range(9)])
+
+
+def test_entity_cap_can_be_lifted(spark):
+    rows = [(f"n{i}", f"s{i % 2}", "active", ["entity:one thing"], i) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id string, session string, status string, tags array<string>, seq int")
+    assert graph.entity_edges(nodes, [F.col("seq")], share=1.0, most=5).count() == 5
+    assert graph.entity_edges(nodes, [F.col("seq")], share=1.0, most=None).count() == 39
 
 
 def test_medoid_equals_all_pairs(spark):
@@ -173,12 +202,24 @@ def test_placement_is_fair(spark):
     assert len(set(at)) == 1000 and abs(buckets - 100).max() <= 2
 
 
-def test_layout_has_no_overlap_between_communities(spark):
+def test_layout_keeps_communities_apart_and_members_inside(spark):
     rows = [("g" if i < 60 else "h", f"n{i:03d}", i % 4 if i % 7 else None, i % 10) for i in range(120)]
     got = graph.layout(spark.createDataFrame(rows, "galaxy string, id string, cid int, importance int")).toPandas()
     assert len(got) == 120 and got.id.is_unique and not got.isna().any(axis=None)
     again = graph.layout(spark.createDataFrame(rows[::-1], "galaxy string, id string, cid int, importance int")).toPandas()
     assert got.sort_values("id").reset_index(drop=True).equals(again.sort_values("id").reset_index(drop=True))
+    for spacing in (26.0, 10.0):
+        sizes = spark.createDataFrame([("g", c, m) for c, m in enumerate([90, 70, 70, 33, 20, 9, 9, 4, 1] * 3)], "galaxy string, cid int, m long")
+        discs = [(r.cx, r.cy, r.radius) for r in graph.community_centres(sizes, spacing).collect()]
+        gaps = [math.hypot(a[0] - b[0], a[1] - b[1]) - a[2] - b[2] for i, a in enumerate(discs) for b in discs[:i]]
+        assert min(gaps) >= 0.625 * spacing - 1e-6
+
+
+def test_stable_layout_moves_no_community_when_others_come(spark):
+    schema, born = "galaxy string, cid int, m long", spark.createDataFrame([(0, 3), (1, 0), (2, 7)], "cid int, born int")
+    few = {r.cid: (r.cx, r.cy) for r in graph.community_centres(spark.createDataFrame([("g", 0, 5), ("g", 1, 9)], schema), born=born).collect()}
+    more = {r.cid: (r.cx, r.cy) for r in graph.community_centres(spark.createDataFrame([("g", 0, 500), ("g", 1, 9), ("g", 2, 90)], schema), born=born).collect()}
+    assert all(more[c] == few[c] for c in few)
 
 
 def test_layout_places_nodes_of_more_galaxies_than_ten_thousand(spark):

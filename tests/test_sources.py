@@ -170,6 +170,10 @@ def test_sinks(spark, tmp_path):
     assert not sinks.write_manifest(spark, str(tmp_path / "m.json"), nodes.limit(0), before)
     assert sinks.write_manifest(spark, str(tmp_path / "m.json"), nodes, before)
     assert json.loads((tmp_path / "m.json").read_text()) == {"added": ["n1", "n2"], "count": 2, "sessions": [{"id": "s", "node_count": 3}]}
+    many = spark.range(100_001).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.col("id").cast("int").alias("node_count"))
+    assert sinks.write_manifest(spark, str(tmp_path / "m2.json"), nodes, many)
+    ids, sessions = sinks.read_manifest(spark, str(tmp_path / "m2.json"), "id string, node_count int")
+    assert {r.id for r in ids.collect()} == {"n1", "n2"} and sessions.count() == 100_001
     lines = spark.createDataFrame([("b", 1, "x"), ("a", 2, "z"), ("a", 1, "y")], "section string, place int, line string")
     assert sinks.render(lines, "T", 34) == "# T\n\n## a\n- y\n- z\n\n## b\n- x\n"
     with pytest.raises(Exception):

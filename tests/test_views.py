@@ -16,7 +16,7 @@ def test_sleep_cycle_publishes_and_survives_a_failing_stage(spark, tmp_path):
     vectors = s.vectors
     args = (spark, s.nodes, vectors, s.sessions, s.ledger)
     out = sleep_cycle(*args, root=str(tmp_path / "a"), as_of=as_of(), current="user-12", tiers=(0.3, 0.35, 0.4), floor=0.3)
-    assert out == {k: "1" for k in ("consolidated", "demoted", "edges", "communities", "audit")}, out
+    assert out == {k: "1" for k in ("embedded", "consolidated", "demoted", "edges", "communities", "atlas", "book", "page_one", "report", "audit", "registry")}, out
     assert {r.type for r in read_current(spark, str(tmp_path / "a/edges")).select("type").distinct().collect()} >= {"chain", "semantic"}
     again = sleep_cycle(*args, root=str(tmp_path / "a"), as_of=as_of(), current="user-12", tiers=(0.3, 0.35, 0.4), floor=0.3)
     assert set(again.values()) == {"2"}
@@ -54,12 +54,15 @@ def test_galaxy_bodies_keeps_more_galaxies_than_ten_thousand(spark):
     assert {(r.galaxy, r.x, r.y, r.body) for r in got} == {(str(i), float(i), 0.5, 0.5) for i in range(n)} and len(got) == n
 
 
-def test_sleep_cycle_names_more_communities_than_a_hundred_thousand(spark, tmp_path, monkeypatch):
+def test_sleep_cycle_names_more_communities_than_a_hundred_thousand(spark):
     n = 100_500
     ids = spark.range(n).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.col("id").cast("int").alias("cid"))
-    monkeypatch.setattr(sleep.graph, "communities", lambda edges, scratch: ids)
-    monkeypatch.setattr(sleep.graph, "community_names", lambda members: ids.select("cid", F.lit("n").alias("name")))
-    s = Store(spark, SF)
-    out = sleep_cycle(spark, s.nodes, s.vectors, s.sessions, s.ledger, root=str(tmp_path), as_of=as_of(), current="user-12")
-    assert out["communities"] == "1", out
-    assert read_current(spark, str(tmp_path / "communities")).select("community").distinct().count() == n
+    got = sleep.named(ids, ids.select("cid", F.lit("n").alias("name")))
+    assert got.select("community").distinct().count() == n
+
+
+def test_live_fill_places_nodes_of_every_community(spark):
+    points = spark.range(200).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("c"), (F.col("id") % 100).cast("string")).alias("cid"), F.lit("g").alias("galaxy"), F.col("id").cast("double").alias("map_x"), F.lit(0.0).alias("map_y"))
+    fresh = spark.range(150).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") < 120, F.concat(F.lit("c"), F.col("id").cast("string"))).alias("cid"), F.when(F.col("id") % 2 == 0, "g").otherwise("other").alias("galaxy"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    got = views.live_fill(fresh, points).collect()
+    assert len(got) == 150 and len({(r.map_x, r.map_y) for r in got}) == 150
