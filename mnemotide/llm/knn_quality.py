@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import bounded_batches
 from .features import bounded_sample, trigram_counts
 
 BITS = 12
@@ -139,7 +138,6 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.7, id_col
     Repeated rows score each; a null id passes through. An empty table gives an empty result; without labels all
     score 0.5.
     """
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["score double, _id long", *[f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]])

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 SCHEMES = ("http://", "https://", "ftp://", "ftps://", "sftp://", "ssh://", "mailto:", "www.")
@@ -189,7 +188,6 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     account, and email in other scripts). Places are code points, ends exclusive. One pass over the rows, without
     a shuffle. A null text has no spans and stays null; repeated rows, null ids and extra columns pass through.
     """
-    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     schema = ["n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", *["clean_text string"] * redact, "_id long", *[f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]]
     out = given.mapInArrow(_find(redact), ", ".join(schema))

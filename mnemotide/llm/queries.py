@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import bounded_batches
 from . import knn_quality, langid
 from .minhash import near_duplicates
 from .packing import pack, pack_sql
@@ -17,6 +18,7 @@ from .vec_dedup import embedding_near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,7 +27,7 @@ def op1_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_spans(_table(spark, sf_dir, "documents"), least=3, least_words=15, longest=25)
+    return dedup_spans(_table(spark, sf_dir, "documents"), least=2, least_words=24, every=6)
 
 
 def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
