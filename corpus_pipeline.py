@@ -10,7 +10,7 @@ from mnemotide.llm.minhash import near_duplicates
 from mnemotide.llm.packing import pack
 from mnemotide.llm.pii_anchor import personal_data
 from mnemotide.llm.span_dedup import dedup_spans
-from mnemotide.scratch import Scratch
+from mnemotide.scratch import Scratch, bounded_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,6 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The operator works on narrow rows; only rejected and relabelled documents, which are few, meet the texts again,
     so texts need not be shuffled. Rows with a null id stay as they are.
     """
+    bounded_batches(spark)
     found = langid.identify(docs, langid.fit_on(docs, sample_rows=2000), host=F.col("source"), keep=("lang",))
     changed = found.where((~F.col("accepted")) | ~F.col("language").eqNullSafe(F.col("lang")))
     changed = Scratch(spark, "language").save(changed.groupBy("doc_id").agg(F.bool_or("accepted").alias("accepted"), F.max_by("language", "probability").alias("language")))
@@ -30,12 +31,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    bounded_batches(spark)
     gone = near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated spans of sentences go but for their first place; a document that loses all of its text goes."""
+    bounded_batches(spark)
     found = dedup_spans(docs, keep=("text", "lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
     kept = found.where(~changed | (F.trim(F.coalesce("clean_text", F.lit(""))) != ""))
@@ -44,6 +47,7 @@ def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes a mark of its kind."""
+    bounded_batches(spark)
     found = personal_data(docs, keep=("lang", "source", "n_chars"), redact=True)
     changed = F.col("spans") != ""
     return found.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
