@@ -14,12 +14,6 @@ def word_count(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def level(n: Column) -> Column:
-    """n rounded up to 12 significant bits, so a histogram has 4096 rows for each doubling of the length at most."""
-    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(n)) - 12, F.lit(0)))
-    return (F.ceil(n / step) * step).cast("long")
-
-
 def optimal_boundaries(levels: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` ranges of sorted levels with the least total length after padding.
 
@@ -55,37 +49,42 @@ def optimal_boundaries(levels: np.ndarray, counts: np.ndarray, buckets: int) ->
     return out[::-1]
 
 
-def pack(docs: DataFrame, budget: int = 65536, buckets: int = 8, shards: int = 1024, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, budget: int = 65536, buckets: int = 8, shard_rows: int = 250_000, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
     """(doc_id, n_tokens, bucket, padded_length, batch, slot) for every row of `docs`.
 
-    The histogram of all lengths (bounded, see `level`) goes to the driver, which chooses the boundaries. Every
-    batch of a bucket holds max(1, budget // padded_length) rows, so only the last one of each bucket is short.
-    Rows are numbered without a global sort: by (id modulo shards, id) within each bucket, from the counts of the
-    buckets * shards groups (a bounded table, broadcast) and a row number inside each group.
+    The histogram of all lengths goes to the driver, which chooses the boundaries; it has a row of two numbers for each
+    length that occurs, so no more than the longest text has tokens. A bucket's padded length is the largest length in it.
+    Every batch of a bucket holds max(1, budget // padded_length) rows, so only the last one of each bucket is short.
+    Rows are numbered without a global sort: by (hash of the id, id) within each bucket, from the counts of the groups
+    that share the first digits of the hash and a row number inside each. The digits grow with the rows, so a group has
+    about `shard_rows` rows at most, and the numbers do not depend on how many there are.
 
     Null and empty texts have length 0. A text longer than the budget is a batch of its own and is never cut.
-    Null ids come first in shard 0. Repeated rows are packed each. An empty table gives an empty result.
+    Null ids come first by the hash of nothing. Repeated rows are packed each. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     ident = F.col(id_col).cast("long")
     lens = scratch.save(docs.select(ident.alias("id"), (word_count(text_col) if length is None else length.cast("long")).alias("n")))
-    hist = sorted((r["level"], r["rows"]) for r in lens.groupBy(level(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect())
-    bounds = optimal_boundaries(np.array([h[0] for h in hist], np.int64), np.array([h[1] for h in hist], np.int64), buckets) or [0]
+    hist = lens.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values("n")
+    bounds = optimal_boundaries(hist.n.to_numpy(np.int64), hist.rows.to_numpy(np.int64), buckets) or [0]
     bucket, padded = F.lit(len(bounds) - 1), F.lit(bounds[-1])
     for b in range(len(bounds) - 2, -1, -1):
         bucket, padded = F.when(F.col("n") <= bounds[b], b).otherwise(bucket), F.when(F.col("n") <= bounds[b], F.lit(bounds[b])).otherwise(padded)
-    shard = F.coalesce(F.pmod("id", F.lit(shards)), F.lit(0)).cast("int")
-    placed = lens.select("id", "n", bucket.cast("int").alias("bucket"), padded.cast("long").alias("padded_length"), shard.alias("shard"))
+    digits = 2
+    while 16**digits * shard_rows < hist.rows.sum():
+        digits += 1
+    spot = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    placed = lens.select("id", "n", bucket.cast("int").alias("bucket"), padded.cast("long").alias("padded_length"), spot.alias("spot")).withColumn("shard", F.substring("spot", 1, digits))
     counts = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "n")) - 1
-    numbered = placed.withColumn("at", inside).join(F.broadcast(starts), ["bucket", "shard"])
+    inside = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("spot", "id", "n")) - 1
+    numbered = placed.withColumn("at", inside).join(scratch.save(starts), ["bucket", "shard"])
     at, room = F.col("start") + F.col("at"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("padded_length"), F.lit(1))))
     return numbered.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), "bucket", "padded_length", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("slot"))
 
 
-def pack_sql(budget: int = 65536, buckets: int = 8, shards: int = 1024) -> str:
+def pack_sql(budget: int = 65536, buckets: int = 8) -> str:
     """The same in DuckDB SQL, with one subquery for each layer of the dynamic programme."""
     layers = ["d1 as (select j, [l] as path, l * upto as cost from h)"]
     for k in range(2, buckets + 1):
@@ -96,14 +95,13 @@ def pack_sql(budget: int = 65536, buckets: int = 8, shards: int = 1024) -> str:
     tops = " union all ".join(f"select {k} as k, path from d{k} where j = (select max(j) from h)" for k in range(1, buckets + 1))
     return rf"""
 with n as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n from documents),
-v as (select doc_id, n, pow(2, greatest(length(bin(n)) - 12, 0)) as step from n),
-g as (select (ceil(n / step) * step)::bigint as l, count(*)::bigint as c from v group by 1),
+g as (select n as l, count(*)::bigint as c from n group by 1),
 h as (select row_number() over (order by l)::bigint as j, l, (sum(c) over (order by l))::bigint as upto from g),
 {", ".join(layers)},
 pick as (select path from ({tops}) order by k desc limit 1),
 bounds as (select unnest(path) as b, unnest(range(0, len(path))) as bucket from pick),
 placed as (select doc_id, n, (select min(b) from bounds where b >= n) as padded from n),
-numbered as (select doc_id, n, bucket, padded, row_number() over (partition by bucket order by coalesce(((doc_id % {shards}) + {shards}) % {shards}, 0), doc_id nulls first, n) - 1 as i,
+numbered as (select doc_id, n, bucket, padded, row_number() over (partition by bucket order by md5(coalesce(doc_id::varchar, '')), doc_id nulls first, n) - 1 as i,
   greatest(1, floor({budget} / greatest(padded, 1)))::bigint as room from placed join bounds on b = padded)
 select doc_id, n as n_tokens, bucket::int as bucket, padded as padded_length, floor(i / room)::bigint as batch, (i % room)::bigint as slot from numbered
 """

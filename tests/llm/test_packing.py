@@ -4,6 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from mnemotide.llm.packing import optimal_boundaries, pack
 
 DOCS = "doc_id long, text string, bucket string, batch int, n int"
@@ -26,7 +28,7 @@ def test_boundaries_are_optimal(rows, buckets):
 
 def test_batches_keep_to_the_budget_and_lose_no_row(spark):
     rows = [(i, " ".join(["w"] * (i % 37)), "x", 1, 2) for i in range(400)] + [(5, "w w", "x", 1, 2), (5, "w w", "x", 1, 2), (None, None, None, None, None), (7000, "w " * 500, "x", 1, 2)]
-    got = pack(spark.createDataFrame(rows, DOCS), budget=100, buckets=4, shards=8).toPandas()
+    got = pack(spark.createDataFrame(rows, DOCS), budget=100, buckets=4, shard_rows=1).toPandas()
     assert len(got) == len(rows)
     assert (got.n_tokens <= got.padded_length).all()
     for (_, _), part in got.groupby(["bucket", "batch"]):
@@ -40,3 +42,15 @@ def test_batches_keep_to_the_budget_and_lose_no_row(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_lengths_beyond_the_budget_pad_to_real_lengths(spark):
+    rows = [(i, None, n) for i, n in enumerate([5001, 20001, 20008, 3, 70001])]
+    got = {r.doc_id: r for r in pack(spark.createDataFrame(rows, "doc_id long, text string, n long"), buckets=5, length=F.col("n")).collect()}
+    assert {i: r.padded_length for i, r in got.items()} == {i: n for i, _, n in rows}
+
+
+def test_numbers_do_not_depend_on_the_shards(spark):
+    docs = spark.range(0, 3 * 1024 * 1024, 1024).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    few, many = (sorted(map(tuple, pack(docs, budget=50, shard_rows=n).collect())) for n in (10**9, 1))
+    assert few == many and len(few) == 3072
