@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 SCHEMES = ("http://", "https://", "ftp://", "ftps://", "sftp://", "ssh://", "mailto:", "www.")
-CUES = ("account", "acct", "iban", "ssn", "passport", "password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key")
+CUES = ("account", "acct", "iban", "ssn", "passport", "token", "secret", "api_key", "api-key", "apikey", "access_key")
+PASSWORD_CUES = ("password", "passwd", "pwd")
+#: Cues whose value need not look like a number: behind a colon or an equals sign it is a secret.
+SECRET_CUES = ("token", "secret", "api_key", "api-key", "apikey", "access_key")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -27,6 +30,9 @@ _BODY = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _LEAD = 16
 _ID = re.compile(r"s?[\x20\t]{0,2}(?:(?:no|nr|number|id)\.?[\x20\t]{0,2})?[:=#]?[\x20\t]{0,2}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_+/-]|[\x20](?=[0-9A-Z]{2,4}(?:[\x20]|\b))){4,}[A-Za-z0-9])")
 
+_VALUE = re.compile(r"[\"']?[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"']?([^\s\"'<>,;()\[\]{}]{6,})")
+_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{6,}")
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -38,11 +44,16 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the plain patterns, leftmost and non-overlapping for each kind; failing ones drop."""
+def base_spans(text: str, ats: list[int]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the plain patterns, leftmost and non-overlapping for each kind; failing ones drop.
+
+    `ats` are the places of the at-signs, the anchors of emails.
+    """
     out = []
-    at, done = text.find("@"), 0
-    while at >= 0:  # the run of local characters before an at-sign is the only place where a match can begin
+    done = 0
+    for at in ats:  # the run of local characters before an at-sign is the only place where a match can begin
+        if at < done:
+            continue
         start = at
         while start > done and _LOCAL.match(text, start - 1, start):
             start -= 1
@@ -50,7 +61,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         if found:
             out.append((start, found.end(), "email"))
             done = found.end()
-        at = text.find("@", max(at + 1, done))
     for m in _DOTTED.finditer(text):
         if m.group().count(".") >= 3:
             pos, parts = m.start(), m.group().split(".")
@@ -77,26 +87,42 @@ def anchors():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, words in (("@", ("@",)), ("scheme", SCHEMES), ("cue", CUES)):
+    for kind, words in (("@", ("@",)), ("scheme", SCHEMES), ("cue", CUES), ("password", PASSWORD_CUES), ("jwt", ("eyj",))):
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
 
-def expanded_spans(text: str, lowered: str, automaton, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that the anchors add: addresses behind schemes, identifiers behind cues, emails in other scripts.
+def secret_value(text: str, end: int, kind: str) -> tuple[int, int] | None:
+    """The value behind a secret's cue and a colon or an equals sign: of a password anything of six characters, of others
+    what holds a digit or has sixteen."""
+    m = _VALUE.match(text, end)
+    if not m:
+        return None
+    stop = m.end(1)
+    while stop > m.start(1) and text[stop - 1] in ".!?:":
+        stop -= 1
+    value = text[m.start(1) : stop]
+    good = len(value) >= 6 and (kind == "password" or len(value) >= 16 or any(c.isdigit() for c in value))
+    return (m.start(1), stop) if good else None
+
 
-    `lowered` is the text in lower case, with places that agree.
+def expanded_spans(text: str, lowered: str, found: list[tuple[int, tuple[str, int]]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that the anchors add: addresses behind schemes, identifiers and secrets behind cues, emails in other scripts.
+
+    `lowered` is the text in lower case, with places that agree; `found` are its anchors as (last place, (kind, size)).
     """
     out = []
     done = {"address": 0, "account": 0, "email": 0}
     dull = 0  # end of a run without four digits: identifiers that begin inside it end with it and have no more
-    mails = sorted(s[:2] for s in base if s[2] == "email")
-    for last, (kind, size) in automaton.iter(lowered):
+    mails, mail = sorted(s[:2] for s in base if s[2] == "email"), 0
+    for last, (kind, size) in found:
         start, end = last + 1 - size, last + 1
         if kind == "@":
-            if any(a <= start < b for a, b in mails) or start < done["email"]:
+            while mail < len(mails) and mails[mail][1] <= start:
+                mail += 1
+            if (mail < len(mails) and mails[mail][0] <= start) or start < done["email"]:
                 continue
             left, right = start, _WIDE_DOMAIN.match(text, end)
             while right and left > done["email"] and _WIDE_LEFT.match(text, left - 1, start):
@@ -120,8 +146,20 @@ def expanded_spans(text: str, lowered: str, automaton, base: list[tuple[int, int
             if "." in host.strip(".") or "@" in host or (host and "://" in lowered[start:end]):
                 out.append((start, stop, "address"))
                 done["address"] = stop
+        elif kind == "jwt":
+            m = _JWT.match(text, start) if start >= done["account"] else None
+            if m:
+                out.append((*m.span(), "account"))
+                done["account"] = m.end()
         else:
-            if start < done["account"] or end + _LEAD < dull or (start and text[start - 1].isalnum()):
+            if start < done["account"] or (start and text[start - 1].isalnum()):
+                continue
+            value = secret_value(text, end, kind) if kind == "password" or lowered[start:end] in SECRET_CUES else None
+            if value:
+                out.append((*value, "account"))
+                done["account"] = value[1]
+                continue
+            if kind == "password" or end + _LEAD < dull:
                 continue
             m = _ID.match(text, end)
             if m and sum(c.isdigit() for c in m.group(1)) >= 4:
@@ -139,11 +177,12 @@ def all_spans(text: str | None, automaton) -> tuple[list[tuple[int, int, str]],
     """(base spans, all spans), each by start and then by kind."""
     text = text or ""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    base = base_spans(text)
     lowered = text.lower()
     if len(lowered) != len(text):  # a few letters grow in lower case
         lowered = text.translate(_UPPER)
-    more = expanded_spans(text, lowered, automaton, base)
+    found = list(automaton.iter(lowered))
+    base = base_spans(text, [last for last, (kind, _) in found if kind == "@"])
+    more = expanded_spans(text, lowered, found, base)
     return sorted(base, key=order), sorted([*base, *more], key=order)
 
 
@@ -165,30 +204,34 @@ def _find(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7 if with_text else 6)]
+            cols: list[list] = [[] for _ in range(9 if with_text else 8)]
             for text in batch.column(0).to_pylist():
                 base, every = all_spans(text, automaton)
                 for c, kind in zip(cols, KINDS[:4], strict=False):
                     c.append(sum(s[2] == kind for s in base))
                 cols[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 cols[5].append(joined(every))
+                for c, kind in zip(cols[6:8], KINDS[4:], strict=True):
+                    c.append(sum(s[2] == kind for s in every))
                 if with_text:
-                    cols[6].append(redacted(text, every) if every else text)
-            types = [pa.int64()] * 4 + [pa.string()] * 3
-            names = [*[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "clean_text"]
+                    cols[8].append(redacted(text, every) if every else text)
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.string()]
+            names = [*[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "n_address", "n_account", "clean_text"]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=False)], *batch.columns[1:]], names=[*names[: len(cols)], *batch.schema.names[1:]])
 
     return run
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redact: bool = False) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_text if `redact`, columns in `keep`).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_address, n_account, clean_text if `redact`, columns in
+    `keep`).
 
-    Counts and the hash are of the base spans; `spans` holds these and what the anchors add (kinds address and
-    account, and email in other scripts). Places are code points, ends exclusive. One pass over the rows, without
-    a shuffle. A null text has no spans and stays null; repeated rows, null ids and extra columns pass through.
+    The first counts and the hash are of the base spans; `spans` holds these and what the anchors add, which the last
+    counts are of (kinds address and account, the latter for identifiers and secrets), and emails in other scripts. Places are code points, ends exclusive. One pass over the rows, without
+    a shuffle. A null text has no spans and stays null; repeated rows, null ids and extra columns pass through. Very long
+    texts are read whole, in time that grows with their length. Ties in place go to the first kind. Empty in, empty out.
     """
     given = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
-    schema = ["n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", *["clean_text string"] * redact, "_id long", *[f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]]
+    schema = ["n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_address long, n_account long", *["clean_text string"] * redact, "_id long", *[f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]]
     out = given.mapInArrow(_find(redact), ", ".join(schema))
-    return out.select(F.col("_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *["clean_text"] * redact, *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select(F.col("_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_address", "n_account", *["clean_text"] * redact, *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
