@@ -24,11 +24,16 @@ def quantised(values: np.ndarray, scale: float) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of a with all rows of b."""
-    bound = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(1, a.shape[1])
+    """Integer inner products of all rows of a with all rows of b, as doubles while these are exact, else as 64-bit
+    numbers. Where sums could leave 64 bits, whole numbers of any size are added and results cut at their limits."""
+    bound = float(np.abs(a).max(initial=0.0)) * float(np.abs(b).max(initial=0.0)) * max(1, a.shape[1])
     if bound < 2.0**53:
         return a @ b.T
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if bound < 2.0**62 and max(np.abs(a).max(), np.abs(b).max()) < 2.0**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    left, right = ([[int(v) for v in row] for row in m] for m in (a, b))
+    low, high = -(2**63) + 1, 2**63 - 1
+    return np.array([[min(high, max(low, sum(x * y for x, y in zip(u, v, strict=True)))) for v in right] for u in left], np.int64).reshape(len(left), len(right))
 
 
 def _select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, best: list) -> None:
@@ -103,6 +108,8 @@ def _tile_search(tile: dict, k: int, scale: float, tile_queries: int):
 def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = 8192, fan_in: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the highest integer inner product for every query row.
 
+    A score that 64 bits cannot hold is the nearest that they can, so such scores tie.
+
     Queries come in tiles of at most `tile_rows` rows, which bounds what is broadcast whatever the input; each
     tile visits every candidate partition in place, without moving a candidate. A partition keeps k rows for
     each query, and lists meet in a tree of `fan_in` at most. Ties go to the smaller id. Vectors that are null,
