@@ -132,7 +132,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.95, target_cel
         lengths = [len(r.vec) for r in found]
         d = max(set(lengths), key=lambda n: (lengths.count(n), n))
         centres = spherical_kmeans(unit(np.array([r.vec for r in found if len(r.vec) == d])), min(max_cells, -(-total // target_cell)))
-    placed = scratch.save(reps.select("id", "weight", "vec").mapInArrow(_assign(centres, probes), "id long, weight long, vec array<float>, cells array<int>"))
+    placed = scratch.save(reps.select("id", "weight", "vec").mapInArrow(_assign(centres, probes), f"id long, weight long, vec {vectors.schema[vec_col].dataType.simpleString()}, cells array<int>"))
     spread = placed.select("id", "weight", "vec", "cells", F.explode("cells").alias("cell"))
     # at most max_cells rows, and one more for each vector length
     sizes = spread.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))

@@ -45,6 +45,21 @@ def test_large_components_stay_exact(spark):
     assert [(r.vec_id, r.score) for r in got] == sorted(((j, f[0][0] * f[j][0] + f[0][1] * f[j][1]) for j in (1, 2)), key=lambda x: (-x[1], x[0]))
 
 
+def test_scores_beyond_64_bits_are_cut_and_rank_first(spark):
+    rows = [(0, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [2e6, 2.0]), (3, [-1e9, -1e9]), (4, [5e14, 5e14])]
+    got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c == 0, k=4).orderBy("rank").collect()
+    exact = {j: sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(rows[0][1], rows[j][1])) for j in range(1, 5)}
+    cut = {j: max(-(2**63) + 1, min(2**63 - 1, v)) for j, v in exact.items()}
+    assert [(r.vec_id, r.score) for r in got] == sorted(cut.items(), key=lambda x: (-x[1], x[0])) and got[0].score == 2**63 - 1
+
+
+def test_vectors_of_doubles(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(1).standard_normal((20, 5)))] + [(99, [0.0] * 5)]
+    rows += [(50, [x * 1.0001 for x in rows[3][1]])]
+    got = {r.vec_id: r for r in embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.999).collect()}
+    assert got[50].component_id == 3 and got[3].n_links == 1 and got[99].kept
+
+
 def _brute(rows, threshold):
     good = [(n, r[0], np.array(r[1], np.float64)) for n, r in enumerate(rows) if r[0] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])]
     links, root = {n: 0 for n in range(len(rows))}, {r[0]: r[0] for r in rows if r[0] is not None}
