@@ -95,28 +95,78 @@ QUERIES = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL = {
-    "op1_length_bucket_packing": pack_sql(budget=65536, buckets=8),
-    "op4_url_redirect_equivalence": r"""
+LINKED_SQL = r"""(select page_id, case page_id % 11 when 9 then 'page-' || page_id else url end as url, case page_id % 8
+  when 0 then '<link rel="canonical" href="http://hub' || page_id % 3 || '.com/en/' || page_id % 5 || '">' when 1 then '<html><LINK href=''../' || page_id % 4 || '?id=' || page_id % 6 || '#f'' rel=canonical>'
+  when 2 then '<meta http-equiv="refresh" content="0;url=?page=' || page_id % 3 || '&amp;r=1">' when 3 then '<link rel=canonical href=//hub' || page_id % 3 || '.com/en/' || page_id % 5 || '>'
+  when 4 then '<meta content="5; url=./a/../b/./' || page_id % 3 || '/.." http-equiv=refresh>' when 5 then '<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="/en/' || page_id % 9 || '">'
+  when 6 then '<link rel="stylesheet" href="x.css"><link rel="canonical" href="#top">' else html end as html from pages)"""
+
+
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with canonical links and redirects of every form, by number; some without a URL that names a page."""
+    n = F.col("page_id")
+
+    def text(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    html = (
+        F.when(n % 8 == 0, text('<link rel="canonical" href="http://hub', n % 3, ".com/en/", n % 5, '">')).when(n % 8 == 1, text("<html><LINK href='../", n % 4, "?id=", n % 6, "#f' rel=canonical>"))
+        .when(n % 8 == 2, text('<meta http-equiv="refresh" content="0;url=?page=', n % 3, '&amp;r=1">')).when(n % 8 == 3, text("<link rel=canonical href=//hub", n % 3, ".com/en/", n % 5, ">"))
+        .when(n % 8 == 4, text('<meta content="5; url=./a/../b/./', n % 3, '/.." http-equiv=refresh>')).when(n % 8 == 5, text('<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="/en/', n % 9, '">'))
+        .when(n % 8 == 6, text('<link rel="stylesheet" href="x.css"><link rel="canonical" href="#top">')).otherwise(F.col("html"))
+    )
+    return _table(spark, sf_dir, "pages").select("page_id", F.when(n % 11 == 9, text("page-", n)).otherwise(F.col("url")).alias("url"), html.alias("html"))
+
+
+def url_equivalence_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages that carry links, which those of the test tables do not."""
+    return judge(_linked_pages(spark, sf_dir), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES["url_equivalence_of_links"] = url_equivalence_of_links
+
+
+def embedding_cells_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with cells so small that also small tables have many."""
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.95, target_cell=64)
+
+
+QUERIES["embedding_cells_near_dedup"] = embedding_cells_near_dedup
+
+
+def _url_sql(pages: str) -> str:
+    """Verdicts for `pages`: links resolved against the page (RFC 3986, 5.2), components by reachability, rules by length."""
+    return (
+        r"""
 with recursive page as (
-  select page_id, url, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages
+  select page_id, url, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from PAGES
 ), part as (
   select page_id, url, html, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from page
 ), rules(verdict, h, p) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-key as (select *, host || path || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1) as k from part),
+key as (select *, case when contains(url, '://') then host || path || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1) end as k,
+  regexp_extract(url, '(?s)^([^?#]*?://[^/?#]*)', 1) as origin, regexp_extract(url, '(?s)^[^?#]*?://[^/?#]*([^?#]*)', 1) as own from part),
 tags as (
-  select url, k, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) as tag from key where url is not null and lower(html) like '%canonical%'
-  union all select url, k, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) from key where url is not null and lower(html) like '%http-equiv%'
+  select url, k, origin, own, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) as tag from key where k is not null and lower(html) like '%canonical%'
+  union all select url, k, origin, own, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) from key where k is not null and lower(html) like '%http-equiv%'
 ), targets as (
-  select url, k, replace(case when regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    when regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end, '&amp;', '&') as t from tags
+  select *, regexp_extract(t, '(?s)^([^?#]*)', 1) as tpath, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) as trest from (
+  select url, k, origin, own, replace(case when regexp_matches(tag, '(?is)^<link') and regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    when regexp_matches(tag, '(?is)^<meta') and regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end, '&amp;', '&') as t from tags)
+), joined as (
+  select *, case when starts_with(tpath, '/') then tpath else case when contains(own, '/') then regexp_extract(own, '(?s)^(.*/)', 1) else '/' end || tpath end as whole from targets where t <> ''
+), cut as (
+  select *, string_split(whole, '/')[2:] as seg from joined
+), dots as (
+  select *, list_reduce(list_prepend([]::varchar[], list_transform(seg, lambda x: [x])), lambda a, x: case when x[1] = '..' then a[1:len(a) - 1] when x[1] = '.' then a else list_concat(a, x) end) as kept from cut
+), clean as (
+  select *, case when contains(whole, '/.') then '/' || array_to_string(kept, '/') || case when seg[-1] in ('.', '..') and len(kept) > 0 then '/' else '' end else whole end as tidy from dots
 ), absolute as (
-  select k as u, case when contains(t, '://') then t when starts_with(t, '//') then regexp_extract(url, '^([^?#]*?:)//', 1) || t
-    when starts_with(t, '/') then regexp_extract(url, '^([^?#]*?://[^/?#]*)', 1) || t end as t from targets
+  select k as u, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or starts_with(t, '#') then null
+    when starts_with(t, '//') then regexp_extract(url, '(?s)^([^?#]*?:)//', 1) || t when starts_with(t, '?') then origin || own || t else origin || tidy || trest end as t from clean
 ), one as (
   select u, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1)
-    || regexp_extract(t, '(?s)^[^?#]*(\?[^#]*)?', 1) as v from absolute where t is not null
+    || regexp_extract(t, '(?s)^[^?#]*(\?[^#]*)?', 1) as v from absolute where contains(t, '://')
 ), edges as (select u, v from one where u <> v union select v, u from one where u <> v),
 reach as (select distinct u as node, u as seen from edges union select r.node, e.v from reach r join edges e on e.u = r.seen),
 nodes as (select distinct seen as k, regexp_extract(seen, '^([^/?#]*)', 1) as host, regexp_extract(seen, '^[^/?#]*([^?#]*)', 1) as path from reach),
@@ -128,7 +178,14 @@ found as (
 )
 select page_id, host, path, rule, coalesce(verdict, case when allowed then 'allow' when blocked then 'block' end, 'allow') as verdict
 from found left join grouped using (k) where r = 1
-""",
+""".replace("PAGES", pages)
+    )
+
+
+ORACLE_SQL = {
+    "op1_length_bucket_packing": pack_sql(budget=65536, buckets=8),
+    "op4_url_redirect_equivalence": _url_sql("pages"),
+    "url_equivalence_of_links": _url_sql(LINKED_SQL),
     "op6_minhash_near_dedup": r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
@@ -171,3 +228,5 @@ select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as compone
 from x left join lowest on node = vec_id left join degree on u = vec_id
 """,
 }
+
+ORACLE_SQL["embedding_cells_near_dedup"] = ORACLE_SQL["op10_embedding_near_dedup"]

@@ -94,9 +94,10 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def page_key(url: Column) -> Column:
-    """What makes two URLs the same page: host in lower case, path and query; scheme and fragment do not count."""
+    """What makes two URLs the same page: host in lower case, path and query; scheme and fragment do not count. Null for
+    null and without `://`: such a URL names no page, so it shares a key with none."""
     host, path = host_and_path(url)
-    return F.concat(host, path, F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)?", 1))
+    return F.when(F.contains(url, F.lit("://")), F.concat(host, path, F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)?", 1)))
 
 
 def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, default: str = "allow", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -108,8 +109,8 @@ def judge(pages: DataFrame, rules: list[Rule], links: DataFrame | None = None, d
     links count. Only linked URLs enter the components; all else is decided in place, and a group's flags are
     combined before the shuffle, so a group or host with a third of all rows is safe.
 
-    A null URL or one without `://` has an empty host and path, no rule and the default verdict. Rows repeat as
-    they come. An empty table gives an empty result.
+    A null URL or one without `://` has an empty host and path, no rule and the default verdict, whatever its links say.
+    Very long pages are read whole. Rows repeat as they come; ties between rules go to the first by text. An empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url_col))

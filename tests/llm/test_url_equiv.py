@@ -85,3 +85,10 @@ def test_verdicts_reach_pages_over_relative_links(spark):
     got = {r.page_id: (r.verdict, r.group) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
     assert {i: v for i, (v, _) in got.items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
     assert got[5][1] == got[6][1] is not None and got[7][1] is None
+
+
+def test_urls_without_a_scheme_share_nothing(spark):
+    link = '<link rel="canonical" href="http://a.com/en/1">'
+    pages = spark.createDataFrame([(1, "foo", link), (2, "bar", ""), (3, None, link), (4, "http://a.com/en/1", ""), (5, "http://x.org/q", link)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in judge(pages, [Rule("block", "com", "/en/")]).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block"}
