@@ -9,22 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a session with local executors gets a temporary one;
+    on a cluster that is an error, as executors would write where no one else can read."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             root = found.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="mnemotide-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
-    """Arrow batches of so many megabytes at most, as rows of whole texts differ a thousandfold in size.
+    """Arrow batches of so many megabytes at most for this session, as rows of whole texts differ a thousandfold in size.
 
-    Batches are held several times over while they pass between an executor and its Python workers. A session that
+    For the application that runs queries: operators leave the session's options alone. Batches are held several times over while they pass between an executor and its Python workers. A session that
     already asks for smaller ones is left as it is.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
