@@ -133,11 +133,12 @@ def runs(p: Pieces, least: int, least_words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def run_hashes(p: Pieces, a: np.ndarray, b: np.ndarray, powers: tuple[Powers, Powers]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the words of each run."""
+    """Hashes of the words of each run: of 64 bits, and of 32 more as a whole number, so that rows stay small."""
     first, behind = p.first[a], p.behind[b]
     size = (behind - first).astype(np.uint64)
     salted = (p.words, mix(p.words))
-    return tuple(mix(ranges_hashed(v, first, behind, q) + size).view(np.int64) for v, q in zip(salted, powers, strict=True))
+    h1, h2 = (mix(ranges_hashed(v, first, behind, q) + size) for v, q in zip(salted, powers, strict=True))
+    return h1.view(np.int64), (h2 >> np.uint64(32)).view(np.int64)
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -203,7 +204,7 @@ def _hashed(least: int, least_words: int, every: int):
                     later[first] = common.behind(rows[:, first], np.diff(np.append(first, len(same))) > 1)
                     # places known to be behind another take no part in the comparison: a key of their own spreads them
                     rows[0, later] = mix((rows[2, later] * 31 + rows[3, later]).view(np.uint64)).view(np.int64)
-                    rows[1, later] = rows[3, later]
+                    rows[1, later] = 0
                     yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in rows], pa.array(later)], names=["h1", "h2", "id", "place", "later"])
 
     return run
@@ -239,7 +240,7 @@ def _cleaned(least: int, least_words: int, every: int):
 def dedup_spans(docs: DataFrame, least: int = 2, least_words: int = 24, every: int = 6, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, clean_text, n_sentences, n_removed, and the columns in `keep`), one row for each row of `docs`.
 
-    Every run of `least` consecutive sentences (more where they have under `least_words` words) is hashed to 128 bits,
+    Every run of `least` consecutive sentences (more where they have under `least_words` words) is hashed to 96 bits,
     once; runs that occur more than once over all documents keep their first place, the smallest (id, place), and
     sentences covered by any other place are removed. Texts also end sentences at words that their hash picks (`every`,
     see `sentences`), so that a passage need not begin or end with a sentence: one of 51 words without any mark has a
