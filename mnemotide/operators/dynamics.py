@@ -12,6 +12,9 @@ from ..scratch import Scratch
 from .components import connected_components
 from .graph import PHI_INV_SQ
 
+#: Similarity graphs with no more edges than these have their components found in one task.
+LOCAL_EDGES = 250_000
+
 
 def pressure(as_of: Column) -> Column:
     """Days since the last exposure over stability, times importance; never exposed counts from 2020."""
@@ -216,7 +219,7 @@ def clusters(vectors: DataFrame, scratch: Scratch, floor: float = 0.65, least: i
     """(id, session, kind, cluster): components of the similarity graph with enough nodes and sessions."""
     rows = active(vectors).where(F.col("kind").isin(*CONSOLIDATION_KINDS)).join(absorbed(vectors), "id", "left_anti")
     pairs = similar_pairs(rows, floor, block_rows=block_rows)
-    comps = connected_components(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")), scratch)
+    comps = connected_components(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")), scratch, local_edges=LOCAL_EDGES)
     found = rows.select("id", "session", "kind").join(comps.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
     big = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("s")).where((F.col("n") >= least) & (F.col("s") >= least_sessions)).select("cluster")
     return found.join(big, "cluster").select("id", "session", "kind", "cluster")

@@ -149,7 +149,7 @@ def g_edge_report(s: Store) -> DataFrame:
 @query(PAIRS + KNN + ", e as (select src as u, dst as v from semantic where tier <> 'weak' union select dst, src from semantic where tier <> 'weak'), reach as (select distinct u as node, u as seen from e union select r.node, e.v from reach r join e on e.u = r.seen) select node as id, min(seen) as component from reach group by node")
 def g_components(s: Store) -> DataFrame:
     edges = _semantic(s).where("tier <> 'weak'")
-    comps = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), Scratch(s.spark, "components"))
+    comps = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), Scratch(s.spark, "components"), local_edges=dynamics.LOCAL_EDGES)
     return comps.select(F.col("node").alias("id"), "component")
 
 

@@ -37,7 +37,10 @@ def test_components_equal_union_find(spark):
         for a, b in pairs:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-        got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark, "t")).collect()}
+        table = spark.createDataFrame(pairs, "u long, v long")
+        got = {r.node: r.component for r in connected_components(table, Scratch(spark, "t")).collect()}
+        at_once = connected_components(table.selectExpr("cast(u as string) u", "cast(v as string) v"), Scratch(spark, "t"), local_edges=10**6).collect()
+        assert {frozenset(x for x in got if got[x] == c) for c in got.values()} == {frozenset(int(r.node) for r in at_once if r.component == c) for c in {r.component for r in at_once}}
         assert got == {x: find(x) for p in pairs for x in p if p[0] != p[1] or x in got}
     assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "u long, v long"), Scratch(spark, "t")).collect() == []
 
