@@ -180,17 +180,32 @@ def _verify(width: int, percent: int):
 _EDGES = "u long, v long"
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block_rows: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _block_pairs(members: DataFrame, texts: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """(g, a, b, side, id, text) of `members` (g, id, n): the blocks of each group, dealt out as pairs of blocks.
+
+    A block has about `block_rows` rows and `block_shingles` shingles at most, but for a longer text, which is in one.
+    """
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n") / block_shingles))
+    sizes = members.groupBy("g").agg(F.greatest(blocks, F.lit(1)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "g").withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "id")
+    return dealt.join(texts, "id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block_rows: int = 256, block_shingles: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked at a Jaccard similarity of `percent` or more.
 
     Equal shingle sets first collapse to their smallest id, so copies cost one narrow grouping. Sketches of
     bands * rows coordinates give a key for each band. Documents gather at the smallest id they meet in any
     band, and every such group is verified on full sets by exact matrix products, in pairs of blocks when it is
-    large, returning links to local roots and never all pairs. What shares a band but met in another group, and
-    is not connected yet, is verified pair by pair, so nothing that shares a band is dropped.
+    large, returning links to local roots and never all pairs. Keys whose documents met in several groups, and
+    are not all connected yet, are verified in the same way, once for each set of documents, so nothing that
+    shares a band is dropped and no pair is ever a row.
 
     Null and empty texts have n_shingles 0 and link with nothing. Rows with a null id pass through alone. Rows
-    that repeat an id are one document: texts of all of them count. An empty table gives an empty result.
+    that repeat an id are one document: texts of all of them count. Blocks are bounded by shingles as well as by
+    rows, so a task holds two blocks whatever the texts' length. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -198,38 +213,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sketched = scratch.save(texts.mapInArrow(_sketches(width, bands, rows), "id long, n long, f1 long, f2 long, keys array<long>"))
     able = sketched.where("f1 is not null and id is not null")
     # tables of groups are written before rows join them, so that a large group's side of the join can be split
-    classes = scratch.save(able.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
-    banded = classes.select("rep", F.explode("keys").alias("key"))
+    classes = scratch.save(able.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    banded = classes.select("rep", "n", F.explode("keys").alias("key"))
     hubs = scratch.save(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("met")).where("met > 1").select("key", "hub"))
     hits = scratch.save(banded.join(hubs, "key"))
-    homes = scratch.save(hits.groupBy("rep").agg(F.min("hub").alias("home")))
+    homes = scratch.save(hits.groupBy("rep").agg(F.min("hub").alias("home"), F.max("n").alias("n")))
     # only documents that met another one move their text again
     near = scratch.save(texts.join(homes.select(F.col("rep").alias("id")), "id"))
 
-    own = homes.select(F.col("home").alias("g"), F.col("rep").alias("id")).unionAll(homes.select(F.col("home").alias("g"), F.col("home").alias("id"))).distinct()
-    sizes = own.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    dealt = own.join(sizes, "g").withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("g", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "id")
-    edges = scratch.save(dealt.join(near, "id").groupBy("g", "a", "b").applyInArrow(_verify(width, percent), _EDGES))
+    # a hub belongs to its own group too; its size counts once, where its own home is that group
+    own = homes.select(F.col("home").alias("g"), F.col("rep").alias("id"), "n").unionAll(homes.select(F.col("home").alias("g"), F.col("home").alias("id"), F.lit(0).cast("long").alias("n")))
+    own = own.groupBy("g", "id").agg(F.max("n").alias("n"))
+    edges = scratch.save(_block_pairs(own, near, block_rows, block_shingles).groupBy("g", "a", "b").applyInArrow(_verify(width, percent), _EDGES))
     comps = scratch.save(connected_components(edges, scratch))
 
     label = homes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "home", F.coalesce("component", "rep").alias("comp"))
-    label = label.join(able.select(F.col("id").alias("rep"), "n").distinct(), "rep")
-    seen = hits.select("key", "rep").join(label, "rep")
-    apart = scratch.save(seen.groupBy("key").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("h0 <> h1 and c0 <> c1").select("key"))
-    seen = seen.join(apart, "key")
-    one, two = seen.select([F.col(c).alias(f"{c}_1") for c in seen.columns]), seen.select([F.col(c).alias(f"{c}_2") for c in seen.columns])
-    split = F.expr(f"key_1 = key_2 and rep_1 < rep_2 and home_1 <> home_2 and comp_1 <> comp_2 and home_1 <> rep_2 and home_2 <> rep_1 and 100 * least(n_1, n_2) >= {percent} * greatest(n_1, n_2)")
-    pairs = scratch.save(one.join(two, split).select("rep_1", "rep_2").distinct())
-    if not pairs.isEmpty():
-        fan = pairs.groupBy("rep_1").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("salts"))
-        salted = pairs.join(fan, "rep_1").withColumn("salt", F.pmod(F.xxhash64("rep_2"), F.col("salts")).cast("int"))
-        first = salted.select("rep_1", "salt").distinct().select("rep_1", F.lit(0).alias("side"), "salt", F.col("rep_1").alias("id"))
-        rest = salted.select("rep_1", F.lit(1).alias("side"), "salt", F.col("rep_2").alias("id"))
-        tasks = first.unionAll(rest).join(near, "id").select(F.col("rep_1").alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"), "salt", "side", "id", "text")
-        more = tasks.groupBy("g", "a", "b", "salt").applyInArrow(_verify(width, percent), _EDGES)
-        comps = connected_components(edges.unionAll(more), scratch)
+    seen = hits.select("key", "rep", "n").join(label, "rep")
+    # the digest tells sets of documents apart; of the keys that have the same one, the smallest stands for all
+    digest = [F.count(F.lit(1)).alias("met"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")]
+    apart = seen.groupBy("key").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *digest)
+    apart = scratch.save(apart.where("h0 <> h1 and c0 <> c1").groupBy("met", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
+    if not apart.isEmpty():
+        rest = scratch.save(hits.join(apart, "key").select(F.col("key").alias("g"), F.col("rep").alias("id"), "n"))
+        more = _block_pairs(rest, near, block_rows, block_shingles).groupBy("g", "a", "b").applyInArrow(_verify(width, percent), _EDGES)
+        comps = connected_components(comps.select(F.col("component").alias("u"), F.col("node").alias("v")).unionAll(more), scratch)
 
     reps = able.select("id", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
     placed = reps.select("id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))

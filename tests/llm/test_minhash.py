@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from mnemotide.llm.minhash import _Words, fast_similarity_sketch, intersections, near_duplicates, shingle_set
+from mnemotide.llm.minhash import _block_pairs, _Words, fast_similarity_sketch, intersections, near_duplicates, shingle_set
 
 DOCS = "doc_id long, text string, n int, rep long, home long, component_id long, kept boolean"
 
@@ -75,8 +75,8 @@ def test_words_follow_the_contract():
     assert len(shingle_set("x", 3, words)) == 1 and len(shingle_set(" \n", 3, words)) == 0 and len(shingle_set(None, 3, words)) == 0
 
 
-@pytest.mark.parametrize(("width", "percent", "block_rows"), [(3, 85, 256), (5, 80, 4)])
-def test_equals_brute_force(spark, width, percent, block_rows):
+@pytest.mark.parametrize(("width", "percent", "block_rows", "block_shingles"), [(3, 85, 256, 1 << 20), (5, 80, 4, 900)])
+def test_equals_brute_force(spark, width, percent, block_rows, block_shingles):
     rng = random.Random(7)
     rows, doc = [], 0
     for size in (60, 120, 200):
@@ -92,7 +92,7 @@ def test_equals_brute_force(spark, width, percent, block_rows):
     rows += [(doc + i, " ".join(_text(rng, 30))) for i in range(30)]
     rows += [(900, "same text here"), (901, "Same  TEXT here"), (902, ""), (903, None), (904, "  "), (905, "one"), (906, "one"), (907, "one two"), (907, "one two"), (908, "x " * 60_000), (909, "x " * 50_000), (None, "same text here")]
     rng.shuffle(rows)
-    got = near_duplicates(spark.createDataFrame([(d, t, 1, 2, 3, 4, None) for d, t in rows], DOCS), width, percent, block_rows=block_rows).collect()
+    got = near_duplicates(spark.createDataFrame([(d, t, 1, 2, 3, 4, None) for d, t in rows], DOCS), width, percent, block_rows=block_rows, block_shingles=block_shingles).collect()
     assert len(got) == len(rows)
     want = _brute(rows, width, percent)
     for r in got:
@@ -103,5 +103,18 @@ def test_equals_brute_force(spark, width, percent, block_rows):
     assert len(set(want.values())) < len(want) - 25
 
 
+@pytest.mark.parametrize(("block_rows", "block_shingles"), [(5, 10**6), (10**6, 50)])
+def test_every_pair_of_a_group_meets_in_one_task(spark, block_rows, block_shingles):
+    members = spark.createDataFrame([(g, i, 10) for g, size in ((1, 40), (2, 3), (3, 1)) for i in range(size)], "g long, id long, n long")
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "id long, text string")
+    tasks = {}
+    for r in _block_pairs(members, texts, block_rows, block_shingles).collect():
+        assert r.text == f"t{r.id}" and r.a <= r.b and r.side in (r.a, r.b)
+        tasks.setdefault((r.g, r.a, r.b), []).append((r.id, r.side))
+    assert max(b for _, _, b in tasks) == 7 and all(b == 0 for g, _, b in tasks if g != 1)
+    met = [(g, i, j) for (g, a, b), rows in tasks.items() for i, x in rows for j, y in rows if i < j and (a == b or x != y)]
+    assert len(met) == len(set(met)) == 40 * 39 // 2 + 3
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
