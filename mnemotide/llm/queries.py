@@ -10,6 +10,7 @@ from . import knn_quality, langid
 from .minhash import near_duplicates
 from .packing import pack, pack_sql
 from .pii_anchor import personal_data
+from .prefix_trie import conversation_trie
 from .sp_nbest import default_model, nbest_pieces
 from .span_dedup import dedup_spans
 from .topk import exact_topk
@@ -81,6 +82,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"), heads=6, every=100).drop("key_hi", "key_lo")
+
+
 QUERIES = {
     "op1_length_bucket_packing": op1_length_bucket_packing,
     "op2_sentence_span_dedup": op2_sentence_span_dedup,
@@ -93,8 +98,20 @@ QUERIES = {
     "language_of_pages": language_of_pages,
     "op9_exact_topk": op9_exact_topk,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
 }
 
+# crc32 from its table of 256 remainders, which SQL builds from the polynomial
+CRC_TABLE = """crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, list_transform(range(8), lambda k: 0::bigint)),
+  lambda a, k: case when a % 2 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end)) as remainders)"""
+
+
+def crc_sql(column: str) -> str:
+    """Unsigned crc32 of a number's decimal form, for rows joined with `crc`."""
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({column}::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, c: xor(a >> 8, remainders[(xor(a, c) % 256) + 1])), 4294967295::bigint)"""
+
+
 LINKED_SQL = r"""(select page_id, case page_id % 11 when 9 then 'page-' || page_id else url end as url, case page_id % 8
   when 0 then '<link rel="canonical" href="http://hub' || page_id % 3 || '.com/en/' || page_id % 5 || '">' when 1 then '<html><LINK href=''../' || page_id % 4 || '?id=' || page_id % 6 || '#f'' rel=canonical>'
   when 2 then '<meta http-equiv="refresh" content="0;url=?page=' || page_id % 3 || '&amp;r=1">' when 3 then '<link rel=canonical href=//hub' || page_id % 3 || '.com/en/' || page_id % 5 || '>'
@@ -229,4 +246,21 @@ from x left join lowest on node = vec_id left join degree on u = vec_id
 """,
 }
 
+ORACLE_SQL["op11_conversation_prefix_trie"] = f"""
+with {CRC_TABLE}, turns as (
+  select conv_id, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as i
+  from conversations where conv_id is not null
+), orig as (select conv_id, list({{'r': r, 'x': x}} order by i) as s from turns group by conv_id),
+heads as (select conv_id as c, s, {crc_sql("conv_id")} % 6 as h from orig, crc),
+reb as (select c, list_concat(coalesce(b.s[1:h], []), a.s[h + 1:]) as s from heads a left join orig b on b.conv_id = c - c % 100),
+mem as (select c, d, s[1:d] as p, d = len(s) as fin from (select c, s, unnest(range(0, len(s) + 1)) as d from reb)),
+nodes as (select p, d, min(c) as conv_id, count(*) as n, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (fin), '')) as e from mem group by p, d),
+kids as (select p[1:d - 1] as p, count(*) as k from nodes where d > 0 group by 1),
+counted as (select nodes.*, coalesce(k, 0) as k from nodes left join kids using (p)),
+above as (select p[1:i] as q, case when k = 0 then 1 else 0 end as leaf, case when d > 0 then (n - 1) * length(p[d].x) else 0 end as v from (select *, unnest(range(0, d + 1)) as i from counted)),
+sums as (select q, sum(leaf) as leaves, sum(v) as saved from above group by q)
+select a.conv_id, a.d as depth, b.conv_id as parent_conv_id, a.n as n_convs, a.k as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, a.e as ends_sha256
+from counted a join sums on q = a.p left join nodes b on a.d > 0 and b.d = a.d - 1 and b.p = a.p[1:a.d - 1]
+"""
+
 ORACLE_SQL["embedding_cells_near_dedup"] = ORACLE_SQL["op10_embedding_near_dedup"]

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations", "clicks", "sales", "sale_lines"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -24,4 +24,4 @@ def test_query(spark, name):
 
 def test_names():
     ops = [n for n in QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in ops) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in ops) == list(range(1, 14))
