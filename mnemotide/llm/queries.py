@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import bounded_batches
 from . import knn_quality, langid
+from .block_neighbours import nearest_neighbours
 from .minhash import near_duplicates
 from .packing import pack, pack_sql
 from .pii_anchor import personal_data
@@ -86,6 +87,10 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return conversation_trie(_table(spark, sf_dir, "conversations"), heads=6, every=100).drop("key_hi", "key_lo")
 
 
+def op12_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_length_bucket_packing": op1_length_bucket_packing,
     "op2_sentence_span_dedup": op2_sentence_span_dedup,
@@ -99,6 +104,7 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_block_neighbours": op12_block_neighbours,
 }
 
 # crc32 from its table of 256 remainders, which SQL builds from the polynomial
@@ -246,6 +252,16 @@ from x left join lowest on node = vec_id left join degree on u = vec_id
 """,
 }
 
+ORACLE_SQL["op12_block_neighbours"] = """
+with x as (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_cosine_similarity(q.v, c.v) as score from x q join x c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+select query_id, n::int as rank, vec_id, score from r where n <= 5
+"""
+
 ORACLE_SQL["op11_conversation_prefix_trie"] = f"""
 with {CRC_TABLE}, turns as (
   select conv_id, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as i
