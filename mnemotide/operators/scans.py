@@ -38,8 +38,12 @@ def running(
     return running_ranges(parts, key, order, scratch, sums, maxes, previous, following, before)
 
 
-def running_ranges(parts: DataFrame, key: list[str], order: list[str], scratch: Scratch, sums: dict, maxes: dict, previous: dict, following: dict, before: bool = False) -> DataFrame:
-    """The second half of `running`, for written rows whose column `_part` numbers contiguous ranges of (key, order)."""
+def running_ranges(parts: DataFrame, key: list[str], order: list[str], scratch: Scratch, sums: dict, maxes: dict, previous: dict, following: dict, before: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """The second half of `running`, for written rows whose column `_part` numbers contiguous ranges of (key, order).
+
+    `rows`: what gets the running columns, if not the written rows themselves but a summary of them with the same sums,
+    maxima and ends for each range.
+    """
     place = F.struct(*order)
     folds = [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_m_{n}") for n, c in maxes.items()]
     folds += [F.max_by(c, place).alias(f"_p_{n}") for n, c in previous.items()] + [F.min_by(c, place).alias(f"_f_{n}") for n, c in following.items()]
@@ -59,23 +63,19 @@ def running_ranges(parts: DataFrame, key: list[str], order: list[str], scratch:
         local["_first"] = F.row_number().over(own) == 1
     if following:
         local["_last"] = F.lead(F.lit(1)).over(own).isNull()
-    met = parts.withColumns(local)
+    met = (parts if rows is None else rows).withColumns(local)
     meets = F.col("_part") == F.col("_from")
     for i, k in enumerate(key):
         meets &= F.col(k).eqNullSafe(F.col(f"_k_{i}"))
     met = met.join(carries, meets, "left")
-    found = {n: F.coalesce(F.col(f"_s_{n}") + F.coalesce(F.col(f"_l_s_{n}"), _zero(c)), F.col(f"_l_s_{n}"), _zero(c)) for n, c in sums.items()}
+    found = {n: F.coalesce(F.col(f"_s_{n}") + F.coalesce(F.col(f"_l_s_{n}"), F.lit(0)), F.col(f"_l_s_{n}"), F.lit(0)) for n, c in sums.items()}
     found |= {n: F.greatest(f"_m_{n}", f"_l_m_{n}") if not _is_struct(parts, c) else _later(F.col(f"_m_{n}"), F.col(f"_l_m_{n}")) for n, c in maxes.items()}
     found |= {n: F.when(F.col("_first"), F.col(f"_p_{n}")).otherwise(F.col(f"_l_p_{n}")) for n in previous}
     found |= {n: F.when(F.col("_last"), F.col(f"_f_{n}")).otherwise(F.col(f"_l_f_{n}")) for n in following}
-    kept = [c for c in parts.columns if c != "_part" and c not in found]
+    kept = [c for c in (parts if rows is None else rows).columns if c != "_part" and c not in found]
     return met.select(*kept, *[c.alias(n) for n, c in found.items()])
 
 
-def _zero(c: Column) -> Column:
-    return F.lit(0)
-
-
 def _is_struct(df: DataFrame, c: Column) -> bool:
     return df.select(c.alias("c")).schema["c"].dataType.typeName() == "struct"
 
