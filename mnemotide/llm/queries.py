@@ -11,6 +11,7 @@ from .block_neighbours import nearest_neighbours
 from .minhash import near_duplicates
 from .packing import pack, pack_sql
 from .pii_anchor import personal_data
+from .pit_features import point_in_time_features
 from .prefix_trie import conversation_trie
 from .sp_nbest import default_model, nbest_pieces
 from .span_dedup import dedup_spans
@@ -91,6 +92,11 @@ def op12_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0, k=5)
 
 
+def op13_point_in_time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, sales, lines = (_table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines"))
+    return point_in_time_features(clicks, sales, lines, windows=(2, 14), delay_minutes=240, label_days=7)
+
+
 QUERIES = {
     "op1_length_bucket_packing": op1_length_bucket_packing,
     "op2_sentence_span_dedup": op2_sentence_span_dedup,
@@ -105,6 +111,7 @@ QUERIES = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op12_block_neighbours": op12_block_neighbours,
+    "op13_point_in_time_features": op13_point_in_time_features,
 }
 
 # crc32 from its table of 256 remainders, which SQL builds from the polynomial
@@ -262,6 +269,27 @@ with x as (
 select query_id, n::int as rank, vec_id, score from r where n <= 5
 """
 
+ORACLE_SQL["op13_point_in_time_features"] = f"""
+with {CRC_TABLE}, s as (
+  select sale_id, client_id, epoch_us(sold_at) as sold, epoch_us(arrived_at) + 14400000000 as known, coalesce(floor(100 * total + 0.5), 0)::bigint as cents from sales where client_id is not null and sold_at is not null
+), p as (select row_number() over () as r, sale_id, client_id, sold + coalesce({crc_sql("sale_id")} % 259200, 0) * 1000000 as t from s, crc),
+w as (select *, d * 86400000000 as span from p, (values (2), (14)) as v(d)),
+c as (select distinct * from clicks),
+clicked as (
+  select r, d, count(*) as n, count(*) filter (kind = 'purchase') as bought, sum(coalesce(floor(100 * value + 0.5), 0))::bigint as cents, arg_max(click_id, {{'ts': ts, 'id': click_id}}) as last
+  from w join c using (client_id) where epoch_us(ts) <= t and epoch_us(ts) > t - span and epoch_us(arrived_at) + 14400000000 <= t group by r, d
+), held as (select r, d, t, s.sale_id, s.cents from w join s using (client_id) where sold <= t and sold > t - span and known <= t),
+sold as (select r, d, count(*) as n, sum(cents)::bigint as cents from held group by r, d),
+lined as (
+  select r, d, count(*) as n, count(distinct item_id) as items, sum(coalesce(floor(100 * amount + 0.5), 0))::bigint as cents
+  from held join sale_lines l on l.sale_id = held.sale_id where epoch_us(shipped_at) <= t group by r, d
+)
+select w.sale_id, w.d::int as d, t as t_us, exists (select 1 from s where s.client_id = w.client_id and s.sold > w.t and s.sold <= w.t + 604800000000) as label,
+  coalesce(a.n, 0)::bigint as n_clicks, coalesce(a.bought, 0)::bigint as n_purchases, coalesce(a.cents, 0)::bigint as click_cents, a.last as last_click_id,
+  coalesce(b.n, 0)::bigint as n_sales, coalesce(b.cents, 0)::bigint as sale_cents, coalesce(e.n, 0)::bigint as n_lines, coalesce(e.items, 0)::bigint as n_items, coalesce(e.cents, 0)::bigint as line_cents
+from w left join clicked a using (r, d) left join sold b using (r, d) left join lined e using (r, d)
+"""
+
 ORACLE_SQL["op11_conversation_prefix_trie"] = f"""
 with {CRC_TABLE}, turns as (
   select conv_id, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as i
