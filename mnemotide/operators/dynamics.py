@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import duplicate_keywords
-from ..functions.vectors import similar_pairs
+from ..functions.similarity import similar_roots
 from ..model import CONSOLIDATION_KINDS, HEARTBEAT_KINDS, METHOD_KINDS, SLOW_MS, active, days_between, not_void
 from ..scratch import Scratch
 from .components import connected_components
@@ -218,7 +218,7 @@ def absorbed(nodes: DataFrame) -> DataFrame:
 def clusters(vectors: DataFrame, scratch: Scratch, floor: float = 0.65, least: int = 3, least_sessions: int = 2, block_rows: int = 2048) -> DataFrame:
     """(id, session, kind, cluster): components of the similarity graph with enough nodes and sessions."""
     rows = active(vectors).where(F.col("kind").isin(*CONSOLIDATION_KINDS)).join(absorbed(vectors), "id", "left_anti")
-    pairs = similar_pairs(rows, floor, block_rows=block_rows)
+    pairs = similar_roots(rows, floor, block_rows=block_rows)
     comps = connected_components(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")), scratch, local_edges=LOCAL_EDGES)
     found = rows.select("id", "session", "kind").join(comps.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
     big = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("s")).where((F.col("n") >= least) & (F.col("s") >= least_sessions)).select("cluster")

@@ -46,9 +46,9 @@ PAIRS = ", pairs as (select least(a.id, b.id) as src, greatest(a.id, b.id) as ds
 
 @query(PAIRS + " select src, dst, round(cosine, 3) as cosine, split_part(a.session, '-', 1) || a.session <> split_part(b.session, '-', 1) || b.session as cross_session from (select * from pairs where cosine >= 0.30 order by cosine desc, src, dst limit 200) p join base a on a.id = src join base b on b.id = dst")
 def r_pairwise_edges(s: Store) -> DataFrame:
-    from ..functions.vectors import similar_pairs
+    from ..functions.similarity import similar_pairs
 
-    top = similar_pairs(active(s.vectors), 0.30).orderBy(F.desc("cosine"), "src", "dst").limit(200)
+    top = similar_pairs(active(s.vectors), 0.30, most=200).orderBy(F.desc("cosine"), "src", "dst").limit(200)
     ends = s.base.select("id", "session")
     both = top.join(ends.select(F.col("id").alias("src"), F.col("session").alias("s1")), "src").join(ends.select(F.col("id").alias("dst"), F.col("session").alias("s2")), "dst")
     return both.select("src", "dst", F.round("cosine", 3).alias("cosine"), (F.col("s1") != F.col("s2")).alias("cross_session"))

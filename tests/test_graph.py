@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemotide.functions.vectors import checked_dimension, cosine_to, dimension_report, similar_pairs
+from mnemotide.functions.similarity import Blocks, similar_pairs, similar_roots
+from mnemotide.functions.vectors import checked_dimension, cosine_to, dimension_report
 from mnemotide.operators import dynamics, graph, retrieval
 from mnemotide.operators.components import connected_components
 from mnemotide.scratch import Scratch
@@ -61,6 +62,50 @@ def test_similar_pairs_equal_all_pairs(spark, block_rows):
         assert all((f"v{min(i, j):02d}", f"v{max(i, j):02d}") in top for j in best)
 
 
+def test_odd_vectors_do_not_disturb_others(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", [1.0, 2.0, 0.0]), ("c", [1.0, 2.0, 0.0]), ("b", [nan, 1.0, 1.0]), ("i", [inf, 1.0, 1.0]), ("n", [1.0, None, 1.0]), ("z", [0.0, 0.0, 0.0]), ("e", []), ("two", [1.0, 2.0]), ("two2", [2.0, 4.0]), ("x", None), (None, [1.0, 2.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    for top in (1, None):
+        assert {(r.src, r.dst) for r in similar_pairs(df, 0.3, top=top).collect()} == {("a", "c"), ("two", "two2")}
+    assert {(r.src, r.dst) for r in similar_roots(df, 0.3).collect()} == {("a", "c"), ("two", "two2")}
+    assert similar_pairs(df.limit(0), 0.3, top=2).collect() == []
+    assert [r.c for r in df.where("id = 'b'").select(cosine_to("embedding", [1.0, 1.0, 1.0]).alias("c")).collect()] == [None]
+
+
+def _gathered(spark, groups=24, rows=40, d=16, spread=0.05):
+    rng = np.random.default_rng(11)
+    m = np.concatenate([g + rng.standard_normal((rows, d)) * spread for g in rng.standard_normal((groups, d))])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    return m, spark.createDataFrame([(f"v{i:04d}", [float(x) for x in v]) for i, v in enumerate(m)], "id string, embedding array<double>")
+
+
+def test_blocks_that_cannot_reach_the_floor_are_skipped(spark):
+    m, df = _gathered(spark)
+    sims = m @ m.T
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(sims >= 0.8, 1)))}
+    assert Blocks(df, 0.8, None, 40, "id", "embedding").skipped > 0.7
+    assert {(r.src, r.dst) for r in similar_pairs(df, 0.8, block_rows=40).collect()} == want
+    low = {(r.src, r.dst): r.cosine for r in similar_pairs(df, -1.0, top=3, block_rows=40).collect()}
+    np.fill_diagonal(sims, -2)
+    for i in range(len(m)):
+        for j in np.argsort(-sims[i])[:3]:
+            assert math.isclose(low[f"v{min(i, j):04d}", f"v{max(i, j):04d}"], sims[i, j], abs_tol=1e-9)
+    assert len(low) < len(m) * 3 * 24 and Blocks(df, -1.0, 3, 40, "id", "embedding").skipped > 0.3  # by the k-th best that rows have
+    best = similar_pairs(df, 0.0, most=5, block_rows=40).orderBy(F.desc("cosine"), "src", "dst").limit(5).collect()
+    order = sorted(((-sims[i, j], i, j) for i in range(len(m)) for j in range(i + 1, len(m))))[:5]
+    assert [(r.src, r.dst) for r in best] == [(f"v{i:04d}", f"v{j:04d}") for _, i, j in order]
+
+
+def test_roots_connect_what_pairs_connect(spark):
+    _, df = _gathered(spark, groups=5, rows=30)
+    parts = {}
+    for name, links in (("pairs", similar_pairs(df, 0.8, block_rows=20)), ("roots", similar_roots(df, 0.8, block_rows=20))):
+        found = connected_components(links.select(F.col("src").alias("u"), F.col("dst").alias("v")), Scratch(spark, "t"))
+        parts[name] = sorted((r.node, r.component) for r in found.collect())
+    assert parts["pairs"] == parts["roots"] and similar_roots(df, 0.8, block_rows=20).count() < similar_pairs(df, 0.8, block_rows=20).count()
+
+
 def test_cosine_leaves_out_vectors_of_another_dimension(spark):
     for dim in (3, 20):
         q = [2.0] + [0.0] * (dim - 1)
