@@ -125,11 +125,13 @@ def crc_sql(column: str) -> str:
     lambda a, c: xor(a >> 8, remainders[(xor(a, c) % 256) + 1])), 4294967295::bigint)"""
 
 
-LINKED_SQL = r"""(select page_id, case page_id % 11 when 9 then 'page-' || page_id else url end as url, case page_id % 8
-  when 0 then '<link rel="canonical" href="http://hub' || page_id % 3 || '.com/en/' || page_id % 5 || '">' when 1 then '<html><LINK href=''../' || page_id % 4 || '?id=' || page_id % 6 || '#f'' rel=canonical>'
-  when 2 then '<meta http-equiv="refresh" content="0;url=?page=' || page_id % 3 || '&amp;r=1">' when 3 then '<link rel=canonical href=//hub' || page_id % 3 || '.com/en/' || page_id % 5 || '>'
-  when 4 then '<meta content="5; url=./a/../b/./' || page_id % 3 || '/.." http-equiv=refresh>' when 5 then '<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="/en/' || page_id % 9 || '">'
-  when 6 then '<link rel="stylesheet" href="x.css"><link rel="canonical" href="#top">' else html end as html from pages)"""
+#: What the links of `_linked_pages` name, written down for each form: (page_id, url, the base, the reference).
+LINKED_SQL = r"""(select page_id, url, case when page_id % 16 = 12 then 'http://hub2.com/en/x/' else url end as base, unnest(case page_id % 16
+  when 0 then ['http://hub' || page_id % 3 || '.com/en/' || page_id % 5] when 1 then ['../' || page_id % 4 || '?id=' || page_id % 6 || '#f'] when 2 then ['?page=' || page_id % 3 || '&r=1']
+  when 3 then ['//hub' || page_id % 3 || '.com/en/' || page_id % 5] when 4 then ['./a/../b/./' || page_id % 3 || '/..'] when 5 then ['/en/' || page_id % 9] when 8 then ['http://hub' || page_id % 3 || '.com/en/' || page_id % 5]
+  when 9 then ['http://hub' || page_id % 3 || '.com/es/' || page_id % 5] when 10 then ['http://hub1.com/en/' || page_id % 5 || '?a=1&b=2'] when 11 then ['/en/' || page_id % 4 || ';a=2'] when 12 then [(page_id % 5)::varchar]
+  when 13 then ['http://hub1.com/es/' || page_id % 3] when 15 then ['http://hub1.com/en/' || page_id % 5, 'http://hub2.com/es/1'] else [] end) as t
+  from (select page_id, case page_id % 11 when 9 then 'page-' || page_id else url end as url from pages))"""
 
 
 def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +141,26 @@ def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
-    html = (
-        F.when(n % 8 == 0, text('<link rel="canonical" href="http://hub', n % 3, ".com/en/", n % 5, '">')).when(n % 8 == 1, text("<html><LINK href='../", n % 4, "?id=", n % 6, "#f' rel=canonical>"))
-        .when(n % 8 == 2, text('<meta http-equiv="refresh" content="0;url=?page=', n % 3, '&amp;r=1">')).when(n % 8 == 3, text("<link rel=canonical href=//hub", n % 3, ".com/en/", n % 5, ">"))
-        .when(n % 8 == 4, text('<meta content="5; url=./a/../b/./', n % 3, '/.." http-equiv=refresh>')).when(n % 8 == 5, text('<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="/en/', n % 9, '">'))
-        .when(n % 8 == 6, text('<link rel="stylesheet" href="x.css"><link rel="canonical" href="#top">')).otherwise(F.col("html"))
-    )
+    forms = {
+        0: ['<link rel="canonical" href="http://hub', n % 3, ".com/en/", n % 5, '">'],
+        1: ["<html><LINK href='../", n % 4, "?id=", n % 6, "#f' rel=canonical>"],
+        2: ['<meta http-equiv="refresh" content="0;url=?page=', n % 3, '&amp;r=1">'],
+        3: ["<link rel=canonical href=//hub", n % 3, ".com/en/", n % 5, ">"],
+        4: ['<meta content="5; url=./a/../b/./', n % 3, '/.." http-equiv=refresh>'],
+        5: ['<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="/en/', n % 9, '">'],
+        6: ['<link rel="stylesheet" href="x.css"><link rel="canonical" href="#top">'],
+        8: ['<link rel="canonical" href=" http://hub', n % 3, ".com/en/", n % 5, '\n">'],
+        9: ["<link rel='nofollow Canonical' href='http://hub", n % 3, ".com/es/", n % 5, "'/>"],
+        10: ['<link rel=canonical href="http:&#47;/hub1.com&#x2F;en/', n % 5, '?a=1&amp;b=2">'],
+        11: ['<meta http-equiv=Refresh content="0;url=/en/', n % 4, ';a=2">'],
+        12: ['<base href="http://hub2.com/en/x/"><link rel=canonical href="', n % 5, '">'],
+        13: ['<link rel="canonical" data-href="http://hub0.com/en/0" href="http://hub1.com/es/', n % 3, '">'],
+        14: ['<!-- <link rel="canonical" href="http://hub0.com/en/0"> --><script>x = \'<link rel=canonical href="http://hub1.com/en/1">\';</script>'],
+        15: ['<link title="a>b" href=\'http://hub1.com/en/', n % 5, "' rel=\"CANONICAL\"><meta http-equiv=\"refresh\" content=\"3; URL='http://hub2.com/es/1'\">"],
+    }
+    html = F.col("html")
+    for k, parts in forms.items():
+        html = F.when(n % 16 == k, text(*parts)).otherwise(html)
     return _table(spark, sf_dir, "pages").select("page_id", F.when(n % 11 == 9, text("page-", n)).otherwise(F.col("url")).alias("url"), html.alias("html"))
 
 
@@ -164,25 +180,26 @@ def embedding_cells_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["embedding_cells_near_dedup"] = embedding_cells_near_dedup
 
 
-def _url_sql(pages: str) -> str:
-    """Verdicts for `pages`: links resolved against the page (RFC 3986, 5.2), components by reachability, rules by length."""
+#: References of pages as (url, base, t), read from their tags.
+READ_SQL = r"""(select url, url as base, replace(case when regexp_matches(tag, '(?is)^<link') and regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    when regexp_matches(tag, '(?is)^<meta') and regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) end, '&amp;', '&') as t
+  from (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages))"""
+
+
+def _url_sql(pages: str, references: str) -> str:
+    """Verdicts for `pages`: links resolved against the page or its base (RFC 3986, 5.2), components by reachability, rules by length."""
     return (
         r"""
 with recursive page as (
-  select page_id, url, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from PAGES
+  select page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from PAGES
 ), part as (
-  select page_id, url, html, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  select page_id, url, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from page
 ), rules(verdict, h, p) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-key as (select *, case when contains(url, '://') then host || path || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1) end as k,
-  regexp_extract(url, '(?s)^([^?#]*?://[^/?#]*)', 1) as origin, regexp_extract(url, '(?s)^[^?#]*?://[^/?#]*([^?#]*)', 1) as own from part),
-tags as (
-  select url, k, origin, own, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) as tag from key where k is not null and lower(html) like '%canonical%'
-  union all select url, k, origin, own, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) from key where k is not null and lower(html) like '%http-equiv%'
-), targets as (
-  select *, regexp_extract(t, '(?s)^([^?#]*)', 1) as tpath, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) as trest from (
-  select url, k, origin, own, replace(case when regexp_matches(tag, '(?is)^<link') and regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    when regexp_matches(tag, '(?is)^<meta') and regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end, '&amp;', '&') as t from tags)
+key as (select *, case when contains(url, '://') then host || path || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1) end as k from part),
+targets as (
+  select *, regexp_extract(t, '(?s)^([^?#]*)', 1) as tpath, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) as trest, regexp_extract(base, '(?s)^([^?#]*?://[^/?#]*)', 1) as origin, regexp_extract(base, '(?s)^[^?#]*?://[^/?#]*([^?#]*)', 1) as own
+  from (select distinct k, base, t from REFERENCES join (select distinct url, k from key where k is not null) using (url))
 ), joined as (
   select *, case when starts_with(tpath, '/') then tpath else case when contains(own, '/') then regexp_extract(own, '(?s)^(.*/)', 1) else '/' end || tpath end as whole from targets where t <> ''
 ), cut as (
@@ -193,7 +210,7 @@ tags as (
   select *, case when contains(whole, '/.') then '/' || array_to_string(kept, '/') || case when seg[-1] in ('.', '..') and len(kept) > 0 then '/' else '' end else whole end as tidy from dots
 ), absolute as (
   select k as u, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or starts_with(t, '#') then null
-    when starts_with(t, '//') then regexp_extract(url, '(?s)^([^?#]*?:)//', 1) || t when starts_with(t, '?') then origin || own || t else origin || tidy || trest end as t from clean
+    when starts_with(t, '//') then regexp_extract(base, '(?s)^([^?#]*?:)//', 1) || t when starts_with(t, '?') then origin || own || t else origin || tidy || trest end as t from clean
 ), one as (
   select u, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1)
     || regexp_extract(t, '(?s)^[^?#]*(\?[^#]*)?', 1) as v from absolute where contains(t, '://')
@@ -208,14 +225,14 @@ found as (
 )
 select page_id, host, path, rule, coalesce(verdict, case when allowed then 'allow' when blocked then 'block' end, 'allow') as verdict
 from found left join grouped using (k) where r = 1
-""".replace("PAGES", pages)
+""".replace("PAGES", pages).replace("REFERENCES", references)
     )
 
 
 ORACLE_SQL = {
     "op1_length_bucket_packing": pack_sql(budget=65536, buckets=8),
-    "op4_url_redirect_equivalence": _url_sql("pages"),
-    "url_equivalence_of_links": _url_sql(LINKED_SQL),
+    "op4_url_redirect_equivalence": _url_sql("pages", READ_SQL),
+    "url_equivalence_of_links": _url_sql("(select page_id, case page_id % 11 when 9 then 'page-' || page_id else url end as url from pages)", LINKED_SQL),
     "op6_minhash_near_dedup": r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +87,63 @@ def resolved(ref: Column, base: Column) -> Column:
     )
 
 
+# Comments, and elements whose text is no markup; one that is not closed reaches to the page's end.
+_NOT_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template)\b[^<>]*+>.*?(?:</\1\b|\Z)", re.S | re.I)
+# A tag ends before the next one begins, so that pages full of tags without an end are read once.
+_TAG = re.compile(r"""<(link|meta|base)(?=[\s/>])((?:"[^"]*"|'[^']*'|[^<>"'])*+)>""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_REFRESH = re.compile(r"""\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by name in lower case, the first of each name, entities decoded and blanks around taken away."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        value = m.group(2) or ""
+        value = value[1:-1] if value[:1] in ("'", '"') else value
+        found.setdefault(m.group(1).lower(), html.unescape(value).strip())
+    return found
+
+
+def references(page: str) -> tuple[str | None, list[str]]:
+    """(base, references): what a page's canonical links and refresh redirects name, as written, and its `<base>`, if any.
+
+    A link is canonical if `canonical` is one of the words of its `rel`. Comments and texts of scripts, styles, titles,
+    text areas and templates are no markup.
+    """
+    base, out = None, []
+    for tag in _TAG.finditer(_NOT_MARKUP.sub(" ", page)):
+        kind, found = tag.group(1).lower(), _attributes(tag.group(2))
+        if kind == "base":
+            base = base or found.get("href")
+        elif kind == "link":
+            if "canonical" in found.get("rel", "").lower().split():
+                out.append(found.get("href", ""))
+        elif found.get("http-equiv", "").lower() == "refresh":
+            m = _REFRESH.match(found.get("content", ""))
+            out.append(next((x for x in m.groups() if x), "").strip())
+    return base, [x for x in dict.fromkeys(out) if x]
+
+
+def _read_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, b, v = [], [], []
+        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            base, found = references(page)
+            u += [url] * len(found)
+            b += [base] * len(found)
+            v += found
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (u, b, v)], names=["u", "base", "v"])
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): pairs of page URLs and the URLs that their canonical links or refresh redirects name, made absolute."""
-    attr = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    meta = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>;]+)"
-    tags = pages.where(F.col(url_col).isNotNull() & (F.contains(F.lower(html_col), F.lit("canonical")) | F.contains(F.lower(html_col), F.lit("http-equiv"))))
-    found = tags.select(F.col(url_col).alias("u"), F.explode(F.array_union(F.regexp_extract_all(html_col, F.lit(attr), F.lit(1)), F.regexp_extract_all(html_col, F.lit(meta), F.lit(1)))).alias("v"))
-    found = found.select("u", F.regexp_replace("v", "&amp;", "&").alias("v"))
-    return found.select("u", resolved(F.col("v"), F.col("u")).alias("v")).where("v is not null")
+    """(u, v): pairs of page URLs and the URLs that their canonical links or refresh redirects name, made absolute against the
+    page's URL, or its `<base>` if it has one. Only pages that hold such a word at all are parsed."""
+    low = F.lower(html_col)
+    tags = pages.where(F.col(url_col).isNotNull() & (F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))))
+    found = tags.select(F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("html")).mapInArrow(_read_links, "u string, base string, v string")
+    found = found.withColumn("at", F.coalesce(F.when(F.col("base").isNotNull() & (F.col("base") != ""), resolved(F.col("base"), F.col("u"))), F.col("u")))
+    return found.select("u", resolved(F.col("v"), F.col("at")).alias("v")).where("v is not null")
 
 
 def page_key(url: Column) -> Column:

@@ -2,7 +2,7 @@ import itertools
 
 from urllib.parse import urljoin
 
-from mnemotide.llm.url_equiv import Rule, judge, page_key, resolved
+from mnemotide.llm.url_equiv import Rule, judge, page_key, page_links, references, resolved
 
 PAGES = "page_id long, url string, html string, host int, rule int, key int, component int"
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
@@ -92,3 +92,33 @@ def test_urls_without_a_scheme_share_nothing(spark):
     pages = spark.createDataFrame([(1, "foo", link), (2, "bar", ""), (3, None, link), (4, "http://a.com/en/1", ""), (5, "http://x.org/q", link)], "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in judge(pages, [Rule("block", "com", "/en/")]).collect()}
     assert got == {1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block"}
+
+
+def test_references_of_every_form():
+    cases = {
+        '<link rel="canonical" href=" http://b.com/en/1\t">': ["http://b.com/en/1"],
+        '<link rel="nofollow canonical" href=/x>': ["/x"],
+        "<link rel=canonicals href=/x>": [],
+        '<link rel=canonical href="&#47;a&#x2f;b?c=1&amp;d&lt;">': ["/a/b?c=1&d<"],
+        '<meta http-equiv="refresh" content="0;url=/en/1;a=2">': ["/en/1;a=2"],
+        '<meta http-equiv="refresh" content="0; URL=\'/en/1 x\'; y">': ["/en/1 x"],
+        '<meta http-equiv="refresh" content="5">': [],
+        '<meta name="refresh" content="0;url=/x">': [],
+        '<link rel=canonical data-href="/no" href="/yes">': ["/yes"],
+        '<link rel=canonical data-href="/no">': [],
+        '<!-- <link rel=canonical href="/no"> -->': [],
+        '<!-- <link rel=canonical href="/no">': [],
+        '<script>"<link rel=canonical href=/no>"</script><LINK REL=CANONICAL HREF=/yes />': ["/yes"],
+        '<link title="a>b" href="/x" rel=canonical>': ["/x"],
+        '<linker rel=canonical href=/x>': [],
+        '<link rel=canonical href=/a href=/b><link rel=canonical href=/a>': ["/a"],
+    }
+    for page, want in cases.items():
+        assert references(page)[1] == want, page
+    assert references('<base target=_top><base href="/b/"><link rel=canonical href=c>') == ("/b/", ["c"])
+
+
+def test_base_and_very_long_pages(spark):
+    filler = "<p title='>'>" + "word " * 400_000
+    rows = [_page(1, "http://a.com/x/y", '<base href="../z/">' + filler + '<link rel="canonical" href=" q?r ">'), _page(2, "http://a.com/x/y", "<link rel=canonical " * 20_000)]
+    assert [tuple(r) for r in page_links(spark.createDataFrame(rows, PAGES)).collect()] == [("http://a.com/x/y", "http://a.com/z/q?r")]
