@@ -25,37 +25,38 @@ LIST_EXPORT = (
 ACTIVITY_EXPORT = "title string, time string, subtitles array<struct<name: string>>"
 
 
+_OUTSIDE, _INSIDE = re.compile(r'["\[\]{},]'), re.compile(r'["\\]')
+
+
 def stream_array(chunks: Iterator[str]) -> Iterator[str]:
-    """The top-level elements of one JSON array, from pieces of its text, holding one element at a time."""
-    depth, quoted, escaped, held = 0, False, False, []
+    """The top-level elements of one JSON array, from pieces of its text, holding one element at a time.
+
+    Expressions find the next mark that matters, so plain text between marks is passed at their speed.
+    """
+    depth, quoted, held, skip = 0, False, [], 0
     for chunk in chunks:
-        start = 0
-        for i, c in enumerate(chunk):
-            if quoted:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == '"':
-                    quoted = False
+        start, at = 0, skip
+        skip = 0
+        while m := (_INSIDE if quoted else _OUTSIDE).search(chunk, at):
+            i, at, c = m.start(), m.end(), m.group()
+            if c == "\\":
+                at += 1  # what it escapes, which may begin the next piece
             elif c == '"':
-                quoted = True
+                quoted = not quoted
             elif c in "[{":
                 depth += 1
                 if depth == 1:
-                    start = i + 1
-            elif c in "]}":
-                depth -= 1
-                if depth == 0:
+                    start = at
+            elif c in "]}" or depth == 1:
+                depth -= c in "]}"
+                if depth <= 1 and (c == "," or depth == 0):
                     held.append(chunk[start:i])
-                    if "".join(held).strip():
-                        yield "".join(held).strip()
-                    return
-            elif c == "," and depth == 1:
-                held.append(chunk[start:i])
-                if "".join(held).strip():
-                    yield "".join(held).strip()
-                held, start = [], i + 1
+                    if element := "".join(held).strip():
+                        yield element
+                    if depth == 0:
+                        return
+                    held, start = [], at
+        skip = max(0, at - len(chunk))
         if depth:
             held.append(chunk[start:])
 

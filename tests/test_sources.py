@@ -21,6 +21,15 @@ def test_array_elements_come_one_by_one(values, size):
     assert [json.loads(x) for x in got] == values
 
 
+def test_array_elements_pass_at_the_speed_of_expressions():
+    import time
+
+    text = json.dumps([{"text": "word " * 200_000, "n": i} for i in range(8)])
+    began = time.perf_counter()
+    assert len(list(exports.stream_array(text[i : i + 65536] for i in range(0, len(text), 65536)))) == 8
+    assert time.perf_counter() - began < 0.5
+
+
 def _message(role, text, at, kind="text", **more):
     content = {"content_type": kind, "text": text} if kind in ("code", "execution_output") else {"content_type": kind, "parts": more.get("parts", [text])}
     return {"message": {"author": {"role": role}, "create_time": at, "content": content, "metadata": {"model_slug": more.get("model")}}}
