@@ -31,6 +31,7 @@ _LEAD = 16
 _ID = re.compile(r"s?[\x20\t]{0,2}(?:(?:no|nr|number|id)\.?[\x20\t]{0,2})?[:=#]?[\x20\t]{0,2}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_+/-]|[\x20](?=[0-9A-Z]{2,4}(?:[\x20]|\b))){4,}[A-Za-z0-9])")
 
 _VALUE = re.compile(r"[\"']?[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"']?([^\s\"'<>,;()\[\]{}]{6,})")
+_TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]*")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{6,}")
 
 
@@ -116,6 +117,7 @@ def expanded_spans(text: str, lowered: str, found: list[tuple[int, tuple[str, in
     out = []
     done = {"address": 0, "account": 0, "email": 0}
     dull = 0  # end of a run without four digits: identifiers that begin inside it end with it and have no more
+    no_token = 0  # end of a run at which a token failed
     mails, mail = sorted(s[:2] for s in base if s[2] == "email"), 0
     for last, (kind, size) in found:
         start, end = last + 1 - size, last + 1
@@ -147,10 +149,14 @@ def expanded_spans(text: str, lowered: str, found: list[tuple[int, tuple[str, in
                 out.append((start, stop, "address"))
                 done["address"] = stop
         elif kind == "jwt":
-            m = _JWT.match(text, start) if start >= done["account"] else None
+            if start < max(done["account"], no_token) or not text.startswith("eyJ", start):
+                continue
+            m = _JWT.match(text, start)
             if m:
                 out.append((*m.span(), "account"))
                 done["account"] = m.end()
+            else:  # a token that begins inside the same run ends it at the same place and fails alike, or is shorter
+                no_token = _TOKEN_RUN.match(text, start).end()
         else:
             if start < done["account"] or (start and text[start - 1].isalnum()):
                 continue

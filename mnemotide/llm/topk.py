@@ -23,17 +23,47 @@ def quantised(values: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(np.asarray(values, dtype=np.float64) * scale)
 
 
+def _digits(m: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+    """Whole numbers as digits of so many bits, with their sign, each with its place; exact for doubles of any size.
+    Places at which all are 0 are left out, so a number far from the others costs a few digits."""
+    sign, rest, out, place = np.sign(m), np.abs(m), [], 0
+    while rest.any():
+        low = np.fmod(rest, 2.0**bits)
+        if low.any():
+            out.append((place, sign * low))
+        rest, place = (rest - low) / 2.0**bits, place + 1
+    return out
+
+
+def _long_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of any size, cut at the limits of 64 bits: matrix products of digits, added as whole numbers."""
+    bits = (53 - max(1, a.shape[1]).bit_length()) // 2
+    total = np.zeros((len(a), len(b)), object)
+    right = _digits(b, bits)
+    for p, x in _digits(a, bits):
+        for q, y in right:
+            total += (x @ y.T).astype(np.int64).astype(object) << bits * (p + q)
+    return np.clip(total, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of a with all rows of b, as doubles while these are exact, else as 64-bit
-    numbers. Where sums could leave 64 bits, whole numbers of any size are added and results cut at their limits."""
-    bound = float(np.abs(a).max(initial=0.0)) * float(np.abs(b).max(initial=0.0)) * max(1, a.shape[1])
-    if bound < 2.0**53:
-        return a @ b.T
-    if bound < 2.0**62 and max(np.abs(a).max(), np.abs(b).max()) < 2.0**62:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    left, right = ([[int(v) for v in row] for row in m] for m in (a, b))
-    low, high = -(2**63) + 1, 2**63 - 1
-    return np.array([[min(high, max(low, sum(x * y for x, y in zip(u, v, strict=True)))) for v in right] for u in left], np.int64).reshape(len(left), len(right))
+    """Integer inner products of all rows of a with all rows of b, as doubles where all of these are exact, else as 64-bit
+    numbers. Only rows whose sums could leave what doubles hold exactly are added in digits; results that 64 bits cannot hold
+    are cut at their limits."""
+    top_a, top_b = np.abs(a).max(axis=1, initial=0.0), np.abs(b).max(axis=1, initial=0.0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        wide = np.multiply.outer(top_a * max(1, a.shape[1]), top_b) >= 2.0**53
+        plain = a @ b.T
+    if not wide.any():
+        return plain
+    out = np.where(wide, 0, plain).astype(np.int64)
+    rows = wide.mean(axis=1) > 0.5
+    for some in (np.flatnonzero(rows), np.flatnonzero(~rows & wide.any(axis=1))):
+        if len(some):
+            cols = np.flatnonzero(wide[some].any(axis=0))
+            at = np.ix_(some, cols)
+            out[at] = np.where(wide[at], _long_products(a[some], b[cols]), out[at])
+    return out
 
 
 def _select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, best: list) -> None:

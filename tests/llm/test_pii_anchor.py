@@ -121,3 +121,14 @@ def test_long_identifiers_and_local_parts_are_covered_to_their_end():
 def test_runs_with_many_cues_take_one_pass():
     text = "/tokenx" * 60_000 + ": token 123456 " + "/passwordx" * 100 + " pwd=abc12345"
     assert [text[a:b] for a, b, _ in all_spans(text, anchors())[1]] == ["123456", "abc12345"]
+
+
+def test_tokens_that_fail_cost_their_length_once():
+    automaton = anchors()
+    for text in ("eyJaaaaaaaaaaaaaa" * 60_000, "eyJaaaaaaaaaaaaaa." * 60_000, "eyJaaaaaaaaaaaaaa.eyJ" * 50_000):
+        began = time.perf_counter()
+        all_spans(text, automaton)
+        assert time.perf_counter() - began < 3
+    token = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 8
+    for before in ("eyJ! ", "eyj", "EYJx"):
+        assert (len(before), len(before) + len(token), "account") in all_spans(before + token, automaton)[1]

@@ -107,3 +107,26 @@ def test_parts():
     c = spherical_kmeans(unit(np.random.default_rng(0).standard_normal((50, 4))), 7)
     assert c.shape == (7, 4) and np.allclose((c * c).sum(1), 1)
     assert np.allclose(unit(np.array([[3e200, 4e200]])), [[0.6, 0.8]])
+
+
+def test_long_products_are_exact_and_only_for_the_rows_that_need_them():
+    import time
+
+    from mnemotide.llm.topk import products
+
+    rng = np.random.default_rng(5)
+    a, b = (np.floor(rng.standard_normal((n, 64)) * 1024) for n in (64, 1000))
+    began = time.perf_counter()
+    plain = products(a, b)
+    short = time.perf_counter() - began
+    a[3, 5], b[7, 5], b[8, 0], a[4, 0] = 1e17, -3e15, 1e300, 2.0**60
+    began = time.perf_counter()
+    got = products(a, b)
+    assert time.perf_counter() - began < 5 * short + 0.2  # in whole numbers alone it takes several hundred times as long
+    cut = lambda v: max(-(2**63) + 1, min(2**63 - 1, v))
+    for i in (0, 3, 4):
+        for j in (0, 7, 8, 9):
+            assert got[i, j] == cut(sum(int(x) * int(y) for x, y in zip(a[i], b[j])))
+    same = np.ones(got.shape, bool)
+    same[[3, 4]], same[:, [7, 8]] = False, False
+    assert (got[same] == plain[same]).all()
