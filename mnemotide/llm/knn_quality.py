@@ -45,13 +45,16 @@ class Model:
         return _latent(terms, self.idf, self.basis)
 
     def scores(self, latent: np.ndarray) -> np.ndarray:
-        """Mean label of the nearest labelled vectors, weighted by a power of their cosine; else the mean label."""
+        """Mean label of the nearest labelled vectors, weighted by a power of their cosine; else the mean label. Of vectors
+        that tie for the last place the first count, in the order of their documents' ids."""
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         k = min(self.neighbours, len(self.labels))
         if not k:
             return np.full(len(latent), prior)
         sims = latent @ self.vectors.T
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        tied = (sims >= np.take_along_axis(sims, near, 1).min(axis=1)[:, None]).sum(axis=1) > k
+        near[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
         weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** self.power
         total = weight.sum(axis=1)
         voted = (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
@@ -99,23 +102,25 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [term_vector(t) for t in part.column(0).to_pylist()]
             at = [np.flatnonzero(r) for r in rows]
             cells = [pa.array([i.astype(np.int16) for i in at], pa.list_(pa.int16())), pa.array([r[i] for r, i in zip(rows, at, strict=True)], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([*cells, part.column(1)], names=["at", "value", "label"])
+            yield pa.RecordBatch.from_arrays([*cells, part.column(1), part.column(2)], names=["at", "value", "label", "id"])
 
 
 def fit_on(docs: DataFrame, labelled: DataFrame, sample_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Model:
     """A model from at most `sample_rows` labelled documents (those with the lowest hash of the id), fitted here.
 
-    `labelled` has ids and labels; several labels of a document are averaged, null labels and ids drop.
+    `labelled` has ids and labels; several labels of a document are averaged, null labels and ids drop. Of
+    documents that repeat an id the smallest text counts.
     """
     known = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null")
     chosen = bounded_sample(known.groupBy("id").agg(F.avg("label").alias("label")), sample_rows, "id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    found = rows.select("text", "label", "id").dropDuplicates(["id"]).select("text", "label").mapInArrow(_terms, "at array<short>, value array<float>, label double").collect()
+    once = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    found = once.select("text", "label", "id").mapInArrow(_terms, f"at array<short>, value array<float>, label double, id {once.schema['id'].dataType.simpleString()}").collect()
+    found.sort(key=lambda r: r.id)
     terms = np.zeros((len(found), (1 << BITS) + 3), np.float32)
     for i, r in enumerate(found):
         terms[i, r["at"]] = r["value"]
-    order = np.lexsort((terms[:, : 1 << BITS].sum(axis=1), [r["label"] for r in found])) if found else np.zeros(0, int)
-    return fit(terms[order], np.array([found[i]["label"] for i in order], np.float64), **options)
+    return fit(terms, np.array([r.label for r in found], np.float64), **options)
 
 
 def _scored(shared, block: int):
@@ -135,7 +140,7 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.7, id_col
 
     The broadcast model has at most sample_rows * dims + 4099 * (dims + 1) numbers, whatever the input. Every
     document meets every labelled vector, in blocks. Null and empty texts have no terms and score the mean label.
-    Repeated rows score each; a null id passes through. An empty table gives an empty result; without labels all
+    Repeated rows score each; a null id passes through; very long texts are read whole. An empty table gives an empty result; without labels all
     score 0.5.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

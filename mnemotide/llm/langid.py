@@ -64,10 +64,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_on(docs: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from the whole texts of at most `sample_rows` documents with a known language (lowest hash of the id)."""
+    """A model from the whole texts of at most `sample_rows` documents with a known language (lowest hash of the id).
+    Of rows that repeat an id the one with the smallest text, then language, counts."""
     chosen = bounded_sample(docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), sample_rows, "id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    found = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("text", "lang").mapInArrow(_sparse, "at array<short>, n array<int>, lang string").collect()
+    once = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("x"))
+    found = once.select("x.text", "x.lang").mapInArrow(_sparse, "at array<short>, n array<int>, lang string").collect()
     counts = np.zeros((len(found), 1 << BITS))
     for i, r in enumerate(found):
         counts[i, r["at"]] = r["n"]
@@ -117,7 +119,8 @@ def identify(
     The text likelihoods are written once (a narrow table without texts); sums are combined before the shuffle, so
     a host with a third of all rows is safe. `accepted` is false where the text has no letters, fits none of the
     learned languages, or the probability is under `least`. Null and empty texts rest on the other evidence but are
-    not accepted. Ties go to the first language by name. A null host counts as one host without labels. An empty
+    not accepted. Texts of fewer than 20 trigrams cannot tell whether they fit, so they need not. Very long texts are read
+    whole. Ties go to the first language by name. A null host counts as one host without labels. An empty
     table gives an empty result, as rows without any learned language have a null language.
     """
     spark = rows.sparkSession

@@ -103,82 +103,54 @@ def _rows(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _tile_search(tile: dict, k: int, scale: float, tile_queries: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+def _tile_search(k: int, scale: float, step: int = 512):
+    def run(key, table):
+        table = table.combine_chunks()
+        asks, ids = np.asarray(table.column("asks")), np.asarray(table.column("id"))
+        mat = quantised(np.asarray(table.column("vec").combine_chunks().flatten()).reshape(len(ids), -1), scale)
+        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+        own, queries, cand, names = ids[q], mat[q], mat[c], ids[c]
         empty = np.zeros(0, np.int64)
-        best = {d: [(empty, empty)] * len(ids) for d, (ids, _) in tile.items()}
-        for batch in batches:
-            for d, (ids, mat) in _rows(batch).items():
-                if d not in tile:
-                    continue
-                own, queries = tile[d]
-                cand = quantised(mat, scale)
-                for a in range(0, len(own), tile_queries):
-                    some = best[d][a : a + tile_queries]
-                    _select(products(queries[a : a + tile_queries], cand), ids, own[a : a + tile_queries], k, some)
-                    best[d][a : a + tile_queries] = some
-        part = TaskContext.get().partitionId()
-        for d, (own, _) in tile.items():
-            found = [(q, s, i) for q, (s, i) in zip(own, best[d], strict=True) if len(s)]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([q for q, _, _ in found], pa.int64()),
-                        pa.array([part] * len(found), pa.int32()),
-                        pa.array([[{"neg": -int(x), "id": int(y)} for x, y in zip(s, i, strict=True)] for _, s, i in found], pa.list_(pa.struct([("neg", pa.int64()), ("id", pa.int64())]))),
-                    ],
-                    names=["query_id", "part", "top"],
-                )
+        best = [(empty, empty)] * len(own)
+        for a in range(0, len(own), step):
+            some = best[a : a + step]
+            if len(c):
+                _select(products(queries[a : a + step], cand), names, own[a : a + step], k, some)
+            best[a : a + step] = some
+        found = [(o, s, i) for o, (s, i) in zip(own, best, strict=True) if len(s)]
+        top = [[{"neg": -int(x), "id": int(y)} for x, y in zip(s, i, strict=True)] for _, s, i in found]
+        kind = pa.list_(pa.struct([("neg", pa.int64()), ("id", pa.int64())]))
+        return pa.table({"query_id": pa.array([o for o, _, _ in found], pa.int64()), "part": pa.array([key[1].as_py()] * len(found), pa.int64()), "top": pa.array(top, kind)})
 
     return run
 
 
-def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = 8192, fan_in: int = 16) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = 2048, shard_rows: int = 8192, fan_in: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the highest integer inner product for every query row.
 
     A score that 64 bits cannot hold is the nearest that they can, so such scores tie.
 
-    Queries come in tiles of at most `tile_rows` rows, which bounds what is broadcast whatever the input; each
-    tile visits every candidate partition in place, without moving a candidate. A partition keeps k rows for
-    each query, and lists meet in a tree of `fan_in` at most. Ties go to the smaller id. Vectors that are null,
-    or hold null or non-finite components, take no part; vectors of different lengths never meet. Repeated
-    candidate rows take a rank each; a repeated query id counts once, with its smallest vector. Rows with a
-    null id take no part. An empty table gives an empty result.
+    Queries are dealt into tiles of about `tile_rows`, candidates into shards of about `shard_rows`; each pair of a tile and a
+    shard is one group of one job, with one matrix product for each 512 queries, so a task holds one tile and one shard and
+    nothing is broadcast. A pair keeps k rows for each query, and lists meet in a tree of `fan_in` at most. Ties go to
+    the smaller id. Vectors that are null, or hold null or non-finite components, take no part; vectors of different
+    lengths never meet. Repeated candidate rows take a rank each; a repeated query id counts once, with its smallest
+    vector. Rows with a null id take no part. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & valid_vector("vec"))
+    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & valid_vector("vec") & (F.size("vec") > 0))
     asked = scratch.save(good.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec")))
-    parts, last = [], None
-    while True:
-        page = asked if last is None else asked.where(F.col("id") > last)
-        rows = page.orderBy("id").limit(tile_rows).collect()
-        if not rows and last is not None:
-            break
-        tile = {}
-        for d in {len(r.vec) for r in rows}:
-            same = [r for r in rows if len(r.vec) == d]
-            tile[d] = (np.array([r.id for r in same], np.int64), quantised(np.array([r.vec for r in same], np.float64).reshape(len(same), d), scale))
-        parts.append(_merged(good, tile, k, scale, fan_in))
-        if len(rows) < tile_rows:
-            break
-        last = rows[-1].id
-        parts[-1] = scratch.save(parts[-1])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-def _merged(good: DataFrame, tile: dict, k: int, scale: float, fan_in: int) -> DataFrame:
-    lists = good.mapInArrow(_tile_search(tile, k, scale, 512), "query_id long, part int, top array<struct<neg: bigint, id: bigint>>")
-    parts = good.rdd.getNumPartitions()
+    tiles, shards = (max(1, -(-df.count() // n)) for df, n in ((asked, tile_rows), (good, shard_rows)))
+    first, last = F.lit(0).cast("long"), lambda n: F.lit(n - 1).cast("long")
+    # wholly equal rows, of which k can matter, are counted before they move and go to shards of their own
+    copies = good.groupBy("id", "vec").agg(F.count(F.lit(1)).alias("n")).select("id", "vec", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))).alias("n"))
+    left = asked.select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(tiles)).alias("tile"), F.explode(F.sequence(first, last(shards))).alias("shard"), F.lit(True).alias("asks"), "id", "vec")
+    right = copies.select(F.explode(F.sequence(first, last(tiles))).alias("tile"), F.pmod(F.xxhash64("id", "n", F.lit(7)), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "id", "vec")
+    lists = left.unionAll(right).withColumn("d", F.size("vec")).groupBy("tile", "shard", "d").applyInArrow(_tile_search(k, scale), "query_id long, part long, top array<struct<neg: bigint, id: bigint>>")
     merge = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")
-    while parts > fan_in:
-        lists = lists.groupBy("query_id", F.floor(F.col("part") / fan_in).cast("int").alias("part")).agg(merge)
-        parts = -(-parts // fan_in)
-    lists = lists.groupBy("query_id").agg(merge)
-    row = lists.select("query_id", F.posexplode("top").alias("pos", "hit"))
+    while shards > fan_in:
+        lists = lists.groupBy("query_id", F.floor(F.col("part") / fan_in).alias("part")).agg(merge)
+        shards = -(-shards // fan_in)
+    row = lists.groupBy("query_id").agg(merge).select("query_id", F.posexplode("top").alias("pos", "hit"))
     return row.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.neg")).alias("score"))

@@ -23,9 +23,9 @@ def _odd(start):
 def test_topk_equals_brute_force(spark, tile_rows):
     rng = np.random.default_rng(4)
     mat = rng.integers(-3, 4, (60, 3)) / 7  # few values, so many ties
-    rows = _rows(mat) + _odd(100) + _rows(mat[:2]) + [(None, [1.0, 1.0, 1.0], 0, 1, 2, "c")]
+    rows = _rows(mat) + _odd(100) + _rows(mat[:2]) + 9 * _rows(mat[7:8], 7) + [(None, [1.0, 1.0, 1.0], 0, 1, 2, "c")]
     got = {}
-    for r in exact_topk(spark.createDataFrame(rows, VECS).repartition(20), lambda c: c % 5 == 0, k=7, tile_rows=tile_rows, fan_in=3).collect():
+    for r in exact_topk(spark.createDataFrame(rows, VECS).repartition(20), lambda c: c % 5 == 0, k=7, tile_rows=tile_rows, shard_rows=tile_rows, fan_in=3).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = [(i, [math.floor(1024 * x) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = {}
