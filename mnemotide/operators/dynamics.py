@@ -11,6 +11,7 @@ from ..model import CONSOLIDATION_KINDS, HEARTBEAT_KINDS, METHOD_KINDS, SLOW_MS,
 from ..scratch import Scratch
 from .components import connected_components
 from .graph import PHI_INV_SQ
+from .scans import running
 
 #: Similarity graphs with no more edges than these have their components found in one task.
 LOCAL_EDGES = 250_000
@@ -181,21 +182,33 @@ def schedule_context(nodes: DataFrame, positions: DataFrame, order: list[Column]
     return rows.select("id", "section", "place", middle.alias("in_middle"))
 
 
-def manifest(nodes: DataFrame, window_tokens: int = 200_000) -> DataFrame:
+def manifest(nodes: DataFrame, window_tokens: int = 200_000, scratch: Scratch | None = None) -> DataFrame:
     """(session, id, memory_tier, position, band): hot nodes at 0, warm ones at golden places of the window; for every
     session at once."""
-    warm = Window.partitionBy("session", "memory_tier").orderBy("ts", "seq")
-    place = F.when(F.col("memory_tier") == 0, F.lit(0)).otherwise(F.floor(golden_position(F.row_number().over(warm) - 1) * window_tokens)).cast("int")
-    return not_void(nodes).where("memory_tier <= 1").select("session", "id", "memory_tier", place.alias("position")).withColumn("band", F.floor(F.col("position") / 10_000).cast("int"))
+    kept = not_void(nodes).where("memory_tier <= 1")
+    rows = running(kept, ["session", "memory_tier"], ["ts", "seq"], scratch or Scratch(nodes.sparkSession, "manifest"), sums={"place": F.lit(1)}, before=True)
+    place = F.when(F.col("memory_tier") == 0, F.lit(0)).otherwise(F.floor(golden_position(F.col("place")) * window_tokens)).cast("int")
+    return rows.select("session", "id", "memory_tier", place.alias("position")).withColumn("band", F.floor(F.col("position") / 10_000).cast("int"))
 
 
-def position_feedback(loads: DataFrame, order: list[Column], compiled: DataFrame) -> DataFrame:
+def schedule_summary(nodes: DataFrame, window_tokens: int = 200_000) -> DataFrame:
+    """(session, hot, warm, cold, window, coverage): what the manifest of each session places, what it leaves to retrieval
+    (active cold nodes), and the placed share in whole percent, half to even."""
+    cold = (F.col("memory_tier") == 2) & (F.col("status") == "active")
+    hot, warm = (F.count_if((F.col("memory_tier") == t) & (F.col("status") != "void")) for t in (0, 1))
+    rows = nodes.groupBy("session").agg(hot.alias("hot"), warm.alias("warm"), F.count_if(cold).alias("cold"))
+    placed = F.col("hot") + F.col("warm")
+    share = F.bround(placed / F.greatest(F.lit(1), placed + F.col("cold")) * 100, 0).cast("int")
+    return rows.select("session", "hot", "warm", "cold", F.lit(window_tokens).alias("window"), F.concat(share.cast("string"), F.lit("%")).alias("coverage"))
+
+
+def position_feedback(loads: DataFrame, order: list[str], compiled: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node_id, loads, middle, hits) from rows (session, node_id) and (session, report): places within each session's
     load order, and whether the report names the node."""
-    w = Window.partitionBy("session")
-    at, n = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
-    rows = loads.select("session", "node_id", at.alias("at"), n.alias("n")).join(compiled, "session", "left")
+    placed = running(loads.select("session", "node_id", *order), ["session"], [*order, "node_id"], scratch or Scratch(loads.sparkSession, "feedback"), sums={"at": F.lit(1)}, before=True)
+    sessions = loads.groupBy("session").agg(F.count(F.lit(1)).alias("n")).join(compiled, "session", "left")
     middle = (F.col("at") >= F.floor(F.col("n") / 3)) & (F.col("at") < F.floor(2 * F.col("n") / 3))
+    rows = placed.join(sessions, "session")
     return rows.groupBy("node_id").agg(F.count(F.lit(1)).alias("loads"), F.count_if(middle).alias("middle"), F.count_if(F.contains("report", F.col("node_id"))).alias("hits"))
 
 

@@ -6,24 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .scans import running
 
 
-def segments(lines: DataFrame, boundary: Column, by: str, order: list[str]) -> DataFrame:
-    """`lines` with `segment`: how many boundaries came up to and including each line of its file."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("segment", F.sum(F.when(boundary, 1).otherwise(0)).over(w))
+def _scratch(df: DataFrame, scratch: Scratch | None, label: str) -> Scratch:
+    return scratch or Scratch(df.sparkSession, label)
 
 
-def new_tail(incoming: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+def segments(lines: DataFrame, boundary: Column, by: str, order: list[str], scratch: Scratch | None = None) -> DataFrame:
+    """`lines` with `segment`: how many boundaries came up to and including each line of its file. A file with most lines is
+    many tasks, see `scans.running`, as everything here that counts within a key."""
+    return running(lines, [by], order, _scratch(lines, scratch, "segments"), sums={"segment": F.when(boundary, 1).otherwise(0)})
+
+
+def new_tail(incoming: DataFrame, stored: DataFrame, order: list[str], scratch: Scratch | None = None) -> DataFrame:
     """(session, status, turn columns) of a continued export: turns beyond those stored, chained to the last one.
 
     `stored` has session, turns and last_id. A session with fewer incoming turns than stored has shrunk and nothing
     of it is imported.
     """
-    w = Window.partitionBy("session").orderBy(*order)
-    rows = incoming.withColumns({"n": F.row_number().over(w), "incoming": F.count(F.lit(1)).over(Window.partitionBy("session")), "before": F.lag("id").over(w)})
-    rows = rows.join(stored, "session", "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
-    tail = rows.where((F.col("incoming") > F.col("turns")) & (F.col("n") > F.col("turns")))
+    rows = running(incoming, ["session"], order, _scratch(incoming, scratch, "tail"), sums={"n": F.lit(1)}, previous={"before": F.col("id")})
+    sessions = incoming.groupBy("session").agg(F.count(F.lit(1)).alias("incoming")).join(stored, "session", "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
+    tail = rows.join(sessions.where(F.col("incoming") > F.col("turns")), "session").where(F.col("n") > F.col("turns"))
     return tail.withColumn("parent", F.when(F.col("n") == F.col("turns") + 1, F.col("last_id")).otherwise(F.col("before"))).drop("before", "incoming")
 
 
@@ -35,17 +39,26 @@ def import_report(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return n.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("conversations"), F.sum(added).alias("turns"))
 
 
-def visits(events: DataFrame, by: str, ts: str = "ts", gap_seconds: int = 1800, order: tuple[str, ...] = ()) -> DataFrame:
+def visits(events: DataFrame, by: str, ts: str = "ts", gap_seconds: int = 1800, order: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """`events` with `visit`: a pause longer than the gap begins a new one, from 1 for each key."""
-    w = Window.partitionBy(by).orderBy(ts, *order)
-    pause = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)
-    return events.withColumn("_new", F.when(pause.isNull() | (pause > gap_seconds), 1).otherwise(0)).withColumn("visit", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    scratch, places = _scratch(events, scratch, "visits"), [ts, *order]
+    seen = running(events, [by], places, scratch, previous={"_last": F.col(ts).cast("double")})
+    pause = F.col(ts).cast("double") - F.col("_last")
+    return running(seen, [by], places, scratch, sums={"visit": F.when(pause.isNull() | (pause > gap_seconds), 1).otherwise(0)}).drop("_last")
 
 
-def sliding_rate(events: DataFrame, by: str, ts: str = "ts", seconds: int = 60, most: int = 30) -> DataFrame:
-    """`events` with `recent` (events of the key in the window that ends at each) and `allowed`."""
-    w = Window.partitionBy(by).orderBy(F.col(ts).cast("long")).rangeBetween(-seconds, 0)
-    return events.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("recent") <= most)
+def sliding_rate(events: DataFrame, by: str, ts: str = "ts", seconds: int = 60, most: int = 30, scratch: Scratch | None = None) -> DataFrame:
+    """`events` with `recent` (events of the key in the window that ends at each second) and `allowed`.
+
+    An event counts from its second on and no longer once the window has passed it, so the rate is a running sum of such
+    changes, one row for each key and second, that events meet by an equi-join.
+    """
+    rows = events.withColumn("_at", F.col(ts).cast("long"))
+    per = rows.where("_at is not null").groupBy(by, "_at").agg(F.count(F.lit(1)).alias("_c"))
+    changes = per.unionAll(per.select(by, F.col("_at") + seconds + 1, -F.col("_c"))).groupBy(by, "_at").agg(F.sum("_c").alias("_c"))
+    rate = running(changes, [by], ["_at"], _scratch(events, scratch, "rate"), sums={"recent": F.col("_c")}).select(F.col(by).alias("_by"), F.col("_at").alias("_when"), "recent")
+    met = rows.join(rate, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_when")), "left").drop("_at", "_by", "_when")
+    return met.withColumn("allowed", F.col("recent") <= most)
 
 
 def drift_keywords(text: Column) -> Column:
@@ -55,13 +68,17 @@ def drift_keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda w: (F.length(w) > 3) & ~F.startswith(w, F.lit("-")) & ~F.rlike(w, F.lit(r"^\d+$"))))
 
 
-def drift(calls: DataFrame, by: str, order: list[str], every: int = 5, back: int = 10, floor: float = 0.15) -> DataFrame:
+def drift(calls: DataFrame, by: str, order: list[str], every: int = 5, back: int = 10, floor: float = 0.15, chunk: int = 1000, scratch: Scratch | None = None) -> DataFrame:
     """(by, id, n, similarity, keyword): calls whose words hardly overlap the up to `back` calls before.
 
-    Every `every`-th call of a session is compared; the keyword is the longest new word, the first at ties.
+    Every `every`-th call of a session is compared; the keyword is the longest new word, the first at ties. Calls are numbered,
+    and each piece of `chunk` of them is looked at with the `back` calls before it, so a session is many groups.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = calls.withColumn("k", drift_keywords(F.col("query"))).withColumns({"n": F.row_number().over(w), "past": F.array_distinct(F.flatten(F.collect_list("k").over(w.rowsBetween(-back, -1))))})
+    rows = running(calls.withColumn("k", drift_keywords(F.col("query"))), [by], order, _scratch(calls, scratch, "drift"), sums={"n": F.lit(1)})
+    own = F.floor((F.col("n") - 1) / chunk)
+    rows = rows.withColumn("_own", own).withColumn("_piece", F.explode(F.array_distinct(F.array(own, F.floor((F.col("n") - 1 + back) / chunk)))))
+    w = Window.partitionBy(by, "_piece").orderBy("n").rowsBetween(-back, -1)
+    rows = rows.withColumn("past", F.array_distinct(F.flatten(F.collect_list("k").over(w)))).where(F.col("_own") == F.col("_piece"))
     rows = rows.where((F.col("n") % every == 0) & (F.col("n") > every) & (F.size("k") > 0))
     share = F.size(F.array_intersect("k", "past")) / F.size(F.array_union("k", "past"))
     rows = rows.withColumn("similarity", F.when(F.size("past") == 0, 1.0).otherwise(share)).where(F.col("similarity") < floor)
@@ -70,10 +87,9 @@ def drift(calls: DataFrame, by: str, order: list[str], every: int = 5, back: int
     return rows.select(by, "id", "n", "similarity", F.element_at(longest, 1)["w"].alias("keyword"))
 
 
-def counter_triggers(calls: DataFrame, by: str, order: list[str], every: int = 25) -> DataFrame:
+def counter_triggers(calls: DataFrame, by: str, order: list[str], every: int = 25, scratch: Scratch | None = None) -> DataFrame:
     """Calls at which a counter that restarts when it fires has reached `every`: every 25th call of each session."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return calls.withColumn("n", n).where(F.col("n") % every == 0)
+    return running(calls, [by], order, _scratch(calls, scratch, "counter"), sums={"n": F.lit(1)}).where(F.col("n") % every == 0)
 
 
 def once_per(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -81,12 +97,11 @@ def once_per(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def longest_streak(rows: DataFrame, flag: Column, by: str, order: list[str]) -> DataFrame:
-    """(by, streak): the longest run of consecutive rows with the flag."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = rows.withColumn("_f", flag).withColumn("_g", F.row_number().over(w) - F.sum(F.col("_f").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.where("_f").groupBy(by, "_g").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(by).distinct().join(runs.groupBy(by).agg(F.max("n").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("streak"))
+def longest_streak(rows: DataFrame, flag: Column, by: str, order: list[str], scratch: Scratch | None = None) -> DataFrame:
+    """(by, streak): the longest run of consecutive rows with the flag. A run is what has the same count of rows without it."""
+    flagged = rows.select(by, *order, flag.alias("_f"))
+    runs = running(flagged, [by], order, _scratch(rows, scratch, "streak"), sums={"_g": F.when(F.col("_f"), 0).otherwise(1)}).groupBy(by, "_g").agg(F.count_if("_f").alias("n"))
+    return runs.groupBy(by).agg(F.max("n").alias("streak"))
 
 
 def placed(rows: DataFrame, by: list[str], scratch: Scratch, within: list[str] | None = None) -> DataFrame:

@@ -196,6 +196,14 @@ def n_manifest(s: Store) -> DataFrame:
     return dynamics.manifest(s.base)
 
 
+@query(
+    " select session, count(*) filter (where memory_tier = 0 and status <> 'void') as hot, count(*) filter (where memory_tier = 1 and status <> 'void') as warm, count(*) filter (where memory_tier = 2 and status = 'active') as cold, 200000 as window,"
+    " round_even(count(*) filter (where memory_tier < 2 and status <> 'void') * 100.0::double / greatest(1, count(*) filter (where (memory_tier < 2 and status <> 'void') or (memory_tier = 2 and status = 'active'))), 0)::int || '%' as coverage from nodes group by session"
+)
+def n_schedule_summary(s: Store) -> DataFrame:
+    return dynamics.schedule_summary(s.base)
+
+
 SCHEDULE = """, r as (select n.*, case when status = 'core' then 0 when coalesce(middle_hits, 0) >= 2 and coalesce(compiled_hits, 0) = 0 and coalesce(total_loads, 0) >= 2 then 1 else 2 end as s0, row_number() over (order by ts, seq) as o from nodes n left join positions p on p.node_id = n.id where session = 'user-12'),
  s1 as (select *, row_number() over (partition by s0 order by ts desc, o) as nw from r), s2 as (select *, case when s0 = 2 and nw <= 3 then 3 else s0 end as section from s1), s3 as (select *, row_number() over (partition by section order by o) - 1 as i from s2),
  s4 as (select *, case section when 2 then i * 0.3819660112501051::double - floor(i * 0.3819660112501051::double) when 3 then nw else o end::double as k from s3), s5 as (select *, row_number() over (order by section, k, o) - 1 as place from s4), s6 as (select *, count(*) over () as n from s5 where place < 40)
@@ -210,7 +218,7 @@ def n_schedule_context(s: Store) -> DataFrame:
 @query(", l as (select session, node_id, row_number() over (partition by session order by shown_at, seq) - 1 as i, count(*) over (partition by session) as n from ledger), c as (select session, string_agg(node_id, ' ' order by node_id) as report from ledger where cited group by session) select node_id, count(*) as loads, count(*) filter (where i >= floor(n / 3) and i < floor(2 * n / 3)) as middle, count(*) filter (where contains(report, node_id)) as hits from l left join c using (session) group by node_id")
 def n_position_feedback(s: Store) -> DataFrame:
     report = s.ledger.where("cited").groupBy("session").agg(F.array_join(F.array_sort(F.collect_list("node_id")), " ").alias("report"))
-    return dynamics.position_feedback(s.ledger, [F.col("shown_at"), F.col("seq")], report)
+    return dynamics.position_feedback(s.ledger, ["shown_at", "seq"], report)
 
 
 STORED = ", stored as (select 'import-chat-' || conv_id as session, count(*) filter (where turn < 3) + case when conv_id % 11 = 0 then 9 else 0 end as turns, arg_max('t' || conv_id || '_' || turn, turn) filter (where turn < 3) as last_id from conversations where conv_id % 4 <> 0 group by conv_id)"
