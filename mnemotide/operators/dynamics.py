@@ -10,6 +10,7 @@ from ..functions.similarity import similar_roots
 from ..model import CONSOLIDATION_KINDS, HEARTBEAT_KINDS, METHOD_KINDS, SLOW_MS, active, days_between, not_void
 from ..scratch import Scratch
 from .components import connected_components
+from .containment import next_matching
 from .graph import PHI_INV_SQ
 from .scans import running
 
@@ -281,21 +282,22 @@ def hook_citations(ledger: DataFrame, nodes: DataFrame, corpus: DataFrame, stop:
     return rows.where(F.size(F.filter("terms", lambda w: F.contains(F.col("text"), w))) >= least).select("session", "id")
 
 
-def lessons(nodes: DataFrame, share: float = 0.34) -> DataFrame:
+def lessons(nodes: DataFrame, share: float = 0.34, scratch: Scratch | None = None) -> DataFrame:
     """(struggle, resolution, score): the resolution later in the session that best matches a struggling tool call.
 
-    An equi-join on the session with a range condition; then the best for each struggle, then the best for each
-    resolution; ties by time and id.
+    Sets of words meet on rare words, and each struggle meets the next resolution of each set that matches (`containment`);
+    then the best for each struggle, then the best for each resolution; ties by time and id.
     """
-    live = active(nodes)
+    scratch, live = scratch or Scratch(nodes.sparkSession, "lessons"), active(nodes)
     hard = live.where((F.col("kind") == "tool_call") & (F.coalesce(F.col("result_count") == 0, F.lit(False)) | F.coalesce(F.col("latency_ms") > SLOW_MS, F.lit(False))))
-    hard = hard.select("session", F.col("id").alias("struggle"), F.col("ts").alias("t0"), lesson_words(F.col("query")).alias("k0")).where(F.size("k0") > 0)
+    hard = hard.select("session", "id", F.col("ts").alias("at"), lesson_words(F.col("query")).alias("words")).where(F.size("words") > 0)
     text = F.concat_ws(" ", *[c for c in ("gist", "query") if c in nodes.columns])
-    done = live.where(F.col("kind").isin("resolved", "decision")).select("session", F.col("id").alias("resolution"), F.col("ts").alias("t1"), lesson_words(text).alias("k1"))
-    score = F.size(F.array_intersect("k0", "k1")) / F.greatest(F.lit(3), F.size("k0"))
-    pairs = hard.join(done, "session").where("t1 > t0").withColumn("score", score).where(F.col("score") >= share)
-    one = pairs.withColumn("r", F.row_number().over(Window.partitionBy("struggle").orderBy(F.desc("score"), "t1", "resolution"))).where("r = 1")
-    return one.withColumn("r", F.row_number().over(Window.partitionBy("resolution").orderBy(F.desc("score"), "t0", "struggle"))).where("r = 1").select("struggle", "resolution", "score")
+    done = live.where(F.col("kind").isin("resolved", "decision")).select("session", F.col("id").alias("event"), F.col("ts").alias("t"), lesson_words(text).alias("words"))
+    met = next_matching(hard, done, "session", share, scratch, least=3)
+    one = met.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "t", "event")).alias("x")).select("id", "x.s", F.col("x.event").alias("resolution"))
+    one = one.join(hard.select("id", F.col("at").alias("t0")), "id")
+    best = one.groupBy("resolution").agg(F.min(F.struct("s", "t0", "id")).alias("x"))
+    return best.select(F.col("x.id").alias("struggle"), "resolution", (-F.col("x.s")).alias("score"))
 
 
 def near_duplicates(incoming: DataFrame, existing: DataFrame, floor: float = 0.45, kinds: tuple[str, ...] = ("decision", "open_item", "warning")) -> DataFrame:

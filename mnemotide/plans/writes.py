@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import HEARTBEAT_KINDS, Store, active, as_of
 from ..operators import compiled, dynamics, graph, reports, workflow
+from ..operators.substrings import GramIndex
 from ..scratch import Scratch
 from ..sources import sinks
 from ..streaming import triggers
@@ -85,14 +86,34 @@ def x_heartbeat_packs(s: Store) -> DataFrame:
     return dynamics.heartbeat_packs(fired, s.base, s.ledger, as_of(), context_tokens=45_000)
 
 
-WORDS4 = r"list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: length(w) > 3 and not starts_with(w, '-')))"
+WORDS4 = r"list_transform(list_filter(regexp_split_to_array(regexp_replace(query, '[/\\\\]', ' ', 'g'), '\s+'), lambda w: length(w) > 3 and not starts_with(w, '-')), lambda w: lower(w))"
 
 
-@query(f""", cl as (select seq, session as own, {WORDS4} as k from nodes where kind = 'tool_call' and (coalesce(latency_ms > 2000, false) or coalesce(result_count = 0, false) and tool <> 'Bash')), me as (select id, session as other, memory_tier, importance, ts, lower(concat_ws(' ', query, output_preview)) as text from nodes where status = 'active' and kind in ('decision', 'warning', 'resolved', 'open_item')),
- hit as (select c.seq, m.*, own from cl c join me m on own <> other and len(k) >= 2 and len(list_filter(k, lambda w: contains(text, w))) >= 2 and len(list_intersect(k, string_split(text, ' '))) >= 1 where not exists (select 1 from ledger l where channel = 'hook' and l.node_id = m.id and l.session = own))
- select seq, id, place::int as place from (select seq, id, row_number() over (partition by seq order by memory_tier, importance desc, ts desc, id) as place from hit) where place <= 3""")
+def _told(s: Store) -> DataFrame:
+    """Nodes with an episodic text, which holds words inside longer ones."""
+    word = F.substring_index("query", " ", -4)
+    return s.base.withColumn("episodic_text", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("Un"), F.upper(F.substring_index(word, " ", 1)), F.lit("ed, re"), F.substring_index("query", " ", 1), F.lit("d"))))
+
+
+TOLD = ", told as (select *, case when seq % 3 = 0 then 'Un' || upper(string_split(query, ' ')[-4]) || 'ed, re' || string_split(query, ' ')[1] || 'd' end as episodic_text from nodes)"
+
+
+@query(
+    f"""{TOLD}, cl as (select seq, session as own, {WORDS4} as k from nodes where kind = 'tool_call' and (coalesce(latency_ms > 2000, false) or coalesce(result_count = 0, false) and tool <> 'Bash')),
+ hit as (select c.seq, c.own, c.k, m.id, lower(concat_ws(' ', query, output_preview, episodic_text)) as text, row_number() over (partition by c.seq order by memory_tier, importance desc, ts desc, id) as r
+  from cl c join told m on m.session <> own and len(list_distinct(k)) >= 2 and (contains(lower(query), k[1]) or coalesce(contains(lower(output_preview), k[1]), false) or coalesce(contains(lower(episodic_text), k[1]), false))
+  where status = 'active' and kind in ('decision', 'warning', 'resolved', 'open_item')),
+ fit as (select seq, id, row_number() over (partition by seq order by r) as place from hit where r <= 24 and len(list_filter(list_distinct(k), lambda w: contains(text, w))) >= 2 and not exists (select 1 from ledger l where channel = 'hook' and l.node_id = hit.id and l.session = own))
+ select seq, id, place::int as place from fit where place <= 3"""
+)
 def x_reminders(s: Store) -> DataFrame:
-    return triggers.reminders(s.base.where("kind = 'tool_call'"), s.base, s.ledger)
+    return triggers.reminders(s.base.where("kind = 'tool_call'"), _told(s), s.ledger)
+
+
+@query(f"{TOLD} select word, id from told, (values ('pars'), ('tch'), ('cache'), ('edrop'), ('limit 1'), ('zzz'), ('uncache')) as w(word) where contains(lower(query), word) or coalesce(contains(lower(output_preview), word), false) or coalesce(contains(lower(episodic_text), word), false)")
+def p_substring_index(s: Store) -> DataFrame:
+    asked = s.spark.createDataFrame([(w,) for w in ("pars", "tch", "cache", "edrop", "limit 1", "zzz", "uncache")], "word string")
+    return GramIndex(_told(s), "id", ["query", "output_preview", "episodic_text"], Scratch(s.spark, "grams")).words_in(asked).select("word", "id")
 
 
 @query(" select session, count(*) as tools, max(ts) as last_ts, case when epoch(timestamp '2024-01-30') - epoch(max(ts)) > 86400 then 'stale' when epoch(timestamp '2024-01-30') - epoch(max(ts)) > 900 then 'idle' else 'live' end as state from nodes where kind = 'tool_call' and ts <= timestamp '2024-01-30' group by 1")

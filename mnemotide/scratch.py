@@ -45,10 +45,11 @@ class Scratch:
         self.count = 0
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..model import SLOW_MS, active
+from ..operators.substrings import GramIndex
 from ..operators.windows import drift_keywords
+from ..scratch import Scratch
 
 
 DAY_MS = 24 * 3600 * 1000
@@ -80,19 +82,36 @@ def struggling(calls: DataFrame) -> DataFrame:
     return calls.where(slow | (empty & (F.col("tool") != "Bash")))
 
 
-def reminders(calls: DataFrame, nodes: DataFrame, shown: DataFrame, k: int = 3, kinds: tuple[str, ...] = ("decision", "warning", "resolved", "open_item")) -> DataFrame:
-    """(seq, id, place): up to k memories of other sessions that share two words with a call and were not pushed to its
-    session yet. For micro-batches: calls meet memories on a shared word, never all with all."""
-    asked = struggling(calls).select("seq", F.col("session").alias("own"), F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("query", r"[/\\]", " ")), r"\s+"), lambda w: (F.length(w) > 3) & ~F.startswith(w, F.lit("-")))).alias("k")).where(F.size("k") >= 2)
-    text = F.lower(F.concat_ws(" ", "query", "output_preview"))
-    live = active(nodes).where(F.col("kind").isin(*kinds)).select("id", F.col("session").alias("other"), "memory_tier", "importance", "ts", text.alias("text"), F.array_distinct(F.split(text, r"\s+")).alias("w"))
-    words, held = asked.select("seq", "own", F.explode("k").alias("word")), live.select("id", "other", F.explode("w").alias("word"))
-    met = words.join(held, "word").where("own <> other").select("seq", "id").distinct()
-    rows = met.join(asked, "seq").join(live, "id").where(F.size(F.filter("k", lambda w: F.contains(F.col("text"), w))) >= 2)
+def reminder_words(query: Column) -> Column:
+    """Words over three letters of a call, in lower case and in order; paths count as words, options do not."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(query, F.lit("")), r"[/\\]", " "), r"\s+"), lambda w: (F.length(w) > 3) & ~F.startswith(w, F.lit("-")))
+    return F.transform(words, F.lower)
+
+
+def reminders(calls: DataFrame, nodes: DataFrame, shown: DataFrame, k: int = 3, pool: int = 24, kinds: tuple[str, ...] = ("decision", "warning", "resolved", "open_item"), scratch: Scratch | None = None) -> DataFrame:
+    """(seq, id, place): up to k memories for a struggling call that its session does not hold and was not shown yet.
+
+    The call's first word must be part of a memory's query, preview or episodic text; of these memories of other sessions the
+    `pool` best, by tier, importance and time, are looked at, and those with two of the call's words or more count. Words are found
+    as parts of texts, by an index of grams (`substrings.GramIndex`). A pool is taken for each first word, not each call: its
+    `pool` best of each session, and of these twice as many, hold the `pool` best of all other sessions for any session. So
+    calls meet at most 2 * pool memories each.
+    """
+    scratch = scratch or Scratch(nodes.sparkSession, "reminders")
+    asked = struggling(calls).select("seq", F.col("session").alias("own"), reminder_words(F.col("query")).alias("w"))
+    asked = asked.select("seq", "own", F.try_element_at("w", F.lit(1)).alias("word"), F.array_distinct("w").alias("k")).where(F.size("k") >= 2)
+    texts = [c for c in ("query", "output_preview", "episodic_text") if c in nodes.columns]
+    live = active(nodes).where(F.col("kind").isin(*kinds)).select("id", F.col("session").alias("other"), "memory_tier", "importance", "ts", *texts)
+    found = GramIndex(live, "id", texts, scratch).words_in(asked.select("word"))
+    order = ["memory_tier", F.desc("importance"), F.desc("ts"), "id"]
+    near = found.withColumn("r", F.row_number().over(Window.partitionBy("word", "other").orderBy(*order))).where(F.col("r") <= pool)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("r") <= 2 * pool)
+    near = scratch.save(near.withColumn("text", F.lower(F.concat_ws(" ", *texts))).select("word", "id", "other", "text", "r"))
+    met = asked.join(near, "word").where("own <> other")
+    met = met.withColumn("p", F.row_number().over(Window.partitionBy("seq").orderBy("r"))).where(F.col("p") <= pool)
     pushed = shown.where("channel = 'hook'").select(F.col("node_id").alias("id"), F.col("session").alias("own")).distinct()
-    rows = rows.join(pushed, ["id", "own"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("seq").orderBy("memory_tier", F.desc("importance"), F.desc("ts"), "id"))
-    return rows.withColumn("place", place).where(F.col("place") <= k).select("seq", "id", "place")
+    met = met.where(F.size(F.filter("k", lambda w: F.contains(F.col("text"), w))) >= 2).join(pushed, ["id", "own"], "left_anti")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("seq").orderBy("r"))).where(F.col("place") <= k).select("seq", "id", "place")
 
 
 def once_per_file(calls: DataFrame, delay: str = "24 hours") -> DataFrame:

@@ -66,12 +66,17 @@ def test_attached_turns(spark, tmp_path):
 
 
 def test_reminders(spark):
-    calls = spark.createDataFrame([(1, "s", "Grep", "find parser cache", 0, 5), (2, "s", "Bash", "parser cache", 0, 5), (3, "s", "Grep", "parser", 0, 9000)], "seq long, session string, tool string, query string, result_count int, latency_ms int")
-    memory = [("a", "other", "decision", "the parser cache grows", 1, 5), ("b", "other", "decision", "only the parser", 0, 9), ("c", "s", "decision", "parser cache", 0, 9), ("d", "other", "warning", "cache of the parser", 1, 9), ("e", "other", "idea", "parser cache", 0, 9)]
-    nodes = spark.createDataFrame([(*m, "active", None) for m in memory], "id string, session string, kind string, query string, memory_tier int, importance int, status string, output_preview string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    schema = "seq long, session string, tool string, query string, result_count int, latency_ms int"
+    calls = [(1, "s", "Grep", "parser find/cache -vvvv", 0, 5), (2, "s", "Bash", "parser cache", 0, 5), (3, "s", "Grep", "parser", 0, 9000), (4, "s", "Grep", "find parser cache", 0, 5), (5, "other", "Grep", "Parser cache", 0, 5)]
+    memory = [("a", "other", "decision", "the parser cache grows", 1, 5, None), ("b", "other", "decision", "only the parser", 0, 9, None), ("c", "s", "decision", "parser cache", 0, 9, None), ("d", "other", "warning", "cache of the parser", 1, 9, None),
+              ("e", "other", "idea", "parser cache", 0, 9, None), ("f", "third", "resolved", None, 1, 4, "PARSERS fill caches")]
+    nodes = spark.createDataFrame([(*m[:6], "active", None, m[6]) for m in memory], "id string, session string, kind string, query string, memory_tier int, importance int, status string, output_preview string, episodic_text string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     shown = spark.createDataFrame([("d", "s", "hook")], "node_id string, session string, channel string")
-    assert [(r.seq, r.id, r.place) for r in triggers.reminders(calls, nodes, shown).collect()] == [(1, "a", 1)]
-    assert [(r.seq, r.id, r.place) for r in triggers.reminders(calls, nodes, shown.limit(0)).orderBy("place").collect()] == [(1, "d", 1), (1, "a", 2)]
+    found = sorted((r.seq, r.place, r.id) for r in triggers.reminders(spark.createDataFrame(calls, schema), nodes, shown).collect())
+    assert found == [(1, 1, "a"), (1, 2, "f"), (5, 1, "c"), (5, 2, "f")]  # "find" opens the fourth call, and no memory holds it
+    few = triggers.reminders(spark.createDataFrame(calls[:1], schema), nodes, shown, pool=1).collect()
+    assert few == []  # the one memory that is looked at shares one word only
+
 
 
 def test_rate_forward_feed_and_sink(spark, calls):
