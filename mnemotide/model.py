@@ -25,6 +25,23 @@ KIND_IMPORTANCE = {
     "conversation_turn": 4, "tool_call": 3, "file_chunk": 3, "interrupt": 2,
 }
 
+# Tags that begin so are a machine's, and bare tags that name no project.
+PROJECT_MACHINE_PREFIXES = ("kw:", "entity:", "prov:", "by:", "stance:", "account:", "turn:", "member:", "due:")
+NOT_PROJECTS = (
+    "conversation", "user", "agent", "context", "intent", "session-start", "garden", "human-capture", "reply", "backfill", "consolidated", "compress-event", "pre-compact", "checkpoint",
+    "session-end", "agent-authored", "decision", "resolved", "warning", "insight", "strategy", "stack", "pipeline", "scraping", "data", "style", "white-paper", "hardware", "ip",
+    "verification", "protocol", "dev", "origin", "parked", "second-brain", "claim", "import", "mcp", "codex", "claude", "human", "distilled", "test", "codex-test", "verified", "shipped",
+    "handoff", "registry", "backlog", "sprint", "hygiene", "audit", "codex-audit", "audit-brief", "owner-ruling", "owner-rulings", "owner-approved", "g2", "g2-early", "phase-0", "lane-a",
+    "lane-b", "lane-c", "lane-d", "lane-e", "for-codex", "for-all-agents", "ia", "vault", "spec", "correction", "ux", "docs", "doc", "dashboard", "brain", "naming", "feedback", "idea",
+    "ideas", "capture", "open-items", "open-item", "open_item", "compact-event", "session", "launch", "security", "federation", "tools", "tooling",
+)
+
+# Entities that link nothing. A store's own name is added by whoever knows it.
+ENTITY_STOP = (
+    "user", "agent", "system", "ai", "model", "claude", "gpt", "gemini", "it", "this", "that", "thing", "things", "project", "app", "code", "session", "node", "nodes", "data", "file",
+    "files", "tool", "tools", "human", "you", "stuff",
+)
+
 # Kinds that carry meaning. Graph naming, reports and audits share one set; consolidation has no procedure.
 MEANING_KINDS = ("decision", "warning", "open_item", "resolved", "insight", "idea", "hypothesis", "question", "blocker", "procedure")
 CONSOLIDATION_KINDS = ("decision", "warning", "open_item", "resolved", "insight", "idea", "hypothesis", "question", "blocker")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import MEANING_KINDS, active, days_between, not_void
+from ..model import MEANING_KINDS, NOT_PROJECTS, PROJECT_MACHINE_PREFIXES, active, days_between, not_void, struggled
 
 INTENT_KINDS = ("decision", "warning", "open_item", "insight", "resolved")
 MACHINE_TAG = r"^(entity:|kw:|by:|stance:|distills:|member:|file:|mtime:|ext:|turn:|due:|account:|made:|lesson:|from:|supersedes:|media:|prov:)"
@@ -26,13 +28,40 @@ def attention(positions: DataFrame) -> DataFrame:
     )
 
 
+#: What a session's summary counts by name: column and kind.
+SUMMARY_KINDS = {"stamps": "context_stamp", "turns": "conversation_turn", "decisions": "decision", "questions": "question", "blockers": "blocker", "resolved": "resolved"}
+#: The lists of texts of a summary: name and kind.
+SUMMARY_TEXTS = {"stamp_text": "context_stamp", "open_questions": "question", "open_blockers": "blocker"}
+
+
+def _histogram(value: Column, count: str = "n") -> Column:
+    return F.array_join(F.array_sort(F.collect_list(F.concat(value, F.lit("="), F.col(count).cast("string")))), ",")
+
+
 def session_summary(nodes: DataFrame) -> DataFrame:
-    """Totals of each session with its histogram of kinds as a sorted array."""
-    kinds = not_void(nodes).groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if("flagged").alias("flagged"))
-    return kinds.groupBy("session").agg(
-        F.sum("n").alias("nodes"), F.sum("flagged").alias("flagged"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts"),
-        F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("="), F.col("n").cast("string")))), ",").alias("kinds"),
-    )
+    """Totals of each session: nodes, struggles, flags, times, counts of the named kinds, histograms of kinds and of models.
+
+    Its lists of texts, which have no bound, are rows of `session_texts`.
+    """
+    named = [F.count_if(F.col("kind") == kind).alias(name) for name, kind in SUMMARY_KINDS.items()]
+    sums = [F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if("flagged").alias("flagged"), F.count_if(struggled()).alias("struggles"), *named]
+    cells = not_void(nodes).groupBy("session", "kind", F.coalesce(F.nullif("model", F.lit("")), F.lit("unknown")).alias("model")).agg(*sums)
+    whole = cells.groupBy("session").agg(
+        F.sum("n").alias("nodes"), F.sum("flagged").alias("flagged"), F.sum("struggles").alias("struggles"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts"), *[F.sum(c).alias(c) for c in SUMMARY_KINDS]
+    )
+    for column, name in (("kind", "kinds"), ("model", "models")):
+        parts = cells.groupBy("session", column).agg(F.sum("n").alias("n")).groupBy("session").agg(_histogram(F.col(column)).alias(name))
+        whole = whole.join(parts, "session")
+    return whole
+
+
+def session_texts(nodes: DataFrame) -> DataFrame:
+    """(session, list, ts, id, text): the stamps, questions and active blockers of each session that have a text."""
+    name = F.lit(None).cast("string")
+    for n, kind in SUMMARY_TEXTS.items():
+        name = F.when(F.col("kind") == kind, n).otherwise(name)
+    rows = not_void(nodes).where(F.coalesce("query", F.lit("")) != "").withColumn("list", name).where("list is not null")
+    return rows.where((F.col("list") != "open_blockers") | (F.col("status") == "active")).select("session", "list", "ts", "id", F.col("query").alias("text"))
 
 
 def session_tiers(nodes: DataFrame) -> DataFrame:
@@ -75,24 +104,49 @@ def project_chapters(nodes: DataFrame, projects: dict[str, list[str]], per: int
 
 
 def family_key(tag: Column) -> Column:
-    """One key for spellings of a tag: lower case, without possessive, plural or marks."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(tag), r"['’]s\b", ""), r"[^a-z0-9]+", ""), r"s$", "")
+    """One key for spellings of a tag: lower case, without marks around, a possessive, or the s of a plural of over three letters."""
+    bare = F.regexp_replace(F.lower(F.trim(tag)), r"(?U)^[^\w]+|[^\w]+$", "")
+    bare = F.regexp_replace(bare, r"'s$", "")
+    return F.when(F.endswith(bare, F.lit("s")) & (F.length(bare) > 3), F.regexp_replace(bare, "s$", "")).otherwise(bare)
+
 
+def names_a_project(tag: Column, ignored: tuple[str, ...] = NOT_PROJECTS) -> Column:
+    """False for a machine's tags and bare words that name no project."""
+    machine = F.lit(False)
+    for prefix in PROJECT_MACHINE_PREFIXES:
+        machine = machine | F.startswith(tag, F.lit(prefix))
+    return ~machine & ~tag.isin(*(ignored or ("",)))
 
-def emerging_families(nodes: DataFrame, declared: list[str], least_nodes: int = 6, least_sessions: int = 2, least_days: int = 2) -> DataFrame:
+
+def emerging_families(nodes: DataFrame, declared: list[str], least_nodes: int = 6, least_sessions: int = 2, least_days: int = 2, ignored: tuple[str, ...] = NOT_PROJECTS) -> DataFrame:
     """Undeclared tags that recur: distinct nodes, sessions and days, named by the commonest spelling."""
-    rows = active(nodes).select("id", "session", "ts", F.explode("tags").alias("tag")).where(~F.rlike("tag", F.lit(MACHINE_TAG)) & ~F.col("tag").isin(*declared))
+    rows = active(nodes).select("id", "session", "ts", F.explode("tags").alias("tag")).where(names_a_project(F.col("tag"), ignored) & ~F.col("tag").isin(*declared))
     rows = rows.withColumn("family", family_key(F.col("tag"))).where("family <> ''")
     spelled = rows.groupBy("family", "tag").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("tag", F.struct("n", "tag")).alias("display"))
     whole = rows.groupBy("family").agg(F.countDistinct("id").alias("nodes"), F.countDistinct("session").alias("sessions"), F.countDistinct(F.to_date("ts")).alias("days"), F.max("ts").alias("last_ts"))
     return whole.where((F.col("nodes") >= least_nodes) & (F.col("sessions") >= least_sessions) & (F.col("days") >= least_days)).join(spelled, "family")
 
 
+def _gathered(nodes: DataFrame, needle: str) -> DataFrame:
+    """Active nodes and their tags that hold the needle's letters and digits, once the tag's machine prefix is gone."""
+    prefix = "^(" + "|".join(PROJECT_MACHINE_PREFIXES) + ")"
+    want = re.sub("[^a-z0-9]+", "", re.sub(prefix, "", needle.lower()))
+    holds = F.contains(F.regexp_replace(F.regexp_replace(F.lower("tag"), prefix, ""), "[^a-z0-9]+", ""), F.lit(want)) if len(want) >= 3 else F.lit(False)
+    return active(nodes).withColumn("tag", F.explode("tags")).where(holds)
+
+
 def deep_gather(nodes: DataFrame, needle: str, k: int = 24) -> DataFrame:
-    """Tags that contain the needle's letters and digits, with counts."""
-    want = "".join(c for c in needle.lower() if c.isalnum())
-    rows = active(nodes).select("id", F.explode("tags").alias("tag")).where(F.contains(F.regexp_replace(F.lower("tag"), "[^a-z0-9]", ""), F.lit(want)) if len(want) >= 3 else F.lit(False))
-    return rows.groupBy("tag").agg(F.countDistinct("id").alias("nodes")).orderBy(F.desc("nodes"), "tag").limit(k)
+    """The k commonest tags that hold the needle, with counts."""
+    return _gathered(nodes, needle).groupBy("tag").agg(F.countDistinct("id").alias("nodes")).orderBy(F.desc("nodes"), "tag").limit(k)
+
+
+def gather_total(nodes: DataFrame, needle: str, samples: int = 3) -> DataFrame:
+    """One row (total, samples): the distinct nodes that `deep_gather` counts, and the gists of the first of them."""
+    best = [F.nullif(F.col(c), F.lit("")) for c in ("gist",) if c in nodes.columns]
+    gist = F.translate(F.coalesce(*best, F.substring("query", 1, 90), F.lit("")), "\n", " ")
+    hits = _gathered(nodes, needle).select("id", "ts", gist.alias("gist")).dropDuplicates(["id"])
+    first = hits.orderBy("ts", "id").limit(samples).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "gist"))), lambda x: x["gist"]).alias("samples"))
+    return hits.agg(F.count(F.lit(1)).alias("total")).join(F.broadcast(first))
 
 
 def tag_hubs(nodes: DataFrame, k: int = 24) -> DataFrame:
@@ -116,9 +170,31 @@ def topics(nodes: DataFrame, gated: bool = False) -> DataFrame:
     return out.where(gate if gated else ~gate)
 
 
-def weekly_families(nodes: DataFrame, as_of: Column, days: float = 7) -> DataFrame:
-    rows = active(nodes).where(days_between(as_of, F.col("ts")).between(0, days)).select("id", "session", F.explode_outer(F.filter("tags", lambda t: ~F.rlike(t, F.lit(MACHINE_TAG)))).alias("tag"))
-    return rows.groupBy(F.coalesce(family_key(F.col("tag")), F.lit("untagged")).alias("family")).agg(F.countDistinct("id").alias("nodes"), F.countDistinct("session").alias("sessions"))
+def weekly_families(nodes: DataFrame, as_of: Column, projects: dict[str, tuple[str, list[str]]], days: float = 7, least: int = 3, ignored: tuple[str, ...] = NOT_PROJECTS) -> DataFrame:
+    """(tag, name, nodes, sessions, approx, declared): the families that nodes of the last days belong to, imports left out.
+
+    Declared projects (tag: (name, aliases)) have their names and always show; others are named by their commonest spelling
+    and need `least` nodes. approx: all nodes of those days in the sessions that hold the family's. A row without a tag
+    counts the nodes of no family. Sort by (declared, nodes), descending, to read it.
+    """
+    week = active(nodes).where((days_between(as_of, F.col("ts")) <= days) & ~F.startswith("session", F.lit("import-"))).select("id", "session", "tags")
+    held = F.create_map(*[F.lit(x) for t, (_, aliases) in projects.items() for a in dict.fromkeys([t, *aliases]) for x in (a, t)]) if projects else None
+    tagged = week.select("id", "session", F.explode("tags").alias("tag"))
+    tagged = tagged.withColumn("project", held[F.col("tag")] if held is not None else F.lit(None).cast("string"))
+    family = F.when(F.col("project").isNull() & names_a_project(F.col("tag"), ignored), family_key(F.col("tag")))
+    tagged = tagged.withColumn("family", family).where("project is not null or family <> ''")
+    # a family's sessions meet the week's counts of sessions, a row for each family and session
+    cells = tagged.groupBy("project", "family", "session").agg(F.countDistinct("id").alias("n"))
+    per = week.groupBy("session").agg(F.count(F.lit(1)).alias("all"))
+    whole = cells.join(per, "session", "left").groupBy("project", "family").agg(F.sum("n").alias("nodes"), F.count("session").alias("sessions"), F.coalesce(F.sum("all"), F.lit(0)).alias("approx"))
+    spelled = tagged.where("project is null").groupBy("family", "tag").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("tag", F.struct("n", "tag")).alias("spelling"))
+    names = F.create_map(*[F.lit(x) for t, (name, _) in projects.items() for x in (t, name)])[F.col("project")] if projects else F.lit(None).cast("string")
+    declared = F.col("project").isNotNull()
+    rows = whole.join(spelled, "family", "left").where(declared | (F.col("nodes") >= least))
+    rows = rows.select(F.coalesce("project", "spelling").alias("tag"), F.coalesce(names, F.col("spelling")).alias("name"), "nodes", "sessions", "approx", declared.alias("declared"))
+    none = week.join(tagged.select("id").distinct(), "id", "left_anti").agg(F.count(F.lit(1)).alias("nodes"))
+    zero = F.lit(0).cast("long")
+    return rows.unionAll(none.select(F.lit(None).cast("string"), F.lit("untagged"), "nodes", zero, zero, F.lit(False)))
 
 
 def page_one(nodes: DataFrame, as_of: Column) -> DataFrame:
@@ -148,8 +224,6 @@ def child_counts(nodes: DataFrame) -> DataFrame:
 
 
 def model_attribution(nodes: DataFrame) -> DataFrame:
-    from ..model import struggled
-
     return active(nodes).groupBy("model").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(struggled()).alias("struggles"), F.count_if("flagged").alias("flags"), F.min_by("agent_role", F.struct("ts", "id")).alias("first_role"))
 
 

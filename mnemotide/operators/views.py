@@ -102,13 +102,18 @@ def stable_places(members: DataFrame, known: DataFrame) -> DataFrame:
     return rows.where("born is not null").select("cid", "seed", F.col("born").cast("int").alias("born")).unionByName(fresh)
 
 
-def project_rollup(nodes: DataFrame, tag: str) -> DataFrame:
-    """One row for a project: counts by kind and maturity, and the last thing that was no tool call."""
-    own = active(nodes).where(F.array_contains("tags", tag))
-    said = F.col("kind") != "tool_call"
-    return own.agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "decision").alias("decisions"), F.count_if(F.col("kind") == "open_item").alias("open_items"), F.count_if(F.col("kind") == "warning").alias("warnings"),
-        F.count_if(maturity() == "evergreen").alias("evergreen"), F.count_if(maturity() == "budding").alias("budding"), F.max_by(F.when(said, F.col("query")), F.when(said, F.struct("ts", "id"))).alias("last_said"),
+def project_rollup(nodes: DataFrame, tag: str, aliases: tuple[str, ...] = ()) -> DataFrame:
+    """One row for a project under its tag and aliases, each node once: its size, open items, decisions, procedures and
+    warnings, maturity classes, the histogram of kinds, and when and what the last thing was that was no tool call."""
+    own = active(nodes).where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in (tag, *aliases)])))
+    best = [F.nullif(F.col(c), F.lit("")) for c in ("gist",) if c in nodes.columns]
+    said = F.when(F.col("kind") != "tool_call", F.struct("ts", "id", F.coalesce(*best, F.substring("query", 1, 80), F.lit("")).alias("gist")))
+    counted = {"open_items": "open_item", "decisions": "decision", "procedures": "procedure", "warnings": "warning"}
+    cells = own.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(maturity() == m).alias(m) for m in ("seedling", "budding", "evergreen")], F.max(said).alias("last"))
+    return cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(c) for c, k in counted.items()],
+        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in ("seedling", "budding", "evergreen")], F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("="), F.col("n").cast("string")))), ",").alias("kinds"),
+        F.max("last")["ts"].alias("last_ts"), F.max("last")["gist"].alias("last_said"),
     )
 
 

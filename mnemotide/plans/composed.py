@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import MEANING_KINDS, Store, active, as_of
 from ..operators import compiled, reports, views
-from .filters import AGE, HIDDEN, _consolidated, _hidden
+from .filters import AGE, HIDDEN, IGNORED, MACHINE, SPELLED, _consolidated, _hidden, family_sql, spelled
 from .memory import DAYS, DUE
 from .registry import query
 
@@ -134,13 +134,13 @@ def f_index(s: Store) -> DataFrame:
 
 PROJECTS = {"proj-0": ("the first", ["proj-2"]), "proj-1": ("the second", []), "proj-9": ("no one's", [])}
 _CHAPTER = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in compiled.CHAPTERS.items()) + " end"
-BOOK = f""", a as (select * from nodes where status = 'active'), w as (select * from a where kind in ({MEANING}) and kind <> 'warning' and {AGE} <= 7 order by importance desc, ts desc, id limit 10),
+BOOK = SPELLED + f""", a as (select * from spelt where status = 'active'), w as (select * from a where kind in ({MEANING}) and kind <> 'warning' and {AGE} <= 7 order by importance desc, ts desc, id limit 10),
  pr as (select distinct id, kind, importance, ts, query, case t when 'proj-0' then 'proj-0' when 'proj-2' then 'proj-0' when 'proj-1' then 'proj-1' end as project from (select *, unnest(tags) as t from a) where t in ('proj-0', 'proj-1', 'proj-2')),
  wh as (select project, count(*) as total, row_number() over (order by max(ts) filter (where kind <> 'tool_call') desc nulls last, project) as p from pr group by 1),
  kn as (select * from (select project, kind, count(*) as n, row_number() over (partition by project order by count(*) desc, kind) as k from pr where kind in ({MEANING}) and kind <> 'warning' group by 1, 2) where k <= 5),
  ln as (select p as x, 0 as y, 0 as z, '## ' || project || ' - ' || case project when 'proj-0' then 'the first' else 'the second' end || '  (' || total || ' nodes)' as line from wh union all select p, k, 0, '### ' || {_CHAPTER} || '  (' || n || ')' from kn join wh using (project)
   union all select p, k, r, '- ' || left(query, 84) || '  `' || id || '`' from (select *, row_number() over (partition by project, kind order by importance desc, ts desc, id) as r from pr) join kn using (project, kind) join wh using (project) where r <= 2),
- fam as (select *, regexp_replace(regexp_replace(lower(tag), '[^a-z0-9]+', '', 'g'), 's$', '') as family from (select id, session, ts, unnest(tags) as tag from a) where not regexp_matches(tag, '^(entity:|kw:|due:|prov:)') and tag not in ('proj-0', 'proj-1', 'proj-2')),
+ fam as (select *, {family_sql('tag')} as family from (select id, session, ts, unnest(tags) as tag from a) where not regexp_matches(tag, '{MACHINE}') and tag not in ({IGNORED}, 'proj-0', 'proj-1', 'proj-2')),
  big as (select family, count(distinct id) as n, max(ts) as last_ts, (select tag from fam v where v.family = u.family group by tag order by count(*) desc, tag desc limit 1) as display from fam u group by family having count(distinct id) >= 6 and count(distinct session) >= 2 and count(distinct ts::date) >= 2 order by last_ts desc, family limit 12),
  vol as (select coalesce(account, 'unlabeled') as account, count(distinct n.session) as s, count(*) as n, min(ts) as x, max(ts) as y from nodes n join sessions s on s.id = n.session where status <> 'void' and starts_with(n.session, 'import-') group by 1)
  select '1 week' as o, row_number() over (order by importance desc, ts desc, id)::int as place, '- [' || kind || '] ' || left(query, 90) || '  `' || id || '`' as line from w union all select '2 projects', row_number() over (order by x, y, z)::int, line from ln
@@ -150,7 +150,7 @@ BOOK = f""", a as (select * from nodes where status = 'active'), w as (select *
 
 @query(BOOK)
 def f_book(s: Store) -> DataFrame:
-    return compiled.book(s.base, s.sessions, PROJECTS, as_of())
+    return compiled.book(spelled(s.base), s.sessions, PROJECTS, as_of())
 
 
 PAGE = f""", a as (select * from nodes where status = 'active'), own as (select * from a where {AGE} <= 14 and session in (select id from sessions where lower(account) = 'ann')),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attribution as at
-from ..model import MEANING_KINDS, Store, active, as_of, not_void
+from ..model import MEANING_KINDS, NOT_PROJECTS, PROJECT_MACHINE_PREFIXES, Store, active, as_of, not_void
 from ..operators import filters as f
 from ..operators import retrieval, rollups
 from .registry import query
@@ -209,9 +209,35 @@ def a_attention(s: Store) -> DataFrame:
     return rollups.attention(s.positions)
 
 
-@query(" select session, sum(n)::bigint as nodes, sum(fl)::bigint as flagged, min(a) as first_ts, max(b) as last_ts, string_agg(kind || '=' || n, ',' order by kind || '=' || n) as kinds from (select session, kind, count(*) as n, count(*) filter (where flagged) as fl, min(ts) as a, max(ts) as b from nodes where status <> 'void' group by 1, 2) group by session")
+STRUGGLED = "(coalesce(latency_ms > 2000, false) or coalesce(result_count = 0, false) or coalesce(result_count <= 2 and tool in ('Grep', 'Glob', 'WebSearch'), false))"
+# some nodes of the kinds that the store's events lack
+SAID = (
+    ", said as (select * replace (case seq % 14 when 1 then 'question' when 2 then 'blocker' when 3 then 'context_stamp' else kind end as kind, case when seq % 15 = 4 then '' when seq % 7 = 5 then null else query end as query,"
+    " case seq % 8 when 1 then null when 2 then '' else model end as model) from nodes where status <> 'void')"
+)
+
+
+def _said(s: Store) -> DataFrame:
+    n = F.col("seq")
+    return s.base.withColumns({
+        "kind": F.when(n % 14 == 1, "question").when(n % 14 == 2, "blocker").when(n % 14 == 3, "context_stamp").otherwise(F.col("kind")),
+        "query": F.when(n % 15 == 4, "").when(n % 7 == 5, None).otherwise(F.col("query")), "model": F.when(n % 8 == 1, None).when(n % 8 == 2, "").otherwise(F.col("model")),
+    })
+
+
+@query(
+    SAID + f" select session, count(*) as nodes, count(*) filter (where flagged) as flagged, count(*) filter (where {STRUGGLED}) as struggles, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (where kind = 'context_stamp') as stamps,"
+    " count(*) filter (where kind = 'conversation_turn') as turns, count(*) filter (where kind = 'decision') as decisions, count(*) filter (where kind = 'question') as questions, count(*) filter (where kind = 'blocker') as blockers,"
+    " count(*) filter (where kind = 'resolved') as resolved, (select string_agg(k, ',' order by k) from (select kind || '=' || count(*) as k from said x where x.session = said.session group by kind)) as kinds,"
+    " (select string_agg(m, ',' order by m) from (select coalesce(nullif(model, ''), 'unknown') || '=' || count(*) as m from said x where x.session = said.session group by coalesce(nullif(model, ''), 'unknown'))) as models from said group by session"
+)
 def a_session_summary(s: Store) -> DataFrame:
-    return rollups.session_summary(s.base)
+    return rollups.session_summary(_said(s))
+
+
+@query(SAID + " select session, case kind when 'context_stamp' then 'stamp_text' when 'question' then 'open_questions' else 'open_blockers' end as list, ts, id, query as text from said where kind in ('context_stamp', 'question') and query <> '' or kind = 'blocker' and query <> '' and status = 'active'")
+def a_session_texts(s: Store) -> DataFrame:
+    return rollups.session_texts(_said(s))
 
 
 @query(" select session, count(*) as nodes, count(*) filter (where memory_tier = 0) as hot, count(*) filter (where memory_tier = 1) as warm, count(*) filter (where kind in ('decision', 'warning', 'open_item', 'insight', 'resolved')) as intent from nodes where status <> 'void' group by session")
@@ -252,14 +278,48 @@ def a_project_chapters(s: Store) -> DataFrame:
     return rollups.project_chapters(s.base, {"zero": ["proj-0", "proj-2"]})
 
 
-@query(r", t as (select id, session, ts, unnest(tags) as tag from nodes where status = 'active'), u as (select *, regexp_replace(regexp_replace(lower(tag), '[^a-z0-9]+', '', 'g'), 's$', '') as family from t where not regexp_matches(tag, '^(entity:|kw:|due:|prov:)') and tag <> 'proj-0') select family, count(distinct id) as nodes, count(distinct session) as sessions, count(distinct ts::date) as days, max(ts) as last_ts, (select tag from u v where v.family = u.family group by tag order by count(*) desc, tag desc limit 1) as display from u where family <> '' group by family having count(distinct id) >= 6 and count(distinct session) >= 2 and count(distinct ts::date) >= 2")
+IGNORED = ", ".join(f"'{t}'" for t in NOT_PROJECTS)
+MACHINE = "^(" + "|".join(PROJECT_MACHINE_PREFIXES) + ")"
+
+
+QUOTE = "''"  # one quote inside a text of SQL
+
+
+def family_sql(tag: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(lower(trim({tag})), '^[^\w]+|[^\w]+$', '', 'g'), '{QUOTE}s$', '')"
+    return f"case when ends_with({bare}, 's') and length({bare}) > 3 then left({bare}, length({bare}) - 1) else {bare} end"
+
+
+# nodes with a few spellings of a tag that no project declares
+SPELLED = ", spelt as (select * replace (list_concat(tags, case seq % 10 when 3 then ['(Kites)'] when 4 then ['kite'] when 5 then ['Kite''s', 'docs'] when 6 then ['ok'] else [] end) as tags) from nodes)"
+
+
+def spelled(nodes: DataFrame) -> DataFrame:
+    n = F.col("seq") % 10
+    more = F.when(n == 3, F.array(F.lit("(Kites)"))).when(n == 4, F.array(F.lit("kite"))).when(n == 5, F.array(F.lit("Kite's"), F.lit("docs"))).when(n == 6, F.array(F.lit("ok"))).otherwise(F.array().cast("array<string>"))
+    return nodes.withColumn("tags", F.concat("tags", more))
+
+
+@query(
+    SPELLED + f", u as (select *, {family_sql('tag')} as family from (select id, session, ts, unnest(tags) as tag from spelt where status = 'active') where not regexp_matches(tag, '{MACHINE}') and tag not in ({IGNORED}) and tag <> 'proj-0')"
+    " select family, count(distinct id) as nodes, count(distinct session) as sessions, count(distinct ts::date) as days, max(ts) as last_ts, (select tag from u v where v.family = u.family group by tag order by count(*) desc, tag desc limit 1) as display"
+    " from u where family <> '' group by family having count(distinct id) >= 6 and count(distinct session) >= 2 and count(distinct ts::date) >= 2"
+)
 def a_emerging_families(s: Store) -> DataFrame:
-    return rollups.emerging_families(s.base, ["proj-0"])
+    return rollups.emerging_families(spelled(s.base), ["proj-0"])
+
+
+GATHERED = SPELLED + f", g as (select * from (select *, unnest(tags) as tag from spelt where status = 'active') where contains(regexp_replace(regexp_replace(lower(tag), '{MACHINE}', ''), '[^a-z0-9]+', '', 'g'), 'ite'))"
 
 
-@query(" select tag, count(distinct id) as nodes from (select id, unnest(tags) as tag from nodes where status = 'active') where contains(regexp_replace(lower(tag), '[^a-z0-9]', '', 'g'), 'proj') group by tag order by nodes desc, tag limit 24")
+@query(GATHERED + " select tag, count(distinct id) as nodes from g group by tag order by nodes desc, tag limit 24")
 def a_deep_gather(s: Store) -> DataFrame:
-    return rollups.deep_gather(s.base, "Proj!")
+    return rollups.deep_gather(spelled(s.base), "kw:I-te!")
+
+
+@query(GATHERED + " select count(distinct id) as total, (select string_agg(q, ' | ' order by ts, id) from (select distinct id, ts, left(query, 90) as q from g order by ts, id limit 3)) as samples from g")
+def a_gather_total(s: Store) -> DataFrame:
+    return rollups.gather_total(spelled(s.base), "ite").withColumn("samples", F.array_join("samples", " | "))
 
 
 @query(" select tag, count(*) as nodes from (select unnest(tags) as tag from nodes where status = 'active') where not starts_with(tag, 'member:') and tag not in ('backfill', 'consolidated') group by tag order by nodes desc, tag limit 24")
@@ -285,9 +345,17 @@ def a_topics_gated_log(s: Store) -> DataFrame:
     return rollups.topics(s.base.where("seq % 12 <> 3 or array_contains(tags, 'prov:distilled')"), gated=True)
 
 
-@query(f" select coalesce(family, 'untagged') as family, count(distinct id) as nodes, count(distinct session) as sessions from (select id, session, null as family from nodes where status = 'active' and {AGE} between 0 and 7 and len(list_filter(tags, lambda t: not regexp_matches(t, '^(entity:|kw:|due:|prov:)'))) = 0 union all select id, session, regexp_replace(regexp_replace(lower(tag), '[^a-z0-9]+', '', 'g'), 's$', '') from (select id, session, unnest(list_filter(tags, lambda t: not regexp_matches(t, '^(entity:|kw:|due:|prov:)'))) as tag from nodes where status = 'active' and {AGE} between 0 and 7)) group by 1")
+@query(
+    SPELLED + f", week as (select * from spelt where status = 'active' and {AGE} <= 7 and not starts_with(session, 'import-')), per as (select session, count(*) as n from week group by 1),"
+    f" x as (select id, session, tag, case when tag in ('proj-0', 'proj-2') then 'proj-0' when tag = 'proj-9' then 'proj-9' end as project, {family_sql('tag')} as fk from (select id, session, unnest(tags) as tag from week)),"
+    f" y as (select *, coalesce('p:' || project, 'e:' || fk) as k from x where project is not null or (not regexp_matches(tag, '{MACHINE}') and tag not in ({IGNORED}) and fk <> '')),"
+    " z as (select k, any_value(project) as project, count(distinct id) as nodes, count(distinct session) as sessions, (select sum(n) from per where session in (select session from y v where v.k = y.k))::bigint as approx,"
+    " (select tag from y v where v.k = y.k group by tag order by count(*) desc, tag desc limit 1) as spelling from y group by k)"
+    " select coalesce(project, spelling) as tag, case project when 'proj-0' then 'the first' when 'proj-9' then 'no one''s' else spelling end as name, nodes, sessions, approx, project is not null as declared from z where project is not null or nodes >= 3"
+    " union all select null, 'untagged', count(*), 0, 0, false from week where id not in (select id from y)"
+)
 def a_weekly_families(s: Store) -> DataFrame:
-    return rollups.weekly_families(s.base, as_of())
+    return rollups.weekly_families(spelled(s.base), as_of(), {"proj-0": ("the first", ["proj-2"]), "proj-9": ("no one's", [])})
 
 
 @query(f" select count(*) as nodes, count(*) filter (where {AGE} between 0 and 14) as recent, count(*) filter (where {AGE} between 0 and 14 and kind = 'decision') as decisions, count(*) filter (where kind = 'open_item') as open_items from nodes where status = 'active'")

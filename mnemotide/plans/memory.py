@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import CONSOLIDATION_KINDS, HEARTBEAT_KINDS, MEANING_KINDS, Store, active, as_of, not_void
+from ..model import CONSOLIDATION_KINDS, ENTITY_STOP, HEARTBEAT_KINDS, MEANING_KINDS, Store, active, as_of, not_void
 from ..operators import dynamics, graph, retrieval
 from ..operators.components import connected_components
 from ..operators.reports import audit
@@ -132,7 +132,7 @@ def g_knn_edges(s: Store) -> DataFrame:
     return _semantic(s)
 
 
-STAR = ", tagged as (select distinct id, session, ts, seq, trim(regexp_replace(lower(substr(t, 8)), '\\s+', ' ', 'g')) as entity from (select id, session, ts, seq, unnest(tags) as t from nodes where status = 'active') where starts_with(t, 'entity:')), stats as (select entity, arg_min(id, (ts, seq, id)) as hub from tagged group by entity having count(distinct id) >= 2 and count(distinct session) <= greatest(2, floor((select count(distinct session) from nodes where status = 'active') * 0.5))), entity_edges as (select hub as src, id as dst, 'entity' as type, null::varchar as tier, 1.0::double as weight from tagged join stats using (entity) where id <> hub)"
+STAR = f", tagged as (select * from (select distinct id, session, ts, seq, trim(regexp_replace(lower(substr(t, 8)), '\\s+', ' ', 'g')) as entity from (select id, session, ts, seq, unnest(tags) as t from nodes where status = 'active') where starts_with(t, 'entity:')) where length(entity) >= 3 and entity not in ({', '.join(repr(e) for e in ENTITY_STOP)})), stats as (select entity, arg_min(id, (ts, seq, id)) as hub from tagged group by entity having count(distinct id) >= 2 and count(distinct session) <= greatest(2, floor((select count(distinct session) from nodes where status = 'active') * 0.5))), entity_edges as (select hub as src, id as dst, 'entity' as type, null::varchar as tier, 1.0::double as weight from tagged join stats using (entity) where id <> hub)"
 
 
 @query(STAR + " select * from entity_edges")

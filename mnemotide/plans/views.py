@@ -68,9 +68,14 @@ def g_stable_places(s: Store) -> DataFrame:
     return views.stable_places(members, known)
 
 
-@query(" select count(*) as nodes, count(*) filter (where kind = 'decision') as decisions, count(*) filter (where kind = 'open_item') as open_items, count(*) filter (where kind = 'warning') as warnings, count(*) filter (where stability_days >= 30) as evergreen, count(*) filter (where stability_days >= 3 and stability_days < 30) as budding, arg_max(query, (ts, id)) filter (where kind <> 'tool_call') as last_said from nodes where status = 'active' and list_contains(tags, 'proj-0')")
+@query(
+    ", own as (select *, case when kind = 'procedure' or stability_days >= 30 then 'evergreen' when stability_days >= 3 then 'budding' else 'seedling' end as m from nodes where status = 'active' and list_has_any(tags, ['proj-0', 'proj-2']))"
+    " select count(*) as nodes, count(*) filter (where kind = 'open_item') as open_items, count(*) filter (where kind = 'decision') as decisions, count(*) filter (where kind = 'procedure') as procedures, count(*) filter (where kind = 'warning') as warnings,"
+    " count(*) filter (where m = 'seedling') as seedling, count(*) filter (where m = 'budding') as budding, count(*) filter (where m = 'evergreen') as evergreen,"
+    " (select string_agg(k, ',' order by k) from (select kind || '=' || count(*) as k from own group by kind)) as kinds, max(ts) filter (where kind <> 'tool_call') as last_ts, arg_max(left(query, 80), (ts, id)) filter (where kind <> 'tool_call') as last_said from own"
+)
 def a_project_rollup(s: Store) -> DataFrame:
-    return views.project_rollup(s.base, "proj-0")
+    return views.project_rollup(s.base, "proj-0", ("proj-2",))
 
 
 @query(", t as (select tag, count(*) as total, max(ts) as last_ts from (select ts, unnest(tags) as tag from nodes where status = 'active') group by tag) select * from t where not starts_with(tag, 'entity:') or tag < 'entity:m'")
