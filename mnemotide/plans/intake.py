@@ -76,6 +76,75 @@ def s_graph_export(s: Store) -> DataFrame:
     return exports.graph_turns(rows, as_of()).select("conversation", "place", "role", "text", "model")
 
 
+def _zipped(root: str):
+    """Writes the conversations of a task as one archive with shards of at most 50, and a list of assets."""
+    def run(batches):
+        import json
+        import os
+        import uuid
+        import zipfile
+        from urllib.parse import urlparse
+
+        folder = urlparse(root).path
+        os.makedirs(folder, exist_ok=True)
+        held, shards, archive = [], 0, None
+        path = f"{folder}/{uuid.uuid4().hex}.zip"
+
+        def shard():
+            nonlocal shards, archive
+            archive = archive or zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
+            archive.writestr(f"conversations-{shards:03d}.json", "[" + ",".join(held) + "]")
+            held.clear()
+            shards += 1
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                held.append(value)
+                if len(held) == 50:
+                    shard()
+        if held:
+            shard()
+        if archive:
+            archive.writestr("conversation_asset_file_names.json", json.dumps({f"file-{path[-9:-4]}.dat": "x.png"}))
+            archive.close()
+        yield from ()
+
+    return run
+
+
+@query(
+    " select 'c' || conv_id as conversation, (row_number() over (partition by conv_id order by turn) - 1)::int as place, case when role = 'user' then 'user' else 'agent' end as role, trim(text) as text"
+    " from conversations where role in ('user', 'assistant') and trim(text) <> ''"
+)
+def s_zip_export(s: Store) -> DataFrame:
+    """Archives of shards, which tasks write and tasks read, a shard each."""
+    author, content = F.struct(F.col("role").alias("role")), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts"))
+    message = F.struct(author.alias("author"), F.col("at").cast("string").alias("create_time"), content.alias("content"))
+    node = F.struct(F.concat(F.lit("n"), F.col("turn").cast("string")).alias("k"), F.struct(message.alias("message")).alias("v"))
+    talks = _turns(s).groupBy("conv_id").agg(F.map_from_entries(F.collect_list(node)).alias("mapping"))
+    value = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.lit("T").alias("title"), "mapping"))
+    root = f"{Scratch(s.spark, 'zips').root}/zip"
+    talks.select(value.alias("value")).repartition(3).mapInArrow(_zipped(root), "value string").write.format("noop").mode("overwrite").save()
+    talks, _ = exports.read_zip(s.spark, root)
+    return exports.graph_turns(talks, as_of()).select("conversation", "place", "role", "text")
+
+
+@query(" select 'c' || conv_id as conversation, turn, role, length(text) as chars from conversations")
+def s_followed_log(s: Store) -> DataFrame:
+    """Logs that grow between the runs of a stream: the second run begins where the first one's checkpoint ends."""
+    from ..sources.logs import follow
+    from ..streaming.triggers import append_once
+
+    scratch = Scratch(s.spark, "follow")
+    lines = s.table("conversations").select("conv_id", F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conversation"), "turn", "role", "text")).alias("value"))
+    for part in (0, 1):
+        lines.where(F.col("conv_id") % 2 == part).select("value").write.text(f"{scratch.root}/logs/{part}")
+        append_once(follow(s.spark, f"{scratch.root}/logs", split=1 << 16), f"{scratch.root}/out", f"{scratch.root}/state").awaitTermination()
+    read = s.spark.read.schema("file string, offset long, line string").parquet(f"{scratch.root}/out")
+    rows = read.select(F.from_json("line", "conversation string, turn long, role string, text string").alias("x")).select("x.*")
+    return rows.select("conversation", "turn", "role", F.length("text").cast("long").alias("chars"))
+
+
 @query(""", pr as (select *, ts as t, strftime(ts, '%Y-%m-%d') as day, 'ask ' || seq as prompt, case when seq % 4 <> 0 then 'said ' || seq end as reply from nodes where kind = 'tool_call'), bo as (select day, t, prompt, 0 as o, 'user' as role, prompt as text from pr union all select day, t, prompt, 1, 'agent', reply from pr where reply is not null)
  select 'activity-' || day as conversation, (row_number() over (partition by day order by t, prompt, o) - 1)::int as place, role, text from bo""")
 def s_activity_export(s: Store) -> DataFrame:

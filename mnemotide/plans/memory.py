@@ -159,10 +159,17 @@ def a_degree(s: Store) -> DataFrame:
 
 
 def _communities(s: Store) -> DataFrame:
-    return graph.communities(_semantic(s), Scratch(s.spark, "communities"))
+    """Over all kinds of edges, as they are built together."""
+    from .filters import _consolidated
+
+    every = graph.build_edges([_semantic(s), graph.chain_edges(s.nodes), graph.dendrite_edges(_consolidated(s))])
+    scratch = Scratch(s.spark, "communities")
+    return graph.communities(scratch.save(every), scratch)
 
 
-VOTES = """, us as (select src, dst, coalesce(nullif(weight, 0), 1) as w from semantic where tier in ('strong', 'medium')), bd as (select src, dst, w from us union all select dst, src, w from us), dg as (select src, count(*) as d from bd group by 1),
+VOTES = """, named as (select id, 'e' || (seq + i) as member from nodes, (values (1), (2)) v(i) where seq % 50 = 0 and status = 'active'),
+ us as (select src, dst, coalesce(nullif(weight, 0), 1) as w from semantic where tier in ('strong', 'medium')
+  union all select p.id, c.id, 1.0 from nodes c join nodes p on c.parent = p.id where c.status = 'active' and p.status = 'active' union all select distinct named.id, n.id, 1.0 from named join nodes n on n.id = member where n.status = 'active'), bd as (select src, dst, w from us union all select dst, src, w from us), dg as (select src, count(*) as d from bd group by 1),
  hb as (select src from dg where (select count(*) from dg) >= 400 and d >= greatest(250, 0.025 * (select count(*) from dg), 8 * (select list(d order by d)[count(*) // 2 + 1] from dg))),
  vt as (select src, dst, sum(round(w * 1000000))::bigint as v from bd where src not in (select src from hb) and dst not in (select src from hb) group by 1, 2),
  lp as (select 0 as k, 0 as pass, src as id, src as old, src as new from (select distinct src from vt) union all

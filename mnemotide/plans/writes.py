@@ -218,12 +218,23 @@ def k_rebuild(s: Store) -> DataFrame:
     return sinks.read_current(s.spark, root).select("src", "dst", F.lit(second).alias("version"))
 
 
-@query(" select count(*) as nodes from nodes")
+def _mark(*columns: str):
+    """A sum over rows that any engine can compute, and that no change of a row leaves as it is."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")), F.lit(0))
+
+
+def _mark_sql(*columns: str) -> str:
+    return "coalesce(sum(('0x' || left(md5(concat_ws('|', " + ", ".join(f"coalesce({c}::varchar, '')" for c in columns) + ")), 8))::bigint), 0)::bigint"
+
+
+@query(f" select session, count(*) as nodes, {_mark_sql('id', 'kind', 'query', 'output_preview', 'importance')} as mark from nodes group by session")
 def k_backup(s: Store) -> DataFrame:
+    """What the verified copy holds."""
     root = Scratch(s.spark, "backup").root
     s.base.write.parquet(f"{root}/a")
-    rows, _ = sinks.verified_backup(s.spark, f"{root}/a", f"{root}/b")
-    return s.spark.createDataFrame([(rows,)], "nodes long")
+    sinks.verified_backup(s.spark, f"{root}/a", f"{root}/b")
+    return s.spark.read.parquet(f"{root}/b").groupBy("session").agg(F.count(F.lit(1)).alias("nodes"), _mark("id", "kind", "query", "output_preview", "importance").alias("mark"))
 
 
 @query(" select 'added' as part, id, null::bigint as node_count from nodes where seq % 3 = 0 union all select 'session', id, node_count from sessions")
@@ -234,22 +245,34 @@ def k_manifest(s: Store) -> DataFrame:
     return ids.select(F.lit("added").alias("part"), "id", F.lit(None).cast("long").alias("node_count")).unionByName(sessions.select(F.lit("session").alias("part"), "id", "node_count"))
 
 
-@query(" select * from (values ('first', 'built'), ('again', 'fresh'), ('during a write', 'overtaken'), ('after it', 'built')) v(step, outcome)")
+_LINKS = "(select p.id as src, c.id as dst from {0} c join {0} p on c.parent = p.id where c.status = 'active' and p.status = 'active')"
+
+
+@query(
+    ", fewer as (select * from nodes where kind <> 'warning'), "
+    f"a as (select count(*) as edges, {_mark_sql('src', 'dst')} as mark from {_LINKS.format('nodes')}), b as (select count(*) as edges, {_mark_sql('src', 'dst')} as mark from {_LINKS.format('fewer')})"
+    " select 'first' as step, 'built' as outcome, * from a union all select 'again', 'fresh', * from a union all select 'during a write', 'overtaken', * from a union all select 'after it', 'built', * from b"
+)
 def k_generations(s: Store) -> DataFrame:
-    """The edges are built, found fresh, overtaken by a write that comes while they are built, and built again."""
+    """The edges are built, found fresh though the nodes changed unseen, overtaken by a write that comes while they are built, and
+    built again from the changed nodes; with what is published after each step."""
     root = f"{Scratch(s.spark, 'generations').root}/edges"
-
-    def build() -> DataFrame:
-        return graph.chain_edges(s.nodes)
+    some = s.nodes.where("kind <> 'warning'")
 
     def disturbed() -> DataFrame:
         sinks.touch(s.spark, root)
-        return build()
+        return graph.chain_edges(some)
 
-    out = [("first", sinks.rebuild_if_stale(s.spark, root, build)), ("again", sinks.rebuild_if_stale(s.spark, root, build))]
-    sinks.touch(s.spark, root)
-    out += [("during a write", sinks.rebuild_if_stale(s.spark, root, disturbed)), ("after it", sinks.rebuild_if_stale(s.spark, root, build))]
-    return s.spark.createDataFrame(out, "step string, outcome string")
+    steps = [("first", lambda: graph.chain_edges(s.nodes)), ("again", lambda: graph.chain_edges(some)), ("during a write", disturbed), ("after it", lambda: graph.chain_edges(some))]
+    out = None
+    for step, build in steps:
+        if step == "during a write":
+            sinks.touch(s.spark, root)
+        outcome = sinks.rebuild_if_stale(s.spark, root, build)
+        now = sinks.read_current(s.spark, root).agg(F.count(F.lit(1)).alias("edges"), _mark("src", "dst").alias("mark"))
+        row = Scratch(s.spark, "step").save(now.select(F.lit(step).alias("step"), F.lit(outcome).alias("outcome"), "edges", "mark"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query()
@@ -272,8 +295,13 @@ def k_finish_lines(s: Store) -> DataFrame:
     return s.spark.createDataFrame([(r.slug, i + 1) for i, r in enumerate(rows)], "slug string, place int")
 
 
-@query(" select count(*) as nodes, count(*) filter (where status = 'active') as active from nodes")
+@query(" select status, count(*) as nodes, true as same_in_another_order, true as other_when_changed from nodes group by status")
 def k_digest(s: Store) -> DataFrame:
-    rows, _ = sinks.digest(s.base)
-    live, _ = sinks.digest(active(s.base))
-    return s.spark.createDataFrame([(rows, live)], "nodes long, active long")
+    """For the nodes of each status: the digest stays when rows are dealt anew, and not when one query text changes."""
+    out = []
+    for (status,) in sorted(s.base.select("status").distinct().collect()):
+        own = s.base.where(F.col("status") == status)
+        one = own.agg(F.min("seq")).first()[0]
+        first, again, changed = (sinks.digest(d) for d in (own, own.repartition(5, "query"), own.withColumn("query", F.when(F.col("seq") == one, "other").otherwise(F.col("query")))))
+        out.append((status, first[0], first == again, first != changed))
+    return s.spark.createDataFrame(out, "status string, nodes long, same_in_another_order boolean, other_when_changed boolean")
