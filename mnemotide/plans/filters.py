@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import attribution as at
 from ..model import MEANING_KINDS, NOT_PROJECTS, PROJECT_MACHINE_PREFIXES, Store, active, as_of, not_void
+from ..operators import bitmaps
 from ..operators import filters as f
 from ..operators import retrieval, rollups
+from ..scratch import Scratch
 from .registry import query
 
 MEANING = ", ".join(f"'{k}'" for k in MEANING_KINDS)
@@ -309,6 +311,27 @@ def a_emerging_families(s: Store) -> DataFrame:
     return rollups.emerging_families(spelled(s.base), ["proj-0"])
 
 
+@query(
+    SPELLED + f", u as (select id, session, ts::date as day, {family_sql('tag')} as name from (select id, session, ts, unnest(tags) as tag from spelt where status = 'active') where not regexp_matches(tag, '{MACHINE}'))"
+    " select name, count(distinct id) as nodes, count(distinct session) as sessions, count(distinct day) as days from u where name <> '' and day between date '2024-01-05' and date '2024-01-20' group by name"
+)
+def a_family_bitmaps(s: Store) -> DataFrame:
+    """Families over some days, from bitmaps that were built in two steps; the second brings new days, nodes and sessions, and
+    late rows of old days."""
+    scratch = Scratch(s.spark, "bitmaps")
+    rows = active(spelled(s.base)).select("id", "session", "seq", F.to_date("ts").alias("day"), F.explode("tags").alias("tag")).where(rollups.names_a_project(F.col("tag"), ()))
+    rows = scratch.save(rows.withColumn("name", rollups.family_key(F.col("tag"))).where("name <> ''"))
+    early = (F.col("day") < F.lit("2024-01-12")) & (F.col("seq") % 5 != 0)
+    nodes = sessions = held = None
+    for part in (rows.where(early), rows.where(~early)):
+        nodes = bitmaps.numbered(part.select(F.col("id").alias("value")), scratch, nodes)
+        sessions = bitmaps.numbered(part.select(F.col("session").alias("value")), scratch, sessions)
+        met = part.join(nodes.select(F.col("value").alias("id"), F.col("n").alias("node")), "id").join(sessions.select(F.col("value").alias("session"), F.col("n").alias("place")), "session")
+        new = bitmaps.daily_bitmaps(met, {"nodes": F.col("node"), "sessions": F.col("place")})
+        held = scratch.save(new if held is None else bitmaps.merged(held, new))
+    return bitmaps.span_counts(held, ("nodes", "sessions"), F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
+
+
 GATHERED = SPELLED + f", g as (select * from (select *, unnest(tags) as tag from spelt where status = 'active') where contains(regexp_replace(regexp_replace(lower(tag), '{MACHINE}', ''), '[^a-z0-9]+', '', 'g'), 'ite'))"
 
 

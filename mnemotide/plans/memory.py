@@ -301,16 +301,41 @@ def e_mark_cited(s: Store) -> DataFrame:
     return marked.groupBy("node_id", "channel").agg(F.count(F.lit(1)).alias("receipts"), F.count_if("cited").alias("cited"))
 
 
-@query(" select id, case when seq % 4 = 0 then 'void' else status end as status, flagged or seq % 10 = 0 as flagged, case when seq % 6 = 0 then 2 else memory_tier end::int as memory_tier, case when seq % 6 = 1 then 0.1 else stability_days end::double as stability_days from nodes")
-def w_fold_changes(s: Store) -> DataFrame:
+FOLDED = (
+    " select id, case when seq % 4 = 0 then 'void' else status end as status, flagged or seq % 10 = 0 as flagged, case when seq % 6 = 0 then 2 else memory_tier end::int as memory_tier,"
+    " case when seq % 6 = 1 then 0.1 else stability_days end::double as stability_days from nodes"
+)
+
+
+def _changes(s: Store) -> DataFrame:
     def change(where, field, value, day):
         return s.base.where(where).select("id", F.lit(field).alias("field"), F.lit(value).alias("value"), F.lit(day).alias("at"))
 
-    parts = [change("seq % 4 = 0", "status", "void", 1), change("seq % 4 = 0", "status", "active", 2), change("seq % 10 = 0", "flagged", "true", 1), change("seq % 6 = 0", "memory_tier", "0", 1), change("seq % 6 = 0", "memory_tier", "2", 2), change("seq % 6 = 1", "stability_days", "0.01", 3)]
+    parts = [
+        change("seq % 4 = 0", "status", "void", 1), change("seq % 4 = 0", "status", "active", 2), change("seq % 10 = 0", "flagged", "true", 1), change("seq % 6 = 0", "memory_tier", "0", 1),
+        change("seq % 6 = 0", "memory_tier", "2", 2), change("seq % 6 = 1", "stability_days", "0.01", 3),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return dynamics.fold_changes(s.base, out).select("id", "status", "flagged", "memory_tier", "stability_days")
+    return out
+
+
+@query(FOLDED)
+def w_fold_changes(s: Store) -> DataFrame:
+    return dynamics.fold_changes(s.base, _changes(s)).select("id", "status", "flagged", "memory_tier", "stability_days")
+
+
+@query(FOLDED)
+def w_fold_bucketed(s: Store) -> DataFrame:
+    """The same fold over tables that are bucketed by id."""
+    import uuid
+
+    from ..sources.sinks import write_bucketed
+
+    root = Scratch(s.spark, "bucketed").root
+    nodes, changes = (write_bucketed(df, f"bucketed_{uuid.uuid4().hex}", f"{root}/{i}") for i, df in enumerate((s.base, _changes(s))))
+    return dynamics.fold_changes(nodes, changes).select("id", "status", "flagged", "memory_tier", "stability_days")
 
 
 @query(" select id, case seq % 6 when 0 then 'deleted' when 1 then 'content changed' when 2 then 'transition not permitted' end as reason from nodes where seq % 6 < 3 and (seq % 6 <> 2 or status <> 'active')")
