@@ -109,7 +109,8 @@ def drift_walk(edges: DataFrame, topics: DataFrame, seeds: DataFrame, hops: int
     both = both.join(t.select(F.col("id").alias("src"), F.col("topic").alias("t1")), "src", "left").join(t.select(F.col("id").alias("dst"), F.col("topic").alias("t2")), "dst", "left")
     both = both.select("src", "dst", (F.col("w") * F.when(F.col("t1").eqNullSafe(F.col("t2")), 0.7).otherwise(1.5) * 0.8).alias("w"))
     start = F.broadcast(seeds.select(F.col("id").alias("seed")).distinct())
-    both = both.join(start, F.col("dst") == F.col("seed"), "left_anti")
+    # written once, as every hop reads it
+    both = Scratch(edges.sparkSession, "walk").save(both.join(start, F.col("dst") == F.col("seed"), "left_anti"))
     frontier, best = seeds.select("id", F.lit(1.0).alias("score")).distinct(), None
     for hop in range(1, hops + 1):
         found = frontier.join(both, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("score") * F.col("w")).alias("score")).withColumn("hops", F.lit(hop))
@@ -171,27 +172,27 @@ def node_view(nodes: DataFrame, node: str, children: int = 20, holders: int = 5,
     by cosine, and nodes that share one of its first six entities (six by importance for each, eight in all). The node
     itself is one row that is read first; what follows are filters and top-k of one pass each.
     """
-    own = nodes.where(F.col("id") == node).select("tags", "embedding").first()
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    own = nodes.where(F.col("id") == node).select(F.slice(F.filter(tags, lambda t: F.startswith(t, F.lit("entity:"))), 1, 6).alias("entities"), "embedding").first()
     none = F.lit(None)
 
     def part(rows: DataFrame, section: str, order: list[Column], similarity: Column | None = None, entity: Column | None = None) -> DataFrame:
         place = F.row_number().over(Window.orderBy(*order))
         return rows.select(F.lit(section).alias("section"), place.alias("place"), "id", (none.cast("double") if similarity is None else similarity).alias("similarity"), (none.cast("string") if entity is None else entity).alias("entity"))
 
-    tags = [t for t in (own["tags"] or [])] if own else []
     start = nodes.where(F.col("id") == node).select("id")
     out = part(chain(nodes, start), "chain", [F.desc("step")])
     out = out.unionByName(part(not_void(nodes).where(F.col("parent") == node).orderBy("ts", "id").limit(children), "children", [F.col("ts"), F.col("id")]))
-    members = [t[7:] for t in tags if t.startswith("member:")]
-    order = F.create_map(*[F.lit(x) for i, m in reversed(list(enumerate(members))) for x in (m, i)]) if members else F.create_map().cast("map<string,int>")
-    out = out.unionByName(part(nodes.where(F.col("id").isin(*members)) if members else nodes.limit(0), "members", [order[F.col("id")], F.col("id")]))
+    named = nodes.where(F.col("id") == node).select(F.posexplode(tags).alias("at", "tag")).where(F.startswith("tag", F.lit("member:")))
+    named = named.groupBy(F.substring(F.col("tag"), F.lit(8), F.length("tag")).alias("id")).agg(F.min("at").alias("at"))
+    out = out.unionByName(part(nodes.join(named, "id"), "members", [F.col("at"), F.col("id")]))
     held = active(nodes).where(F.exists("tags", lambda t: F.contains(t, F.lit(f"member:{node}")))).orderBy("id").limit(holders)
     out = out.unionByName(part(held, "member_of", [F.col("id")]))
     vector = [float(x) for x in own["embedding"]] if own and own["embedding"] is not None else []
     if any(vector):
         alike = of_dimension(active(nodes), "embedding", len(vector)).where(F.col("id") != node).select("id", cosine_to("embedding", vector).alias("c")).orderBy(F.desc("c"), "id").limit(near)
         out = out.unionByName(part(alike, "neighbours", [F.desc("c"), F.col("id")], F.round("c", 3)))
-    entities = [t for t in tags if t.startswith("entity:")][:6]
+    entities = list(own["entities"]) if own else []
     if entities:
         named = F.filter(F.array(*[F.struct(F.lit(i).alias("e"), F.lit(t).alias("t")) for i, t in enumerate(entities)]), lambda x: F.exists("tags", lambda t: F.contains(t, x["t"])))
         hits = active(nodes).where(F.col("id") != node).select("id", "importance", F.explode(named).alias("x")).select("id", "importance", "x.e", "x.t")

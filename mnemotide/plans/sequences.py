@@ -275,10 +275,13 @@ def x_forward_split(s: Store) -> DataFrame:
 DRIFT_WORDS = r"list_distinct(list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(query, '[/\\.]', ' ', 'g')), '\s+'), lambda w: trim(w, '_-:(),;''\"')), lambda w: length(w) > 3 and not starts_with(w, '-') and not regexp_matches(w, '^\d+$')))"
 
 
-@query(f""", k as (select session, id, row_number() over (partition by session order by ts, seq) as n, {DRIFT_WORDS} as k, ts, seq from nodes where kind = 'tool_call'),
+DRIFTED = f""", k as (select session, id, row_number() over (partition by session order by ts, seq) as n, {DRIFT_WORDS} as k, ts, seq from nodes where kind = 'tool_call'),
  p as (select *, list_distinct(flatten(list(k) over (partition by session order by n rows between 10 preceding and 1 preceding))) as past from k),
  q as (select *, case when len(coalesce(past, [])) = 0 then 1.0 else len(list_intersect(k, past)) / len(list_distinct(list_concat(k, past)))::double end as similarity, list_filter(k, lambda w: not list_contains(coalesce(past, []), w)) as fresh from p where n % 5 = 0 and n > 5 and len(k) > 0)
- select session, id, n::int as n, similarity, list_sort(list_transform(case when len(fresh) > 0 then fresh else k end, lambda w: {{'l': -length(w), 'w': w}}))[1].w as keyword from q where similarity < 0.4""")
+ select session, id, n::int as n, similarity, list_sort(list_transform(case when len(fresh) > 0 then fresh else k end, lambda w: {{'l': -length(w), 'w': w}}))[1].w as keyword from q where similarity < 0.4"""
+
+
+@query(DRIFTED)
 def x_drift_windows(s: Store) -> DataFrame:
     return w.drift(s.base.where("kind = 'tool_call'"), "session", ["ts", "seq"], floor=0.4)
 

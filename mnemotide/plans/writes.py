@@ -14,6 +14,7 @@ from ..streaming import triggers
 from .composed import PROJECTS
 from .memory import DUE
 from .registry import query
+from .sequences import DRIFTED
 
 HEART = ", ".join(f"'{k}'" for k in HEARTBEAT_KINDS)
 NOW = "timestamp '2024-02-01'"
@@ -149,6 +150,43 @@ def x_turn_attach(s: Store) -> DataFrame:
     return out.select("session", "turn_id", F.array_join("tool_calls", ",").alias("tools"))
 
 
+def _restarted(s: Store, rows: DataFrame, make, label: str) -> DataFrame:
+    """What a stream over `rows` gives, whose first run ends in the middle of the month and whose second begins at its checkpoint."""
+    scratch = Scratch(s.spark, label)
+    for part in (F.col("ts") < F.lit("2024-01-15").cast("timestamp"), F.col("ts") >= F.lit("2024-01-15").cast("timestamp")):
+        rows.where(part).write.mode("append").parquet(f"{scratch.root}/in")
+        out = make(s.spark.readStream.schema(rows.schema).parquet(f"{scratch.root}/in"))
+        triggers.append_once(out, f"{scratch.root}/out", f"{scratch.root}/state").awaitTermination()
+    return s.spark.read.schema(out.schema).parquet(f"{scratch.root}/out")
+
+
+@query(DRIFTED.replace("select session, id, n::int as n", "select session, n"))
+def x_stream_drift(s: Store) -> DataFrame:
+    rows = s.base.where("kind = 'tool_call'").select("session", "ts", "seq", "query")
+    return _restarted(s, rows, lambda x: triggers.drifts(x, floor=0.4, ttl_ms=None), "drift")
+
+
+@query(" select session, n * 25 as n from (select session, unnest(range(1, count(*) // 25 + 1)) as n from nodes group by session)")
+def x_stream_heartbeat(s: Store) -> DataFrame:
+    return _restarted(s, s.base.select("session", "ts"), lambda x: triggers.heartbeats(x, ttl_ms=None), "heartbeat")
+
+
+@query(
+    ", v as (select session, ts, sum(new) over (partition by session order by ts, seq) as visit from (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by session order by ts, seq)) < 1800000000 then 0 else 1 end as new from nodes)),"
+    " w as (select session, min(ts) as a, max(ts) + interval 30 minutes as b, count(*) as events from v group by session, visit) select session, a as start, b as \"end\", events from w where b <= (select date_trunc('millisecond', max(ts)) - interval 1 hour from nodes)"
+)
+def x_stream_visits(s: Store) -> DataFrame:
+    """Visits that have ended for certain: a later event is an hour and more beyond their end."""
+    return _restarted(s, s.base.select("session", "ts"), triggers.visit_windows, "visits")
+
+
+@query(" select session, query from nodes where kind = 'tool_call' and tool in ('Edit', 'Bash') group by 1, 2")
+def x_stream_files(s: Store) -> DataFrame:
+    """Files touched, once for each session, in a stream whose keys are kept for longer than it is."""
+    rows = s.base.where("kind = 'tool_call' and tool in ('Edit', 'Bash')").select("session", "query", F.lit("Edit").alias("tool"), "ts")
+    return _restarted(s, rows, lambda x: triggers.once_per_file(x, "60 days"), "files").select("session", "query")
+
+
 @query(" select id, ts from nodes order by ts desc, id desc limit 20")
 def x_live_tail(s: Store) -> DataFrame:
     scratch, seen = Scratch(s.spark, "tail"), []
