@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import HEARTBEAT_KINDS, Store, active, as_of
+from ..model import CTE, HEARTBEAT_KINDS, Store, active, as_of
 from ..operators import compiled, dynamics, graph, reports, workflow
 from ..operators.substrings import GramIndex
 from ..scratch import Scratch
 from ..sources import sinks
 from ..streaming import triggers
+from . import places  # noqa: F401  registers the SQL that the cycle's rests on
 from .composed import PROJECTS
 from .memory import DUE
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .sequences import DRIFTED
 
 HEART = ", ".join(f"'{k}'" for k in HEARTBEAT_KINDS)
@@ -63,16 +64,56 @@ def e_tier_steps(s: Store) -> DataFrame:
 
 
 _STAGES = ("embedded", "consolidated", "demoted", "edges", "communities", "atlas", "book", "page_one", "report", "audit", "registry")
+# Stages of which the query also shows what they published, as the columns of one text for each row.
+_SHOWN = {"embedded": ("id",), "consolidated": ("kind", "query", "parent"), "demoted": ("id", "session", "memory_tier"), "edges": ("src", "dst", "type", "tier")}
+
+
+def _cycle_sql() -> str:
+    """Rows and digests of what the cycle must publish, from the whole SQL of the queries that show the same results."""
+    demoted = " select id, session, 2 as memory_tier from nodes where memory_tier = 1 and status = 'active' and session <> 'user-12' and session not in (select id from sessions order by started_at desc, id limit 3)"
+    chain = " select p.id as src, c.id as dst, 'chain' as type, null as tier from nodes c join nodes p on c.parent = p.id where c.status = 'active' and p.status = 'active'"
+    edges = f"select src, dst, type, tier from ({ORACLE_SQL['g_knn_edges']}) union all select * from ({CTE}{chain})"
+    results = {"embedded": ORACLE_SQL["w_embed_pending"], "consolidated": ORACLE_SQL["e_synthesis"], "demoted": CTE + demoted, "edges": edges}
+    parts = []
+    for stage in _STAGES:
+        n = digest = "null::bigint"
+        if stage in results:
+            text = " || '|' || ".join(f"coalesce({c}::varchar, '-')" for c in _SHOWN[stage])
+            n, digest = "count(*)", f"coalesce(sum(('0x' || left(md5({text}), 8))::bigint), 0)::bigint"
+        source = f" from ({results[stage]})" if stage in results else ""
+        parts.append(f"select '{stage}' as stage, '1' as outcome, 'unchanged' as again, {n} as n, {digest} as digest{source}")
+    return " union all ".join(parts)
 
 
-@query(" select * from (values " + ", ".join(f"('{x}', '1')" for x in _STAGES) + ") v(stage, outcome)")
 def e_sleep(s: Store) -> DataFrame:
+    """The cycle run twice over the same tables: (stage, outcome, again, n, digest), the last two of what is published."""
     from ..functions.vectors import hash_embedding
     from .sleep import sleep_cycle
 
-    scratch = Scratch(s.spark, "cycle")
-    out = sleep_cycle(s.spark, s.nodes, s.vectors, s.sessions, s.ledger, f"{scratch.root}/out", as_of(), "user-12", tiers=(0.3, 0.35, 0.4), floor=0.3, projects={k: v[1] for k, v in PROJECTS.items()}, encode=lambda c: hash_embedding(c, 16))
-    return s.spark.createDataFrame(sorted(out.items()), "stage string, outcome string")
+    root = f"{Scratch(s.spark, 'cycle').root}/out"
+
+    def cycle() -> dict[str, str]:
+        return sleep_cycle(
+            s.spark, s.nodes, s.vectors, s.sessions, s.ledger, root, as_of(), "user-12", tiers=(0.3, 0.35, 0.4), floor=0.3, projects={k: v[1] for k, v in PROJECTS.items()},
+            encode=lambda c: hash_embedding(c, 16), encoder="hash-16",
+        )
+
+    first, again = cycle(), cycle()
+    shown = None
+    for stage, cols in _SHOWN.items():
+        if first[stage] != "1":
+            continue
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols])
+        one = sinks.read_current(s.spark, f"{root}/{stage}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")), F.lit(0)).alias("digest"))
+        one = one.withColumn("stage", F.lit(stage))
+        shown = one if shown is None else shown.unionByName(one)
+    out = s.spark.createDataFrame([(k, v, again[k]) for k, v in sorted(first.items())], "stage string, outcome string, again string")
+    return out if shown is None else out.join(shown, "stage", "left")
+
+
+
+query()(e_sleep)
+ORACLE_SQL["e_sleep"] = _cycle_sql()  # holds the common tables once for each result
 
 
 PACKS = f""", du as (select n.id, session as own, memory_tier, {DUE} / (1 + coalesce(shows, 0) / 25.0) * case when memory_tier = 0 then 2.0 else 1.0 end as due from nodes n left join (select node_id, count(*) as shows from ledger group by 1) l on l.node_id = n.id where status = 'active' and kind in ({HEART}) and memory_tier <= 1),

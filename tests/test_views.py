@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from mnemotide.model import Store, as_of
@@ -19,9 +20,45 @@ def test_sleep_cycle_publishes_and_survives_a_failing_stage(spark, tmp_path):
     assert out == {k: "1" for k in ("embedded", "consolidated", "demoted", "edges", "communities", "atlas", "book", "page_one", "report", "audit", "registry")}, out
     assert {r.type for r in read_current(spark, str(tmp_path / "a/edges")).select("type").distinct().collect()} >= {"chain", "semantic"}
     again = sleep_cycle(*args, root=str(tmp_path / "a"), as_of=as_of(), current="user-12", tiers=(0.3, 0.35, 0.4), floor=0.3)
-    assert set(again.values()) == {"2"}
+    assert set(again.values()) == {"unchanged"}
+    moved = sleep_cycle(*args, root=str(tmp_path / "a"), as_of=as_of(), current="user-12", tiers=(0.3, 0.35, 0.41), floor=0.3)
+    assert {k for k, v in moved.items() if v == "2"} == {"edges", "communities", "atlas"} and {v for v in moved.values()} == {"2", "unchanged"}
     broken = sleep_cycle(spark, s.nodes, vectors.drop("embedding"), s.sessions, s.ledger, root=str(tmp_path / "b"), as_of=as_of(), current="user-12")
     assert broken["consolidated"].startswith("failed") and broken["demoted"] == "1" and broken["audit"] == "1"
+    assert broken["communities"] == "failed: RuntimeError: needs edges" and broken["atlas"] == "failed: RuntimeError: needs communities"
+
+
+def test_a_broken_cycle_goes_on_where_it_ended_and_a_finished_one_runs_no_stage(spark, tmp_path, monkeypatch):
+    s = Store(spark, SF)
+    args = (spark, s.nodes, s.vectors, s.sessions, s.ledger)
+    options = {"root": str(tmp_path / "c"), "as_of": as_of(), "current": "user-12", "tiers": (0.3, 0.35, 0.4), "floor": 0.3}
+    with monkeypatch.context() as m:
+        m.setattr(sleep.graph, "communities", lambda *a, **k: 1 / 0)
+        first = sleep_cycle(*args, **options)
+    assert first["communities"].startswith("failed: ZeroDivisionError") and first["atlas"].endswith("needs communities")
+    second = sleep_cycle(*args, **options)
+    assert {k: v for k, v in second.items() if v != "unchanged"} == {"communities": "1", "atlas": "1"}
+    with monkeypatch.context() as m:
+        m.setattr(sleep, "publish", lambda *a: 1 / 0)
+        kind = type(spark.range(1))
+        m.setattr(kind, "collect", _no_tables(kind.collect))
+        assert set(sleep_cycle(*args, **options).values()) == {"unchanged"}
+    other = sleep_cycle(*args, **options, marks={"ledger": "later"})
+    assert {k: v for k, v in other.items() if v != "unchanged"} == {"audit": "2"}
+
+
+def _no_tables(collect):
+    """Collects only the one-column texts of pointers and marks."""
+    def only(df):
+        assert df.columns == ["value"]
+        return collect(df)
+
+    return only
+
+
+def test_a_table_without_files_needs_a_mark(spark):
+    with pytest.raises(ValueError):
+        sleep.source_mark(spark.range(3))
 
 
 def test_findings_repeat_only_when_they_change(spark):
