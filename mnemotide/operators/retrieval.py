@@ -20,6 +20,15 @@ def is_temporal(question: str) -> bool:
     return re.search(r"\b(?:" + "|".join(map(re.escape, TIME_CUES)) + r")\b", question.lower()) is not None
 
 
+def weights(question: str) -> tuple[float, float, float, float]:
+    return TIME_WEIGHTS if is_temporal(question) else WEIGHTS
+
+
+def importance_rank() -> Column:
+    """Importance as a share of 1; 0.5 where it is null or 0."""
+    return F.coalesce(F.nullif(F.col("importance"), F.lit(0)), F.lit(5)) / 10.0
+
+
 def question_keywords(question: str) -> list[str]:
     words = (w for w in question.lower().split() if len(w) >= 4 and w not in QUESTION_STOP)
     return sorted({w.strip(".,;:!?()'\"") for w in words})
@@ -40,13 +49,12 @@ def hybrid_search(nodes: DataFrame, question: str, query_vector: list[float], as
     recency more. Vectors of another dimension than the question's stay out. One pass without a shuffle but for the k
     rows of each partition.
     """
-    w = TIME_WEIGHTS if is_temporal(question) else WEIGHTS
+    w = weights(question)
     rows = of_dimension(not_void(nodes), "embedding", len(query_vector))
     if session is not None:
         rows = rows.where(F.col("session") == session)
     age = F.greatest(F.lit(0.0), days_between(as_of, F.col("ts")))
-    rank = F.coalesce(F.nullif(F.col("importance"), F.lit(0)), F.lit(5)) / 10.0
-    score = w[0] * cosine_to("embedding", query_vector) + w[1] * F.exp(-DECAY * age) + w[2] * keyword_share(question_keywords(question), *[t for t in texts if t in nodes.columns]) + w[3] * rank
+    score = w[0] * cosine_to("embedding", query_vector) + w[1] * F.exp(-DECAY * age) + w[2] * keyword_share(question_keywords(question), *[t for t in texts if t in nodes.columns]) + w[3] * importance_rank()
     return rows.withColumn("score", score).orderBy(F.desc("score"), "id").limit(k)
 
 

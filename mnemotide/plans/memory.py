@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import CONSOLIDATION_KINDS, ENTITY_STOP, HEARTBEAT_KINDS, MEANING_KINDS, Store, active, as_of, not_void
 from ..operators import dynamics, graph, retrieval
+from ..operators.blockmax import BlockIndex
 from ..operators.components import connected_components
 from ..operators.reports import audit
 from ..scratch import Scratch
@@ -41,6 +42,23 @@ def r_hybrid_topk_temporal(s: Store) -> DataFrame:
     return retrieval.hybrid_search(s.vectors, TIMELY, _vector(s), as_of()).select("id", F.round("score", 6).alias("score"))
 
 
+def _by_blocks(s: Store, question: str) -> DataFrame:
+    scratch, asked = Scratch(s.spark, "blocks"), _vector(s)
+    index = BlockIndex.build(s.vectors, f"{scratch.root}/index", len(asked), block_rows=512)
+    return index.search(question, asked, as_of(), scratch).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_hybrid_sql(["cache", "limit", "parser", "retry"], retrieval.WEIGHTS))
+def r_hybrid_blocks(s: Store) -> DataFrame:
+    """The search of `r_hybrid_topk` through an index of blocks, of which those that cannot hold a result are not read."""
+    return _by_blocks(s, QUESTION)
+
+
+@query(_hybrid_sql(["changed", "index", "today", "vector"], retrieval.TIME_WEIGHTS))
+def r_hybrid_blocks_temporal(s: Store) -> DataFrame:
+    return _by_blocks(s, TIMELY)
+
+
 PAIRS = ", pairs as (select least(a.id, b.id) as src, greatest(a.id, b.id) as dst, list_cosine_similarity(a.embedding, b.embedding) as cosine from vectors a join vectors b on a.seq < b.seq where a.status = 'active' and b.status = 'active')"
 
 
