@@ -194,12 +194,13 @@ def manifest(nodes: DataFrame, window_tokens: int = 200_000, scratch: Scratch |
 
 def schedule_summary(nodes: DataFrame, window_tokens: int = 200_000) -> DataFrame:
     """(session, hot, warm, cold, window, coverage): what the manifest of each session places, what it leaves to retrieval
-    (active cold nodes), and the placed share in whole percent, half to even."""
+    (active cold nodes), and the placed share in whole percent, half to even. The product comes before the quotient, as shares like 23 of 40 are no
+    binary fractions and times a hundred fall below a half."""
     cold = (F.col("memory_tier") == 2) & (F.col("status") == "active")
     hot, warm = (F.count_if((F.col("memory_tier") == t) & (F.col("status") != "void")) for t in (0, 1))
     rows = nodes.groupBy("session").agg(hot.alias("hot"), warm.alias("warm"), F.count_if(cold).alias("cold"))
     placed = F.col("hot") + F.col("warm")
-    share = F.bround(placed / F.greatest(F.lit(1), placed + F.col("cold")) * 100, 0).cast("int")
+    share = F.bround(placed * 100.0 / F.greatest(F.lit(1), placed + F.col("cold")), 0).cast("int")
     return rows.select("session", "hot", "warm", "cold", F.lit(window_tokens).alias("window"), F.concat(share.cast("string"), F.lit("%")).alias("coverage"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemotide.model import Store, as_of
-from mnemotide.operators import reports, views
+from mnemotide.operators import dynamics, reports, views
 from mnemotide.plans import sleep
 from mnemotide.plans.sleep import sleep_cycle
 from mnemotide.sources.sinks import read_current
@@ -103,3 +103,11 @@ def test_live_fill_places_nodes_of_every_community(spark):
     fresh = spark.range(150).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") < 120, F.concat(F.lit("c"), F.col("id").cast("string"))).alias("cid"), F.when(F.col("id") % 2 == 0, "g").otherwise("other").alias("galaxy"), F.timestamp_seconds(F.col("id")).alias("ts"))
     got = views.live_fill(fresh, points).collect()
     assert len(got) == 150 and len({(r.map_x, r.map_y) for r in got}) == 150
+
+
+def test_coverage_takes_exact_halves_to_even(spark):
+    """23 of 40 is 57.5 percent, but as a quotient times a hundred it falls below the half."""
+    rows = [("a", 0, i) for i in range(23)] + [("a", 2, 23 + i) for i in range(17)] + [("b", 1, i) for i in range(1)] + [("b", 2, 1 + i) for i in range(7)]
+    nodes = spark.createDataFrame(rows, "session string, memory_tier int, id int").withColumn("status", F.lit("active"))
+    got = {r.session: r.coverage for r in dynamics.schedule_summary(nodes).collect()}
+    assert got == {"a": "58%", "b": "12%"}
