@@ -85,3 +85,19 @@ def test_makers(spark):
     ids = {"codex-1": "GPT", "import-claude-z": "Claude", "import-zzz-1": "Unknown", "a1a1a1a1-0000-1111-2222-333344445555": "Claude", "session-1": "Unknown"}
     df = spark.createDataFrame([(n,) for n in ids], "n string")
     assert {r[0]: r[1] for r in df.select("n", at.maker_for_session(F.col("n"))).collect()} == ids
+
+
+def test_scrub_query_agrees_with_its_sql_where_digests_repeat_characters(spark, tmp_path):
+    """The digests of these ids are so uneven that a few more characters leave them under 3.5 bits."""
+    import duckdb
+
+    from mnemotide.plans.catalogue import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(113249, "plain words"), (243088, "other words"), (7, "x")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    names = "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split()
+    c = duckdb.connect()
+    for n in names:
+        c.execute(f"create view {n} as select * from '/root/testdata/sf0.001/{n}.parquet'")
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r[x] for x in ("doc_id", "digest", "tags")) for r in QUERIES["w_scrub"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(f"select doc_id, digest, tags from ({ORACLE_SQL['w_scrub']})").fetchall()) and len(got) == 3
