@@ -111,3 +111,21 @@ def test_coverage_takes_exact_halves_to_even(spark):
     nodes = spark.createDataFrame(rows, "session string, memory_tier int, id int").withColumn("status", F.lit("active"))
     got = {r.session: r.coverage for r in dynamics.schedule_summary(nodes).collect()}
     assert got == {"a": "58%", "b": "12%"}
+
+
+def test_audit_query_agrees_with_its_sql_where_nodes_are_shown_over_sixty_times_a_week(spark, tmp_path):
+    import os
+
+    import duckdb
+
+    from mnemotide.plans.catalogue import ORACLE_SQL, QUERIES
+
+    spark.read.parquet(f"{SF}/events.parquet").withColumns({"event_id": F.col("event_id") * 1000, "event_type": F.lit("view"), "ts": F.lit("2024-01-30").cast("timestamp_ntz")}).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    os.symlink(f"{SF}/embeddings.parquet", tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'; create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    for name in ("e_audit_findings", "e_audit_attention"):
+        got = {tuple(r[x] for x in ("check", "n", "detail")) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == set(c.execute(f"select \"check\", n, detail from ({ORACLE_SQL[name]})").fetchall()) != set()
+    s = Store(spark, str(tmp_path))
+    assert [tuple(r) for r in reports.audit(s.base, s.ledger, s.vectors, as_of(), {}).where("check = 'attention hoarding'").collect()] == [("attention hoarding", 1, "e0")]
