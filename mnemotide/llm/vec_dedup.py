@@ -39,6 +39,16 @@ def spherical_kmeans(points: np.ndarray, cells: int, rounds: int = 8, seed: int
     return centres
 
 
+def nearest(mat: np.ndarray, centres: np.ndarray, probes: int, cells: int = 1 << 20) -> np.ndarray:
+    """Each row's `probes` nearest of `centres`, the lower number at ties; the products in hand have about `cells` cells."""
+    m = min(probes, len(centres))
+    out = np.empty((len(mat), m), np.int64)
+    step = max(1, cells // len(centres))
+    for at in range(0, len(mat), step):
+        out[at : at + step] = np.argsort(-(unit(mat[at : at + step]) @ centres.T), axis=1, kind="stable")[:, :m]
+    return out
+
+
 def _assign(centres: np.ndarray | None, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,8 +56,7 @@ def _assign(centres: np.ndarray | None, probes: int):
                 at = np.flatnonzero(np.diff(np.asarray(batch.column("vec").offsets)) == d)
                 part = batch.take(pa.array(at))
                 if centres is not None and centres.shape[1] == d:
-                    m = min(probes, len(centres))
-                    near = np.argsort(-(unit(mat) @ centres.T), axis=1, kind="stable")[:, :m]
+                    near = nearest(mat, centres, probes)
                 else:  # vectors of another length than the sample's: one cell for each length
                     near = np.full((len(at), 1), -1 - d)
                 cells = pa.array(np.sort(near, axis=1).tolist(), pa.list_(pa.int32()))

@@ -130,3 +130,19 @@ def test_long_products_are_exact_and_only_for_the_rows_that_need_them():
     same = np.ones(got.shape, bool)
     same[[3, 4]], same[:, [7, 8]] = False, False
     assert (got[same] == plain[same]).all()
+
+
+def test_assigning_holds_a_bounded_product():
+    import tracemalloc
+
+    from mnemotide.llm.vec_dedup import nearest, unit
+
+    rng = np.random.default_rng(2)
+    mat, centres = rng.standard_normal((6000, 8)), unit(rng.standard_normal((4096, 8)))
+    tracemalloc.start()
+    near = nearest(mat, centres, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # the whole product alone has 188 MB
+    some = rng.choice(6000, 50, replace=False)
+    assert (near[some] == np.argsort(-(unit(mat[some]) @ centres.T), axis=1, kind="stable")[:, :4]).all()
