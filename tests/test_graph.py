@@ -276,3 +276,29 @@ def test_layout_places_nodes_of_more_galaxies_than_ten_thousand(spark):
     got = graph.layout(rows).collect()
     assert {r.id for r in got} == {f"n{i}" for i in range(n)} and len(got) == n
     assert len({(r.map_x, r.map_y) for r in got}) == n
+
+
+@pytest.mark.parametrize("local_links", [15, 10**6])
+def test_labels_of_components_of_all_sizes_equal_one_global_pass(spark, local_links):
+    """Small components by tasks, large ones by rounds, all in one: chains with rising ids, dense groups, a loop, repeated votes."""
+    rng = random.Random(3)
+    edges = [(f"c{i:02d}", f"c{i + 1:02d}", 1.0) for i in range(40)] + [(f"d{i}", f"d{i + 1}", 1.0) for i in range(4)]
+    edges += list({(min(a, b), max(a, b)): (f"g{min(a, b):02d}", f"g{max(a, b):02d}", rng.choice([1.0, 2.0, 3.0])) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(120)) if a != b}.values())
+    edges += [("x", "y", 2.0)]
+    links = spark.createDataFrame([(a, b, int(w)) for a, b, w in edges] + [(b, a, int(w)) for a, b, w in edges] + [("z", "z", 1)], "src string, dst string, votes long")
+    got = {r.id: r.label for r in graph.spread_labels(links, Scratch(spark, "t"), passes=2, local_links=local_links).collect()}
+    assert got == _sequential(edges, 2) | {"z": "z"}
+
+
+def test_a_million_links_take_one_task_seconds(spark):
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 300_000, (2, 500_000))
+    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+    table = pa.table({"src": pa.array(src).cast(pa.string()), "dst": pa.array(dst).cast(pa.string()), "votes": np.ones(10**6, np.int64)})
+    began = time.perf_counter()
+    out = graph._labelled(12)(table)
+    assert out.num_rows == len(np.unique(src)) and time.perf_counter() - began < 60 and graph.LOCAL_LINKS >= 10**6
