@@ -61,6 +61,14 @@ def sliding_rate(events: DataFrame, by: str, ts: str = "ts", seconds: int = 60,
     return met.withColumn("allowed", F.col("recent") <= most)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str = "id", salts: int = 1024) -> DataFrame:
+    """`rows` with the columns of `table` by `key`, as a left join; rows without a key are dealt over `salts` places
+    by column `spread`, as they would otherwise all go to one task."""
+    salted = rows.withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(salts)) + 1).otherwise(F.lit(0)).cast("int"))
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")  # a literal would not be part of the join's key
+    return salted.join(table.withColumn("_salt", zero), [key, "_salt"], "left").drop("_salt")
+
+
 def drift_keywords(text: Column) -> Column:
     """Distinct words over three letters; paths count as words, numbers and options do not."""
     words = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[/\\.]", " ")), r"\s+")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Store, as_of
 from ..operators import views
+from ..operators.windows import looked_up
 from ..scratch import Scratch
 from ..sources import exports, files, transcripts
 from .places import CHUNKS
@@ -223,7 +224,7 @@ def s_session_lines(s: Store) -> DataFrame:
     value = F.to_json(F.struct(F.concat(F.lit("r"), n.cast("string")).alias("ref"), when.alias("when"), F.when(n % 3 == 0, "idea").alias("kind"), n.cast("string").alias("text"), F.when(n % 2 == 0, F.array(F.lit("x"))).alias("tags"), F.when(n % 5 == 4, F.concat(F.lit("r"), (n - 4).cast("string"))).alias("parent")))
     rows = files.session_lines(s.base.select(n.cast("int").alias("line"), value.alias("value")), "s", F.lit("2024-01-01").cast("timestamp"))
     up = rows.select(F.col("id").alias("parent"), F.col("query").cast("long").alias("up"))
-    return rows.join(up, "parent", "left").select(F.col("query").cast("long").alias("seq"), "ts", "kind", F.col("up").alias("parent"), F.array_join("tags", ",").alias("tags"))
+    return looked_up(rows, up, "parent").select(F.col("query").cast("long").alias("seq"), "ts", "kind", F.col("up").alias("parent"), F.array_join("tags", ",").alias("tags"))
 
 
 @query(" select session, tool, query, case when seq % 3 = 0 then '' else 'a' || chr(10) || chr(10) || 'b' end as preview, case when tool in ('Grep', 'Bash', 'WebSearch') then case when seq % 3 = 0 then 0 else 2 end end as result_count, latency_ms from nodes where kind = 'tool_call' and seq % 7 <> 0")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_FILE_BYTES, PREVIEW_CHARS, chunks_of
+from ..operators.windows import looked_up
 
 # Endings of files that are read, and folders that are not.
 ENDINGS = (
@@ -55,7 +56,7 @@ def session_lines(lines: DataFrame, session: str, base: Column) -> DataFrame:
     ident = F.substring(F.sha2(F.concat_ws("|", F.lit(session), F.col("line").cast("string")), 256), 1, 12)
     rows = rows.withColumns({"id": ident, "ts": ts})
     refs = rows.where("ref is not null").select(F.col("ref").alias("parent"), F.col("id").alias("parent_id"))
-    out = rows.join(refs, "parent", "left")
+    out = looked_up(rows, refs, "parent")
     return out.select("id", F.lit(session).alias("session"), F.coalesce("kind", F.lit("conversation_turn")).alias("kind"), F.coalesce("speaker", F.lit("agent")).alias("speaker"), F.col("text").alias("query"), "gist", F.col("parent_id").alias("parent"), "ts", F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("backfill"))).alias("tags"), "importance")
 
 

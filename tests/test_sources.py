@@ -187,3 +187,22 @@ def test_sinks(spark, tmp_path):
     assert sinks.render(lines, "T", 34) == "# T\n\n## a\n- y\n- z\n\n## b\n- x\n"
     with pytest.raises(Exception):
         sinks.verified_backup(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+
+
+def test_lines_without_a_parent_are_dealt_out(spark):
+    """Most lines have no parent; looked up by a null key they would all lie in one partition."""
+    from mnemotide.operators.windows import looked_up
+
+    n = F.col("n")
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("r"), F.col("id").cast("string"))).alias("parent"))
+    table = spark.range(0, 4000, 20).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("parent"), F.col("id").alias("n"))
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = looked_up(rows, table, "parent")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(sizes) < 2000 and sum(sizes) == 4000 and found.where(n.isNotNull() & (F.concat(F.lit("r"), n.cast("string")) == F.col("parent"))).count() == 200
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
