@@ -92,3 +92,36 @@ def test_rate_forward_feed_and_sink(spark, calls):
     q = triggers.live_feed(stream, pushed.append, f"{tmp}/cp-feed", most=5, trigger={"availableNow": True})
     assert q.awaitTermination(120)
     assert pushed and all(len(p) <= 5 and [r["ts"] for r in p] == sorted(r["ts"] for r in p) for p in pushed)
+
+
+def test_keys_with_nothing_to_say_yield_no_frame():
+    """A micro-batch has many sessions with a few calls each; frames made for each of them took most of the time."""
+    import pandas as pd
+
+    from mnemotide.streaming.triggers import drifts, heartbeats
+
+    class Calls:
+        def __getattr__(self, name):
+            return lambda *args, **_: setattr(self, "step", args[0]) or self if name == "applyInPandasWithState" else self
+
+    class State:
+        exists, hasTimedOut, kept = False, False, None
+
+        def update(self, value):
+            self.kept = value
+
+    frame = pd.DataFrame({"session": ["a"] * 3, "ts": pd.to_datetime(["2024-01-03", "2024-01-01", "2024-01-01"]), "seq": [3, 2, 1], "k": [["c"], ["b"], ["a"]]})
+    for make, kept in ((drifts, (3, [["a"], ["b"], ["c"]])), (heartbeats, (3,))):
+        calls, state = Calls(), State()
+        if make is drifts:
+            import mnemotide.streaming.triggers as triggers
+
+            held, triggers.drift_keywords = triggers.drift_keywords, lambda _: None
+            triggers_f, triggers.F = triggers.F, Calls()
+            try:
+                drifts(calls, ttl_ms=None)
+            finally:
+                triggers.drift_keywords, triggers.F = held, triggers_f
+        else:
+            heartbeats(calls, ttl_ms=None)
+        assert list(calls.step(("a",), iter([frame[:1], frame[1:]]), state)) == [] and state.kept == kept
