@@ -125,3 +125,25 @@ def test_keys_with_nothing_to_say_yield_no_frame():
         else:
             heartbeats(calls, ttl_ms=None)
         assert list(calls.step(("a",), iter([frame[:1], frame[1:]]), state)) == [] and state.kept == kept
+
+
+def test_few_words_need_no_index_and_calls_stay_one_row(spark):
+    """Both ways of finding words give the same, and pools pass over what a session holds or was shown."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1)
+    rows = [(i, f"m{i}", f"s{i % 3}", "warning", ("parser cache" if i % 2 else "cache token") + f" {i}", "active", 1, i % 5, at + timedelta(minutes=i), None, 0, "Grep") for i in range(40)]
+    calls = [(100 + i, f"c{i}", f"s{i}", "tool_call", "cache parser token", "active", 1, 5, at, 0, 0, "Grep") for i in range(4)]
+    nodes = spark.createDataFrame(rows + calls, "seq long, id string, session string, kind string, query string, status string, memory_tier int, importance int, ts timestamp, result_count int, latency_ms int, tool string")
+    shown = spark.createDataFrame([("m39", "s1", "hook"), ("m39", "s1", "hook"), ("m34", "s3", "fetch")], "node_id string, session string, channel string")
+    best = sorted(rows, key=lambda r: (r[6], -r[7], -r[8].timestamp(), r[1]))
+    want = set()
+    for c in calls:
+        pool = [r for r in best if r[2] != c[2]][:6]
+        pool = [r for r in pool if (r[1], c[2]) != ("m39", "s1")]
+        want |= {(c[0], r[1], p + 1) for p, r in enumerate(pool[:3])}
+    for few in (64, 0):
+        out = triggers.reminders(nodes.where("kind = 'tool_call'"), nodes, shown, pool=6, few=few)
+        assert {tuple(r) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "Window" not in plan
