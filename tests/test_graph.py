@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemotide.functions.similarity import Blocks, similar_pairs, similar_roots
+from mnemotide.functions.similarity import Blocks, _joined, similar_pairs, similar_roots
 from mnemotide.functions.vectors import checked_dimension, cosine_to, dimension_report
 from mnemotide.operators import dynamics, graph, retrieval
 from mnemotide.operators.components import connected_components
@@ -302,3 +302,38 @@ def test_a_million_links_take_one_task_seconds(spark):
     began = time.perf_counter()
     out = graph._labelled(12)(table)
     assert out.num_rows == len(np.unique(src)) and time.perf_counter() - began < 60 and graph.LOCAL_LINKS >= 10**6
+
+
+@pytest.mark.parametrize("pivots", [64, 2048])
+def test_densely_linked_vectors_are_not_all_compared(spark, pivots):
+    """Most vectors lie in a cone; a chain leads out of it, and some are alone, in pairs, or of another length."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    cone = np.hstack([np.ones((500, 1)), 0.25 * rng.standard_normal((500, 7))])
+    t = np.arange(1, 12) * 0.3
+    chain = np.zeros((len(t), 8))
+    chain[:, 0], chain[:, 1] = np.cos(t), np.sin(t)
+    alone = -np.eye(8)[[3, 4, 5]]
+    m = np.vstack([cone, chain, alone, alone[:1] * 2])
+    rows = [(f"v{i:03d}", [float(x) for x in v]) for i, v in enumerate(m)] + [("w1", [1.0, 0.0]), ("w2", [2.0, 0.1]), ("w3", [-1.0, 3.0]), ("n", None), ("z", [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    links = similar_roots(df, 0.9, block_rows=50, pivots=pivots).collect()
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+
+    def parts(pairs):
+        low = {r[0]: r[0] for r in rows}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                least = min(low[a], low[b])
+                changed |= low[a] != least or low[b] != least
+                low[a] = low[b] = least
+        return low
+
+    x, y = np.nonzero(u @ u.T >= 0.9)
+    want = parts([(rows[i][0], rows[j][0]) for i, j in zip(x, y, strict=True) if i < j] + [("w1", "w2")])
+    assert parts([(r.src, r.dst) for r in links]) == want and all(r.src < r.dst for r in links)
+    every = _joined(df, 0.9, None, None, True, 50, "id", "embedding").count()
+    assert len(set(want.values())) > 5 and len(links) < 3 * len(rows) and 2 * len(links) < every
