@@ -233,9 +233,10 @@ def absorbed(nodes: DataFrame) -> DataFrame:
 def clusters(vectors: DataFrame, scratch: Scratch, floor: float = 0.65, least: int = 3, least_sessions: int = 2, block_rows: int | None = None) -> DataFrame:
     """(id, session, kind, cluster): components of the similarity graph with enough nodes and sessions."""
     rows = active(vectors).where(F.col("kind").isin(*CONSOLIDATION_KINDS)).join(absorbed(vectors), "id", "left_anti")
+    rows = scratch.save(rows.select("id", "session", "kind", "embedding"))
     pairs = similar_roots(rows, floor, block_rows=block_rows)
     comps = connected_components(pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")), scratch, local_edges=LOCAL_EDGES)
-    found = rows.select("id", "session", "kind").join(comps.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    found = scratch.save(rows.select("id", "session", "kind").join(comps.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"))
     big = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("s")).where((F.col("n") >= least) & (F.col("s") >= least_sessions)).select("cluster")
     return found.join(big, "cluster").select("id", "session", "kind", "cluster")
 
@@ -250,7 +251,7 @@ def medoids(members: DataFrame, vectors: DataFrame) -> DataFrame:
 
     v = members.select("cluster", "id").join(vectors.select("id", "embedding"), "id")
     size = norm(F.col("embedding"))
-    v = v.select("cluster", "id", F.transform("embedding", lambda x: F.when(size > 0, x / size).otherwise(0.0)).alias("u"))
+    v = Scratch(vectors.sparkSession, "medoids").save(v.select("cluster", "id", F.transform("embedding", lambda x: F.when(size > 0, x / size).otherwise(0.0)).alias("u")))
     parts = v.select("cluster", F.posexplode("u").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x"))
     sums = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
     n = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
