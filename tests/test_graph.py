@@ -337,3 +337,13 @@ def test_densely_linked_vectors_are_not_all_compared(spark, pivots):
     assert parts([(r.src, r.dst) for r in links]) == want and all(r.src < r.dst for r in links)
     every = _joined(df, 0.9, None, None, True, 50, "id", "embedding").count()
     assert len(set(want.values())) > 5 and len(links) < 3 * len(rows) and 2 * len(links) < every
+
+
+def test_entity_edges_are_not_capped_in_reports(spark):
+    """More edges than the rule's own cap of 4,000, over two entities of which the later by name would lose the most."""
+    n = 2600
+    rows = [(f"n{i:05d}", f"s{i % 2}", "active", [f"entity:thing {i % 2}"], i) for i in range(2 * n)]
+    nodes = spark.createDataFrame(rows, "id string, session string, status string, tags array<string>, seq int")
+    edges = graph.entity_edges(nodes, [F.col("seq")], share=1.0)
+    assert {(r.src, r["count"]) for r in edges.groupBy("src").count().collect()} == {("n00000", n - 1), ("n00001", n - 1)}
+    assert [tuple(r) for r in graph.edge_report(graph.build_edges([edges])).collect()] == [("entity", None, 2 * n - 2)]
