@@ -347,3 +347,33 @@ def test_entity_edges_are_not_capped_in_reports(spark):
     edges = graph.entity_edges(nodes, [F.col("seq")], share=1.0)
     assert {(r.src, r["count"]) for r in edges.groupBy("src").count().collect()} == {("n00000", n - 1), ("n00001", n - 1)}
     assert [tuple(r) for r in graph.edge_report(graph.build_edges([edges])).collect()] == [("entity", None, 2 * n - 2)]
+
+
+@pytest.mark.parametrize("local_links", [60, 10**6])
+def test_labels_by_numbers_equal_one_global_pass(spark, local_links, monkeypatch):
+    """A graph too large to go to its task by names: nodes are numbered, no component is looked for where one task takes all."""
+    rng = random.Random(8)
+    edges = [(f"c{i:03d}", f"c{i + 1:03d}", 1.0) for i in range(28)]
+    edges += list({(min(a, b), max(a, b)): (f"g{min(a, b)}", f"g{max(a, b)}", rng.choice([1.0, 2.0])) for a, b in ((rng.randrange(15), rng.randrange(15)) for _ in range(25)) if a != b}.values())
+    links = spark.createDataFrame([(a, b, int(w)) for a, b, w in edges] + [(b, a, int(w)) for a, b, w in edges] + [("z", "z", 1)], "src string, dst string, votes long")
+    if local_links > len(edges) * 2:
+        monkeypatch.setattr(graph, "connected_components", None)
+    got = {r.id: r.label for r in graph.spread_labels(links, Scratch(spark, "t"), passes=3, local_links=local_links, small_links=10).collect()}
+    assert got == _sequential(edges, 3) | {"z": "z"}
+
+
+def test_labels_of_numbers_with_gaps_and_little_held_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for names in (np.arange(50) + 7, np.arange(50) * 3, np.sort(rng.choice(10**12, 50, replace=False))):
+        a, b, votes = rng.integers(0, 50, 70), rng.integers(0, 50, 70), rng.integers(1, 4, 70)
+        pairs = {(min(x, y), max(x, y)): int(v) for x, y, v in zip(a.tolist(), b.tolist(), votes, strict=True) if x != y}
+        rows = [(names[x], names[y], v) for (x, y), v in pairs.items()] + [(names[y], names[x], v) for (x, y), v in pairs.items()]
+        batches = [pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in rows[at : at + 9]]) for c in range(3)], names=["src", "dst", "votes"]) for at in range(0, len(rows), 9)]
+        got = {k: v for out in graph._labelled_numbers(3, hold=20)(iter(batches)) for k, v in zip(out["id"].to_pylist(), out["label"].to_pylist(), strict=True)}
+        assert got == {int(k): int(v) for k, v in _sequential([(int(names[x]), int(names[y]), float(v)) for (x, y), v in pairs.items()], 3).items()}
+        links = [np.array([r[c] for r in rows]) for c in range(3)]
+        links[:2] = [np.searchsorted(np.unique(links[0]), x).astype(np.int32) for x in links[:2]]
+        few = graph._settle(len({r[0] for r in rows}), links, 3, step=5)
+        assert np.unique([r[0] for r in rows])[few].tolist() == [got[int(k)] for k in np.unique([r[0] for r in rows])]
