@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,3 +378,31 @@ def test_labels_of_numbers_with_gaps_and_little_held_at_once():
         links[:2] = [np.searchsorted(np.unique(links[0]), x).astype(np.int32) for x in links[:2]]
         few = graph._settle(len({r[0] for r in rows}), links, 3, step=5)
         assert np.unique([r[0] for r in rows])[few].tolist() == [got[int(k)] for k in np.unique([r[0] for r in rows])]
+
+
+def test_packing_looks_only_at_what_is_near_and_places_as_all_discs_would(monkeypatch):
+    n, seen, hypot = 1500, [0], np.hypot
+    m = np.concatenate([[900, 70], 4 + np.sort(np.random.default_rng(2).geometric(0.12, n - 2))[::-1]])
+    rows = pd.DataFrame({"galaxy": "g", "cid": np.arange(n, dtype=np.int32), "rank": np.arange(n), "radius": graph.SPACING * np.sqrt(m) / 1.55})
+
+    class Plain:
+        def __init__(self, gap):
+            self.gap, self.discs = gap, []
+
+        def clear(self, x, y, radius):
+            d = np.array(self.discs).reshape(-1, 3)
+            return bool((hypot(d[:, 0] - x, d[:, 1] - y) >= d[:, 2] + radius + self.gap).all())
+
+        def add(self, x, y, radius):
+            self.discs.append((x, y, radius))
+
+    def counted(a, b):
+        seen[0] += len(a)
+        return hypot(a, b)
+
+    monkeypatch.setattr(np, "hypot", counted)
+    got = graph._packed(graph.SPACING)(rows)
+    looked = seen[0]
+    monkeypatch.setattr(graph, "_Discs", Plain)
+    assert got.equals(graph._packed(graph.SPACING)(rows))
+    assert looked < 150 * n
