@@ -130,3 +130,15 @@ def test_only_what_a_text_asks_for_is_searched():
     text = " ".join("ab" * i for i in range(1, 40))
     ways, _ = m.joined(text)
     assert [s for s, _ in ways] == pytest.approx(_best_scores(TOY, text, 3)) and len(m.searched) <= 2 < len(m)
+
+
+def test_each_of_the_best_is_decoded(spark):
+    """Without byte pieces a character that has no piece of its own is lost where a way takes it alone, and only there."""
+    pieces = Pieces([("▁", -1.0, 3), ("b", -1.0, 4), ("ab", -1.5, 5), ("▁b", -1.2, 6), ("!", -1.0, 7)], {}, 0)
+    rows = [(1, "ab b! ab"), (2, "b b"), (3, "ab"), (4, ""), (5, None), (6, " ab  b"), (7, "a b")]
+    got = {r.doc_id: r for r in nbest_pieces(spark.createDataFrame(rows, "doc_id long, text string"), pieces, nbest=6, with_ids=True).collect()}
+    m = Segmenter(pieces, 6)
+    for doc, text in rows:
+        r = got[doc]
+        assert r.round_trips == [m.decode(ids) == (text or "") for ids in r.ids] and r.round_trip == r.round_trips[0]
+    assert got[3].round_trips[0] and not all(got[3].round_trips) and all(got[2].round_trips) and not any(got[7].round_trips)
